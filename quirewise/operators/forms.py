@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.text import csv_quote
 from quirewise.operators.spread import spread_join
+from quirewise.sources.sinks import stage_table
 
 MAX_DEPTH = 8
 _WIDTH = 12
@@ -17,11 +18,40 @@ def _step(order: Column) -> Column:
     return F.lpad(order.cast("string"), _WIDTH, "0")
 
 
+def _reached(groups: DataFrame, max_depth: int) -> DataFrame:
+    """Groups whose ancestors are all groups, with their walk keys; every group climbs one level per join."""
+    above = groups.select(
+        "doc_id",
+        F.col("node_id").alias("_at"),
+        F.col("parent_id").alias("_up"),
+        _step(F.col("ord")).alias("_key"),
+    )
+    state = groups.select(
+        "doc_id",
+        "node_id",
+        F.col("parent_id").alias("_at"),
+        _step(F.col("ord")).alias("walk_key"),
+        F.lit(False).alias("_lost"),
+    )
+    for _ in range(max_depth):
+        state = state.join(above, ["doc_id", "_at"], "left").select(
+            "doc_id",
+            "node_id",
+            F.col("_up").alias("_at"),
+            F.concat_ws("/", "_key", "walk_key").alias("walk_key"),
+            (F.col("_lost") | (F.col("_at").isNotNull() & F.col("_key").isNull())).alias("_lost"),
+        )
+    too_deep = F.raise_error(F.lit(f"form tree deeper than {max_depth} levels")).cast("string")
+    return state.where(~F.col("_lost")).select(
+        "doc_id", "node_id", F.when(F.col("_at").isNotNull(), too_deep).otherwise(F.col("walk_key")).alias("walk_key")
+    )
+
+
 def _walked(nodes: DataFrame, max_depth: int) -> DataFrame:
     """Fields the walk reaches, with their walk key and the page of their first widget.
 
     A node with kids is a field if its first kid is a widget, else a group to descend into; a node without kids is a
-    field. Only groups are walked level by level; all other nodes join the reached groups once.
+    field. Only groups, few beside the fields, climb the tree; all other nodes join the reached groups once.
     """
     kids = (
         nodes.where("parent_id is not null")
@@ -31,16 +61,8 @@ def _walked(nodes: DataFrame, max_depth: int) -> DataFrame:
     tree = nodes.join(kids, ["doc_id", "node_id"], "left")
     widget = F.coalesce(F.col("first_kid.subtype") == "Widget", F.lit(False))
     is_group = F.col("first_kid").isNotNull() & ~widget
-    groups = tree.where(is_group).select("doc_id", "node_id", "parent_id", "ord")
-    level = groups.where("parent_id is null").select("doc_id", "node_id", _step(F.col("ord")).alias("walk_key"))
-    reached = level
-    for depth in range(1, max_depth + 1):
-        above = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("walk_key").alias("_above"))
-        key: Column = F.concat_ws("/", "_above", _step(F.col("ord")))
-        if depth == max_depth:
-            key = F.raise_error(F.lit(f"form tree deeper than {max_depth} levels")).cast("string")
-        level = groups.join(above, ["doc_id", "parent_id"]).select("doc_id", "node_id", key.alias("walk_key"))
-        reached = reached.unionByName(level)
+    groups = stage_table(tree.where(is_group).select("doc_id", "node_id", "parent_id", "ord"), "groups")
+    reached = _reached(groups, max_depth)
     fields = tree.where(~is_group)
     top = fields.where("parent_id is null").withColumn("walk_key", _step(F.col("ord")))
     above = reached.select("doc_id", F.col("node_id").alias("parent_id"), F.col("walk_key").alias("_above"))
@@ -77,7 +99,7 @@ def form_fill(nodes: DataFrame, updates: DataFrame, max_depth: int = MAX_DEPTH)
     on = ["doc_id", "name"] if "doc_id" in updates.columns else ["name"]
     latest = updates.groupBy(*on).agg(F.max_by("value", "ord").alias("_new"))
     fields = _walked(nodes, max_depth).where("name is not null")
-    filled = spread_join(fields, latest, on, salt_by=["doc_id", "node_id"], how="left")
+    filled = spread_join(fields, latest, on, salt_by=["doc_id", "node_id"], how="left", hot_in=nodes)
     return filled.select(
         "doc_id",
         "node_id",

@@ -55,9 +55,8 @@ def merge_docs(merge_list: DataFrame, page_counts: DataFrame, doc_pages: DataFra
     sized = merge_list.join(page_counts, "doc_id", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
     placed = running_total(sized, ["out_id"], "ord", "n_pages", "_offset").drop("n_pages")
     content = doc_pages.drop("n_pages")
-    return spread_join(placed, content, ["doc_id"], salt_by=["out_id", "ord"]).withColumn(
-        "out_page", F.col("_offset") + F.col("page")
-    ).drop("_offset")
+    joined = spread_join(placed, content, ["doc_id"], salt_by=["out_id", "ord"], hot_in=merge_list)
+    return joined.withColumn("out_page", F.col("_offset") + F.col("page")).drop("_offset")
 
 
 def split_at(doc_pages: DataFrame, points: Sequence[int]) -> DataFrame:

@@ -63,18 +63,20 @@ def spread_join(
     on: Sequence[str],
     salt_by: Sequence[str],
     how: str = "inner",
+    hot_in: DataFrame | None = None,
     rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi join where single keys of ``many`` may own a large share of its rows.
 
     Rows of hot keys are spread over ``salts`` sub-keys and their partners repeated for each; other keys join plainly.
+    Hot keys are looked for in ``hot_in``, a cheaper table with at least as many rows per key, or in ``many`` itself.
     """
     on = list(on)
     if how not in ("inner", "left"):
         raise ValueError(f"spread_join supports inner and left, not '{how}'")
     # At most HOT_KEYS rows, see hot_keys.
-    hot = F.broadcast(hot_keys(many, on, rows))
+    hot = F.broadcast(hot_keys(many if hot_in is None else hot_in, on, rows))
     left = (
         many.join(hot, on, "left")
         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(0)))

@@ -48,8 +48,9 @@ def _stream_redact(t: Tables) -> DataFrame:
 
 
 def _stream_dedupe(t: Tables) -> DataFrame:
-    """Documents arrive one per second; the watermark spans the whole test corpus."""
-    documents = intake.stream_table(t.spark, t.root, "documents").withColumn("arrived", F.timestamp_seconds("doc_id"))
+    """Documents arrive one per second in the order of their ids; the watermark spans them all."""
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
+    documents = intake.stream_table(t.spark, t.root, "documents").withColumn("arrived", arrived)
     return intake.run_available(intake.stream_dedupe(documents, "3650 days"), "dedupe").select("h")
 
 

@@ -166,18 +166,17 @@ def resources(pages: DataFrame) -> DataFrame:
         body = F.regexp_extract(tag, f"(?is)^<{kind}\\b[^>]*>(.*)</{kind}>$", 1) if has_body else F.lit("")
         return F.struct(attrs.alias("attrs"), body.alias("body"), F.octet_length(tag).cast("bigint").alias("bytes"))
 
-    arrays = []
-    for kind in paired + single:
+    def items(kind: str) -> Column:
         tail = f".*?</{kind}>" if kind in paired else ""
         tags = F.regexp_extract_all("html", F.lit(f"(?is)<{kind}\\b[^>]*>{tail}"), F.lit(0))
-        arrays.append(
-            F.transform(
-                tags,
-                lambda t, i, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"), i.cast("bigint").alias("idx"), item(kind, t, kind in paired).alias("v")
-                ),
-            )
+        return F.transform(
+            tags,
+            lambda tag, i: F.struct(
+                F.lit(kind).alias("kind"), i.cast("bigint").alias("idx"), item(kind, tag, kind in paired).alias("v")
+            ),
         )
+
+    arrays = [items(kind) for kind in paired + single]
     return pages.select("page_id", F.posexplode(F.concat(*arrays)).alias("_pos", "_r")).select(
         "page_id",
         F.col("_pos").cast("bigint").alias("seq"),

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.session import shared_folder
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate table that many joins use to the shared folder and read it back.
+
+    It is computed once, survives lost executors, and its size on disk tells Spark whether a join may broadcast it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def write_parts(parted: DataFrame, path: str) -> DataFrame:
     """Write pages with a ``part`` column and return the manifest
