@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.text import safe_file_name, unescape_entities
 from quirewise.operators.spread import number_within
+from quirewise.sources.corpus import resources
 
 EDITABLE = ("title", "author", "subject", "keywords", "creator", "producer")
 
@@ -89,7 +90,7 @@ def _attribute(name: str) -> Column:
     return F.regexp_extract("attrs", f'(?is)\\b{name}="([^"]*)"', 1)
 
 
-def resource_inventory(resources: DataFrame) -> DataFrame:
+def resource_inventory(found: DataFrame) -> DataFrame:
     """One descriptive line per resource. A missing number is -1; the colour space must be a plain name."""
     number = lambda name: F.coalesce(_attribute(name).try_cast("bigint"), F.lit(-1))
     space = _attribute("colorspace")
@@ -104,19 +105,20 @@ def resource_inventory(resources: DataFrame) -> DataFrame:
         (F.coalesce(_attribute("predictor").try_cast("bigint"), F.lit(0)) > 1).cast("string"),
         F.col("bytes"),
     )
-    return resources.select("page_id", "kind", "idx", line.alias("line"))
+    return found.select("page_id", "kind", "idx", line.alias("line"))
 
 
-def extract_resources(resources: DataFrame) -> DataFrame:
-    """Resources that hold content, numbered from 0 per page in their order; skipped ones take no number."""
-    numbered = number_within(resources.where(F.length("body") > 0), ["page_id"], "seq", "_n")
-    item = F.col("_n") - 1
-    name = F.concat(F.col("kind"), F.lit("_"), item, F.lit("_"), F.col("seq"))
-    return numbered.select("page_id", item.alias("item"), "seq", "kind", name.alias("file_name"), "body")
+def extract_resources(pages: DataFrame) -> DataFrame:
+    """Resources that hold content, numbered from 0 per page in their order; skipped ones take no number.
+
+    Numbered inside the row of the page, so no content is shuffled.
+    """
+    name = F.concat(F.col("kind"), F.lit("_"), F.col("item"), F.lit("_"), F.col("seq"))
+    return resources(pages, held_only=True).select("page_id", "item", "seq", "kind", name.alias("file_name"), "body")
 
 
-def resource_summary(resources: DataFrame) -> DataFrame:
-    return resources.groupBy("kind").agg(
+def resource_summary(found: DataFrame) -> DataFrame:
+    return found.groupBy("kind").agg(
         F.count(F.lit(1)).alias("items"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")
     )
 

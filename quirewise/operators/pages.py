@@ -28,7 +28,7 @@ def with_page_total(doc_pages: DataFrame) -> DataFrame:
     if "n_pages" in doc_pages.columns:
         return doc_pages
     totals = doc_pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    return doc_pages.join(totals, "doc_id")
+    return spread_join(doc_pages, totals, ["doc_id"], salt_by=["page"])
 
 
 def page_count(documents: DataFrame, doc_pages: DataFrame | None = None) -> DataFrame:
@@ -214,9 +214,9 @@ def reorder_errors(page_order: DataFrame, page_counts: DataFrame) -> DataFrame:
         F.concat(F.lit("page "), text, F.lit(" out of range (1.."), F.col("n_pages"), F.lit(")")),
     ).when(F.col("_first").isNull(), F.concat(F.lit("duplicate page "), text, F.lit(" in order")))
     incomplete = F.concat(F.lit("order must contain all "), F.col("n_pages"), F.lit(" pages"))
+    entries = page_order.join(firsts, ["doc_id", "new_page"], "left")
     return (
-        page_order.join(firsts, ["doc_id", "new_page"], "left")
-        .join(page_counts, "doc_id")
+        spread_join(entries, page_counts, ["doc_id"], salt_by=["new_page"], hot_in=page_order)
         .withColumn("error", fault)
         .groupBy("doc_id")
         .agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.operators.spread import spread_join
+
 ALREADY_PROTECTED = "document is already protected"
 WRONG_PASSWORD = "wrong password"
 ALREADY_SIGNED = "document is already signed"
@@ -91,7 +93,8 @@ def certify(requests: DataFrame, manifest: DataFrame, documents: DataFrame) -> D
     in_range = F.col("permission").between(1, 3)
     first = requests.where(in_range).groupBy("doc_id").agg(F.min("ord").alias("_first"))
     signed = manifest.select("doc_id").distinct().withColumn("_signed", F.lit(True))
-    digests = digest_manifest(documents)
+    # One row per document first, so that a document with very many requests is joined once and can be spread.
+    known = digest_manifest(documents).join(first, "doc_id", "left").join(signed, "doc_id", "left")
     error = (
         F.when(
             ~in_range,
@@ -101,9 +104,7 @@ def certify(requests: DataFrame, manifest: DataFrame, documents: DataFrame) -> D
         .when(F.col("_signed") | (F.col("ord") > F.col("_first")), F.lit(ALREADY_SIGNED))
     )
     return (
-        requests.join(first, "doc_id", "left")
-        .join(signed, "doc_id", "left")
-        .join(digests, "doc_id", "left")
+        spread_join(requests, known, ["doc_id"], salt_by=["ord"], how="left")
         .withColumn("error", error)
         .select(
             "doc_id", "ord", "permission", F.when(F.col("error").isNull(), F.col("digest")).alias("digest"), "error"

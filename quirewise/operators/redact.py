@@ -14,6 +14,11 @@ from quirewise.model import ADVANCE, FONT_SIZE, MARGIN
 from quirewise.operators.spread import spread_join
 from quirewise.sources.corpus import baseline
 
+# Cell sizes for joins inside a page: characters of text, points of height.
+TEXT_CELL = 512
+LAST_TEXT_CELL = 2**31 // TEXT_CELL
+BAND = 36
+LAST_BAND = 400
 
 def pii_spans(doc_pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """All matches per page and pattern with character positions from 0, end exclusive. No shuffle."""
@@ -47,25 +52,52 @@ def pii_spans(doc_pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
     )
 
 
+def _cells(low: Column, high: Column, width: int, last: int) -> Column:
+    """Cells of ``width`` that an extent meets, as an array; what lies outside falls into the end cells."""
+    cell = lambda v: F.least(F.greatest(F.floor(v / F.lit(float(width))), F.lit(-1)), F.lit(last))
+    return F.sequence(cell(low), F.greatest(cell(low), cell(high)))
+
+
 def match_boxes(matches: DataFrame, spans: DataFrame) -> DataFrame:
     """One area per match: the bounds of its glyphs. A match that covers no glyph gives none.
 
-    ``spans`` needs ``char_start``. Matches and spans of one page are both parts of one page text.
+    ``spans`` needs ``char_start``. Matches meet runs by stretches of the page text, so a page with many of both does
+    not pair them all.
     """
     advance = F.col("font_size") * F.lit(ADVANCE)
-    runs = spans.select(
-        "doc_id", "page", "char_start", F.length("text").alias("_len"), "x", "y", "font_size"
+    length = F.length("text")
+    start, end, at = F.col("start"), F.col("end"), F.col("char_start")
+    runs = spans.where(length > 0).select(
+        "doc_id",
+        "page",
+        "char_start",
+        length.alias("_len"),
+        "x",
+        "y",
+        "font_size",
+        F.explode(_cells(at, at + length - 1, TEXT_CELL, LAST_TEXT_CELL)).alias("_cell"),
     )
-    first = F.greatest(F.col("start") - F.col("char_start"), F.lit(0))
-    past = F.least(F.col("end") - F.col("char_start"), F.col("_len"))
-    touched = matches.join(runs, ["doc_id", "page"]).where(
-        (F.col("char_start") < F.col("end")) & (F.col("char_start") + F.col("_len") > F.col("start"))
+    hits = matches.where(end > start).select(
+        "doc_id",
+        "page",
+        "pattern",
+        "start",
+        "end",
+        F.explode(_cells(start, end - 1, TEXT_CELL, LAST_TEXT_CELL)).alias("_cell"),
     )
-    bounds = touched.groupBy("doc_id", "page", "pattern", "start", "end").agg(
-        F.min(F.col("x") + first * advance).alias("_x0"),
-        F.max(F.col("x") + past * advance).alias("_x1"),
-        F.min("y").alias("_y0"),
-        F.max(F.col("y") + F.col("font_size")).alias("_y1"),
+    first = F.greatest(start - at, F.lit(0))
+    past = F.least(end - at, F.col("_len"))
+    # A pair that meets in two cells changes no minimum and no maximum.
+    bounds = (
+        hits.join(runs, ["doc_id", "page", "_cell"])
+        .where((at < end) & (at + F.col("_len") > start))
+        .groupBy("doc_id", "page", "pattern", "start", "end")
+        .agg(
+            F.min(F.col("x") + first * advance).alias("_x0"),
+            F.max(F.col("x") + past * advance).alias("_x1"),
+            F.min("y").alias("_y0"),
+            F.max(F.col("y") + F.col("font_size")).alias("_y1"),
+        )
     )
     return bounds.select(
         "doc_id",
@@ -83,26 +115,29 @@ def match_boxes(matches: DataFrame, spans: DataFrame) -> DataFrame:
 def redact_areas(spans: DataFrame, areas: DataFrame) -> DataFrame:
     """Blank every glyph whose box overlaps an area of its page; touching edges do not count.
 
-    An area meets a run in one range of glyphs. Ranges shrink to the longest per first glyph before they are
-    gathered, so a run never gathers more ranges than it has glyphs, however many areas a page has.
+    Areas meet runs by horizontal bands of the page, spread over tasks where a band holds very many. An area meets a
+    run in one range of glyphs; ranges shrink to the longest per first glyph before they are gathered, so a run never
+    gathers more ranges than it has glyphs, however many areas a page has.
     """
     key = ["doc_id", "page", "span"]
     advance = F.col("font_size") * F.lit(ADVANCE)
-    runs = spans.select(*key, F.length("text").alias("_len"), "x", "y", "font_size")
-    boxes = areas.select(
+    top = F.col("y") + F.col("font_size")
+    band = lambda low, high: F.explode(_cells(low, high, BAND, LAST_BAND)).alias("_band")
+    runs = spans.where(F.length("text") > 0).select(
+        *key, F.length("text").alias("_len"), "x", "y", "font_size", band(F.col("y"), top)
+    )
+    boxes = areas.where("width > 0 and height > 0").select(
         "doc_id",
         "page",
         F.col("x").alias("_bx0"),
         (F.col("x") + F.col("width")).alias("_bx1"),
         F.col("y").alias("_by0"),
         (F.col("y") + F.col("height")).alias("_by1"),
+        band(F.col("y"), F.col("y") + F.col("height")),
     )
     hits = (
-        spread_join(boxes, runs, ["doc_id", "page"], salt_by=["_bx0", "_by0", "_bx1", "_by1"])
-        .where(
-            strict_overlap(F.col("y"), F.col("y") + F.col("font_size"), F.col("_by0"), F.col("_by1"))
-            & (F.col("_bx0") < F.col("_bx1"))
-        )
+        spread_join(boxes, runs, ["doc_id", "page", "_band"], salt_by=["_bx0", "_by0", "_bx1", "_by1"])
+        .where(strict_overlap(F.col("y"), top, F.col("_by0"), F.col("_by1")))
         .select(*key, glyph_range(F.col("x"), advance, F.col("_len"), F.col("_bx0"), F.col("_bx1")).alias("_r"))
         .where("_r.lo < _r.hi")
     )

@@ -64,7 +64,7 @@ QUERIES = {
     "doc_info": query(lambda t: ops.doc_info(t.documents, page_count(t.documents), t.doc_meta)),
     "auto_rename": query(lambda t: ops.auto_rename(_rename_input(t)).select("doc_id", "file_name")),
     "resource_inventory": query(lambda t: ops.resource_inventory(t.resources)),
-    "extract_resources": query(lambda t: ops.extract_resources(t.resources)),
+    "extract_resources": query(lambda t: ops.extract_resources(t.pages)),
     "resource_summary": query(lambda t: ops.resource_summary(t.resources)),
     "conformance_validate": query(lambda t: _validated(t.pages, "strict")),
     "conformance_fix": query(

@@ -155,8 +155,11 @@ def page_nodes(documents: DataFrame) -> DataFrame:
     )
 
 
-def resources(pages: DataFrame) -> DataFrame:
-    """Embedded resources of web pages: ``seq`` counts from 0 per page, ``idx`` from 0 per page and kind."""
+def resources(pages: DataFrame, held_only: bool = False) -> DataFrame:
+    """Embedded resources of web pages: ``seq`` counts from 0 per page, ``idx`` from 0 per page and kind.
+
+    With ``held_only``, only resources with a body, and ``item`` counts those from 0 per page.
+    """
     # Paired tags with a body, then tags that carry everything in attributes.
     paired = ("script", "style", "a", "title", "iframe", "object", "form", "table")
     single = ("meta", "img", "embed", "link")
@@ -177,12 +180,12 @@ def resources(pages: DataFrame) -> DataFrame:
         )
 
     arrays = [items(kind) for kind in paired + single]
-    return pages.select("page_id", F.posexplode(F.concat(*arrays)).alias("_pos", "_r")).select(
-        "page_id",
-        F.col("_pos").cast("bigint").alias("seq"),
-        F.col("_r.kind").alias("kind"),
-        F.col("_r.idx").alias("idx"),
-        "_r.v.*",
+    found = F.transform(F.concat(*arrays), lambda r, i: F.struct(i.cast("bigint").alias("seq"), r.alias("r")))
+    if held_only:
+        found = F.filter(found, lambda f: F.length(f["r"]["v"]["body"]) > 0)
+    item_no = [F.col("_pos").cast("bigint").alias("item")] if held_only else []
+    return pages.select("page_id", F.posexplode(found).alias("_pos", "_f")).select(
+        "page_id", *item_no, "_f.seq", "_f.r.kind", "_f.r.idx", "_f.r.v.*"
     )
 
 
