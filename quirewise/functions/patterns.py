@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirewise.functions.expr import let, prefix_sums
+from quirewise.functions.geometry import blank_ranges
 
 # The named detectors.
 NAMED_PATTERNS = {
@@ -34,6 +35,10 @@ class Pattern:
         """Digit, blank and word classes mean their Unicode sets."""
         return f"(?U){self.source}" if re.search(r"\\[dswbDSWB]", self.source) else self.source
 
+    @property
+    def may_be_empty(self) -> bool:
+        return re.match(f"(?:{self.source})$", "") is not None or r"\b" in self.source.lower()
+
     def found_in(self, text: Column) -> Column:
         hit = text.rlike(self.java)
         # A literal that every match must hold is cheaper to test than the expression.
@@ -65,16 +70,25 @@ def compile_patterns(patterns: Sequence[str]) -> list[Pattern]:
     return out
 
 
+def _cut_at_marks(text: Column, pattern: Pattern) -> Column:
+    return F.split(F.regexp_replace(text, f"({pattern.java})", f"{_OPEN}$1{_CLOSE}"), _MARKS)
+
+
 def pieces(text: Column, pattern: Pattern) -> Column:
-    """Cut text into gap, match, gap, match, ..., gap; joined together they are the text again."""
-    marked = F.split(F.regexp_replace(text, f"({pattern.java})", f"{_OPEN}$1{_CLOSE}"), _MARKS)
-    # Text that already holds the marks is cut by the pattern itself.
-    gaps = F.split(text, pattern.java)
-    matches = F.regexp_extract_all(text, F.lit(pattern.java), F.lit(0))
-    woven = F.flatten(
-        F.zip_with(gaps, matches, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m)))
-    )
-    return F.when(text.rlike(_MARKS), woven).otherwise(marked)
+    """Cut text into gap, match, gap, match, ..., gap; joined together they are the text again.
+
+    Text that already holds the marks is cut by the pattern itself, or, if the pattern may match nothing, with
+    stand-ins of the same length for the marks.
+    """
+    if pattern.may_be_empty:
+        other = _cut_at_marks(F.translate(text, _OPEN + _CLOSE, "\ue001\ue002"), pattern)
+    else:
+        gaps = F.split(text, pattern.java)
+        matches = F.regexp_extract_all(text, F.lit(pattern.java), F.lit(0))
+        other = F.flatten(
+            F.zip_with(gaps, matches, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m)))
+        )
+    return F.when(text.rlike(_MARKS), other).otherwise(_cut_at_marks(text, pattern))
 
 
 def match_ranges(text: Column, pattern: Pattern) -> Column:
@@ -96,7 +110,11 @@ def blank_matches(text: Column, pattern: Pattern) -> Column:
     parts = F.transform(
         pieces(text, pattern), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)
     )
-    return F.when(pattern.found_in(text), F.array_join(parts, "")).otherwise(text)
+    blanked = F.array_join(parts, "")
+    if pattern.may_be_empty:
+        by_range = blank_ranges(text, match_ranges(text, pattern))
+        blanked = F.when(text.rlike(_MARKS), by_range).otherwise(blanked)
+    return F.when(pattern.found_in(text), blanked).otherwise(text)
 
 
 def blank_all(text: Column, patterns: Sequence[Pattern]) -> Column:

@@ -110,12 +110,9 @@ def test_match_ranges_against_plain_search(spark):
     alphabet = "1234567890 -.()+a@b\u0001\u0002é\U0001f600\n"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 120))) for _ in range(300)]
     texts += ["", "12345678901234567890", "a@b.co", "x 123-45-6789 y 987-65-4321"]
-    for given in ("email", "ssn", "phone_us", "credit_card", r"regex:\d{2}", "text:a@", "regex:x*", "regex:(1|2)(3)?"):
+    for given in ("email", "ssn", "phone_us", "credit_card", r"regex:\d{2}", "text:a@", "regex:x*", r"regex:\bx*", "regex:(1|2)(3)?"):
         source = patterns.compile_patterns([given])[0].source
-        if given == "regex:x*":
-            checked = [t for t in texts if "\u0001" not in t and "\u0002" not in t] + ["axxbx"]
-        else:
-            checked = texts
+        checked = texts + ["axxbx", "ax\u0001xx\u0002b"]
         want = [[m.span() for m in re.finditer(source, t) if m.group()] for t in checked]
         assert _ranges(spark, checked, given) == want, given
 
@@ -131,3 +128,9 @@ def test_longer_digit_runs_match_without_word_bounds(spark):
 def test_masks_see_the_original_text(value):
     both = patterns.compile_patterns([r"regex:\d{3}", "regex:3-4", "email"])
     assert value(patterns.blank_all(F.col("t"), both), t="a123-456b x@y.zz") == "a       b       "
+
+
+def test_masks_keep_marks_in_the_text(value):
+    for given, want in (("regex:x*", "a \u0001  \u0002b"), ("regex:x+", "a \u0001  \u0002b")):
+        one = patterns.compile_patterns([given])
+        assert value(patterns.blank_all(F.col("t"), one), t="ax\u0001xx\u0002b") == want

@@ -48,7 +48,6 @@ def test_layout_offsets(table):
     ],
 )
 def test_split_at(table, total, points, want):
-    docs = _docs(table, "\n".join("x" * (4 * total)))
     docs = _docs(table, "\n".join(["x"] * (4 * total)))
     assert rows(ops.split_manifest(docs, points), "part", "first_page", "last_page") == want
     parts = ops.split_at(corpus.paginate(docs), points).groupBy("part").agg({"page": "min"})
