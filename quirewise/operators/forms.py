@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.text import csv_quote
 from quirewise.operators.spread import spread_join
+from quirewise.operators.tree import climb
 from quirewise.sources.sinks import stage_table
 
 MAX_DEPTH = 8
@@ -19,32 +20,32 @@ def _step(order: Column) -> Column:
 
 
 def _reached(groups: DataFrame, max_depth: int) -> DataFrame:
-    """Groups whose ancestors are all groups, with their walk keys; every group climbs one level per join."""
+    """Groups whose ancestors are all groups, with their walk keys."""
     above = groups.select(
         "doc_id",
         F.col("node_id").alias("_at"),
         F.col("parent_id").alias("_up"),
         _step(F.col("ord")).alias("_key"),
     )
-    state = groups.select(
+    start = groups.select(
         "doc_id",
         "node_id",
         F.col("parent_id").alias("_at"),
         _step(F.col("ord")).alias("walk_key"),
-        F.lit(False).alias("_lost"),
+        F.lit(False).alias("lost"),
     )
-    for _ in range(max_depth):
-        state = state.join(above, ["doc_id", "_at"], "left").select(
+
+    def step(pending: DataFrame) -> DataFrame:
+        return pending.join(above, ["doc_id", "_at"], "left").select(
             "doc_id",
             "node_id",
             F.col("_up").alias("_at"),
             F.concat_ws("/", "_key", "walk_key").alias("walk_key"),
-            (F.col("_lost") | (F.col("_at").isNotNull() & F.col("_key").isNull())).alias("_lost"),
+            F.col("_key").isNull().alias("lost"),
         )
-    too_deep = F.raise_error(F.lit(f"form tree deeper than {max_depth} levels")).cast("string")
-    return state.where(~F.col("_lost")).select(
-        "doc_id", "node_id", F.when(F.col("_at").isNotNull(), too_deep).otherwise(F.col("walk_key")).alias("walk_key")
-    )
+
+    done = climb(start, step, max_depth, "groups", "form tree")
+    return done.where(~F.col("lost")).select("doc_id", "node_id", "walk_key")
 
 
 def _walked(nodes: DataFrame, max_depth: int) -> DataFrame:

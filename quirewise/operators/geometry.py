@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.geometry import box_size, r3, strict_overlap
 from quirewise.model import ADVANCE, PAGE_HEIGHT, PAGE_WIDTH
+from quirewise.operators.tree import climb
 from quirewise.sources.sinks import stage_table
 
 MAX_DEPTH = 8
@@ -15,8 +16,8 @@ MAX_DEPTH = 8
 def page_size(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Width and height of every page from the nearest well-formed box on the way to the root.
 
-    Only inner nodes, few beside the pages, climb the tree, one level per join; pages join them once. A tree deeper
-    than ``max_depth`` fails the query.
+    Only inner nodes, few beside the pages, climb the tree; pages join them once. A tree deeper than ``max_depth``
+    is an error.
     """
     inner = stage_table(
         nodes.where("page is null").select(
@@ -28,18 +29,17 @@ def page_size(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         "doc_id", F.col("node_id").alias("_at"), F.col("parent_id").alias("_up"), F.col("size").alias("_above")
     )
     open_end = F.when(F.col("size").isNull(), F.col("parent_id")).alias("_at")
-    known = inner.select("doc_id", "node_id", open_end, "size")
-    for _ in range(max_depth):
-        known = known.join(above, ["doc_id", "_at"], "left").select(
+
+    def step(pending: DataFrame) -> DataFrame:
+        return pending.drop("size").join(above, ["doc_id", "_at"], "left").select(
             "doc_id",
             "node_id",
             F.when(F.col("_above").isNull(), F.col("_up")).alias("_at"),
-            F.coalesce("size", "_above").alias("size"),
+            F.col("_above").alias("size"),
         )
-    too_deep = F.raise_error(F.lit(f"page tree deeper than {max_depth} levels")).cast("struct<w:double,h:double>")
-    known = known.select(
-        "doc_id", "node_id", F.when(F.col("_at").isNotNull(), too_deep).otherwise(F.col("size")).alias("size")
-    )
+
+    start = inner.select("doc_id", "node_id", open_end, "size")
+    known = climb(start, step, max_depth, "inner-nodes", "page tree").drop("_at")
     pages = nodes.where("page is not null").select(
         "doc_id", "page", F.col("parent_id").alias("node_id"), box_size(F.col("media_box")).alias("_own")
     )

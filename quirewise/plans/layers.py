@@ -13,6 +13,7 @@ from quirewise.plans.redaction import mask_sql
 from quirewise.plans.tables import ANNOTATIONS, FORM, PAGES, SIZES, SPANS, Tables, query, with_
 from quirewise.sources import corpus
 from quirewise.sources.corpus import page_texts
+from quirewise.sources.sinks import stage_table
 
 PATTERNS = list(NAMED_PATTERNS)
 FIRST_PART = [5]
@@ -77,6 +78,12 @@ def _pairs(t: Tables) -> DataFrame:
     )
 
 
+def _overlaid(t: Tables) -> DataFrame:
+    # Sizes serve four times: both sides of the pairs, and the page counts of both.
+    sizes = stage_table(t.page_sizes, "page-sizes")
+    return layer.overlay_align(_pairs(t), sizes, page_count(t.documents, sizes))
+
+
 QUERIES = {
     "form_fields": query(_fields),
     "form_fill": query(lambda t: forms.form_fill(t.form_nodes, _updates(t), max_depth=4)),
@@ -91,7 +98,7 @@ QUERIES = {
     "ocr_boxes": query(lambda t: layer.ocr_boxes(corpus.ocr_quads(t.doc_pages))),
     "ocr_text": query(lambda t: layer.ocr_text(_ocr_documents(t))),
     "compare_pages": query(_compared),
-    "overlay_align": query(lambda t: layer.overlay_align(_pairs(t), t.page_sizes, page_count(t.documents))),
+    "overlay_align": query(_overlaid),
 }
 
 _BLANK = r"regexp_matches(text, '\S')"

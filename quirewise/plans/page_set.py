@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirewise.operators import pages as ops
 from quirewise.plans.tables import NODES, PAGES, SPANS, SIZES, Tables, query, with_
 from quirewise.session import shared_folder
-from quirewise.sources.sinks import write_parts
+from quirewise.sources.sinks import stage_table, write_parts
 
 CUTS = [2, 5, 5, 0]
 SPEC = "1-5,7,10-12"
@@ -29,18 +29,26 @@ def _merge_list(t: Tables) -> DataFrame:
     return plain.unionByName(again)
 
 
-def _page_order(t: Tables) -> DataFrame:
+def _page_order(counts: DataFrame) -> DataFrame:
     """Reversed pages, with faults: a page out of range, a repeated page, a page left out."""
-    n = F.col("n_pages")
+    n, page = F.col("n_pages"), F.col("page")
     faulty = (
-        F.when((F.col("doc_id") % 7 == 0) & (F.col("page") == 1), n + 5)
-        .when((F.col("doc_id") % 11 == 0) & (F.col("page") == 1), n)
-        .otherwise(F.col("page"))
+        F.when((F.col("doc_id") % 7 == 0) & (page == 1), n + 5)
+        .when((F.col("doc_id") % 11 == 0) & (page == 1), n)
+        .otherwise(page)
     )
-    order = t.doc_pages.select("doc_id", (n + 1 - F.col("page")).alias("new_page"), faulty.alias("page"), n)
+    pages = counts.where("n_pages > 0").withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), n)))
+    order = pages.select("doc_id", (n + 1 - page).alias("new_page"), faulty.alias("page"), n)
     return order.where("not (doc_id % 13 = 0 and new_page = n_pages)").drop("n_pages")
 
 
+def _reordered(t: Tables) -> DataFrame:
+    # Counts serve the order and its checks, so that the text is read for counting only once.
+    counts = stage_table(ops.page_count(t.documents), "page-counts")
+    moved = ops.reorder_pages(t.doc_pages, _page_order(counts), counts)
+    return moved.select("doc_id", "new_page", "page", "text", "error")
+
+
 def _parts(t: Tables) -> DataFrame:
     parted = ops.split_at(t.doc_pages, CUTS).select("doc_id", "part", "page", "text")
     return write_parts(parted, f"{shared_folder(t.spark)}/parts-{uuid.uuid4().hex}")
@@ -70,11 +78,7 @@ QUERIES = {
     "extract_pages": query(
         lambda t: ops.extract_pages(t.doc_pages, EXTRACTED).select("doc_id", "page", "source_page", "text")
     ),
-    "reorder_pages": query(
-        lambda t: ops.reorder_pages(t.doc_pages, _page_order(t), ops.page_count(t.documents)).select(
-            "doc_id", "new_page", "page", "text", "error"
-        )
-    ),
+    "reorder_pages": query(_reordered),
     "dup_pages": query(lambda t: ops.dup_pages(t.doc_pages)),
     "dup_pages_corpus": query(lambda t: ops.dup_pages(t.doc_pages, "corpus")),
     "drop_dup_pages": query(
