@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.expr import indices, let, prefix_sums
 from quirewise.functions.geometry import blank_ranges, glyph_range, r3, strict_overlap
-from quirewise.functions.patterns import Pattern, blank_all, compile_patterns, match_ranges
+from quirewise.functions.patterns import all_matches, blank_all, compile_patterns
 from quirewise.model import ADVANCE, FONT_SIZE, MARGIN
 from quirewise.operators.spread import spread_join
 from quirewise.sources.corpus import baseline
@@ -26,29 +26,15 @@ def pii_spans(doc_pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
     if not compiled:
         raise ValueError("no patterns given")
 
-    def found(pattern: Pattern) -> Column:
-        return F.transform(
-            match_ranges(F.col("text"), pattern),
-            lambda r: F.struct(
-                F.lit(pattern.name).alias("pattern"),
-                r["lo"].cast("bigint").alias("start"),
-                r["hi"].cast("bigint").alias("end"),
-            ),
-        )
-
-    matches = F.concat(*[found(p) for p in compiled])
-    return (
-        doc_pages.select("doc_id", "page", "text", F.explode(matches).alias("_m"))
-        .select(
-            "doc_id",
-            "page",
-            "_m.pattern",
-            "_m.start",
-            "_m.end",
-            F.substr("text", F.col("_m.start").cast("int") + 1, (F.col("_m.end") - F.col("_m.start")).cast("int")).alias(
-                "match"
-            ),
-        )
+    matches = all_matches(F.col("text"), compiled)
+    start, length = F.col("_m.lo"), F.col("_m.hi") - F.col("_m.lo")
+    return doc_pages.select("doc_id", "page", "text", F.explode(matches).alias("_m")).select(
+        "doc_id",
+        "page",
+        "_m.pattern",
+        start.cast("bigint").alias("start"),
+        F.col("_m.hi").cast("bigint").alias("end"),
+        F.substr("text", start + 1, length).alias("match"),
     )
 
 
@@ -167,7 +153,7 @@ def auto_redact(doc_pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
     compiled = compile_patterns(patterns)
     advance = FONT_SIZE * ADVANCE
     rise = F.lit(FONT_SIZE)
-    matches = F.concat(*[match_ranges(F.col("text"), p) for p in compiled]) if compiled else None
+    matches = all_matches(F.col("text"), compiled)
 
     def bounds(match: Column, lines: Column, starts: Column) -> Column:
         """Bounds of the glyphs of one match over the lines it touches; null if it touches none."""
@@ -219,9 +205,8 @@ def auto_redact(doc_pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
         return F.when(F.size(found) == 0, F.split("text", "\n")).otherwise(let(F.split("text", "\n"), with_lines))
 
-    lines = F.split("text", "\n") if matches is None else let(matches, redacted)
     return (
-        doc_pages.select("doc_id", "page", F.posexplode(lines).alias("_pos", "text"))
+        doc_pages.select("doc_id", "page", F.posexplode(let(matches, redacted)).alias("_pos", "text"))
         .select(
             "doc_id",
             "page",
