@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.geometry import place_label, r3, text_width
 from quirewise.functions.text import fill_template, ink_share
+from quirewise.model import table_schema
 from quirewise.operators.spread import number_within, running_total, spread_join
 from quirewise.sources.corpus import count_pages, page_texts
 
@@ -46,12 +47,17 @@ def page_count(documents: DataFrame, doc_pages: DataFrame | None = None) -> Data
     )
 
 
-def merge_docs(merge_list: DataFrame, page_counts: DataFrame, doc_pages: DataFrame) -> DataFrame:
+def merge_docs(merge_list: DataFrame | Sequence[int], page_counts: DataFrame, doc_pages: DataFrame) -> DataFrame:
     """Concatenate the pages of the listed documents in list order.
 
-    ``merge_list(out_id, ord, doc_id)`` may name a document twice. Offsets come from page counts, so no global numbering
+    ``merge_list(out_id, ord, doc_id)``, or a plain list of documents for one output, may name a document twice. Offsets come from page counts, so no global numbering
     is needed; a document that many outputs share is spread over several tasks.
     """
+    if not isinstance(merge_list, DataFrame):
+        if not merge_list:
+            raise ValueError("no input documents to merge")
+        entries = [(0, i, int(doc)) for i, doc in enumerate(merge_list)]
+        merge_list = doc_pages.sparkSession.createDataFrame(entries, table_schema("merge_list"))
     sized = merge_list.join(page_counts, "doc_id", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
     placed = running_total(sized, ["out_id"], "ord", "n_pages", "_offset").drop("n_pages")
     content = doc_pages.drop("n_pages")

@@ -72,10 +72,8 @@ def _compared(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Every document with the next one of an even/odd pair as its overlay."""
-    return t.documents.where("doc_id % 2 = 0").select(
-        F.col("doc_id").alias("base_id"), (F.col("doc_id") + 1).alias("overlay_id")
-    )
+    """Every document with the next one as its overlay; the last one has none."""
+    return t.documents.select(F.col("doc_id").alias("base_id"), (F.col("doc_id") + 1).alias("overlay_id"))
 
 
 def _overlaid(t: Tables) -> DataFrame:
@@ -190,7 +188,7 @@ both_ AS (
     "overlay_align": with_(
         SIZES,
         """
-pairs AS (SELECT b.doc_id AS base_id, b.doc_id + 1 AS overlay_id FROM documents b WHERE b.doc_id % 2 = 0),
+pairs AS (SELECT b.doc_id AS base_id, b.doc_id + 1 AS overlay_id FROM documents b),
 fit AS (
   SELECT p.base_id, b.page, p.overlay_id, o.page AS overlay_page, b.width AS bw, b.height AS bh, o.width AS ow,
          o.height AS oh, least(b.width / greatest(o.width, 1), b.height / greatest(o.height, 1)) AS s

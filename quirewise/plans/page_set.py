@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirewise.operators import pages as ops
 from quirewise.plans.tables import NODES, PAGES, SPANS, SIZES, Tables, query, with_
 from quirewise.session import shared_folder
+from quirewise.sources.corpus import count_pages
 from quirewise.sources.sinks import stage_table, write_parts
 
 CUTS = [2, 5, 5, 0]
@@ -21,31 +22,29 @@ INK = 0.84
 
 
 def _merge_list(t: Tables) -> DataFrame:
-    """Ten documents in a binder, the first one once more at its end."""
-    doc = t.documents.select("doc_id")
-    binder = F.floor(F.col("doc_id") / 10).alias("out_id")
-    plain = doc.select(binder, (F.col("doc_id") % 10).alias("ord"), "doc_id")
-    again = doc.where("doc_id % 10 = 0").select(binder, F.lit(10).cast("bigint").alias("ord"), "doc_id")
-    return plain.unionByName(again)
+    """Ten documents to a binder, the whole row of them twice."""
+    doc = F.col("doc_id")
+    place = F.explode(F.array(doc % 10, doc % 10 + 10)).alias("ord")
+    return t.documents.select(F.floor(doc / 10).alias("out_id"), place, "doc_id")
 
 
 def _page_order(counts: DataFrame) -> DataFrame:
-    """Reversed pages, with faults: a page out of range, a repeated page, a page left out."""
-    n, page = F.col("n_pages"), F.col("page")
+    """Reversed pages; one source has a page out of range, one a repeated page, one leaves the last entry out."""
+    n, page, source = F.col("n_pages"), F.col("page"), F.col("source")
     faulty = (
-        F.when((F.col("doc_id") % 7 == 0) & (page == 1), n + 5)
-        .when((F.col("doc_id") % 11 == 0) & (page == 1), n)
-        .otherwise(page)
+        F.when((source == "src1") & (page == 1), n + 5).when((source == "src2") & (page == 1), n).otherwise(page)
     )
-    pages = counts.where("n_pages > 0").withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), n)))
-    order = pages.select("doc_id", (n + 1 - page).alias("new_page"), faulty.alias("page"), n)
-    return order.where("not (doc_id % 13 = 0 and new_page = n_pages)").drop("n_pages")
+    numbers = F.sequence(F.when(source == "src3", 2).otherwise(1).cast("bigint"), n)
+    pages = counts.withColumn("page", F.explode(F.when(n >= F.when(source == "src3", 2).otherwise(1), numbers)))
+    return pages.select("doc_id", (n + 1 - page).alias("new_page"), faulty.alias("page"))
 
 
 def _reordered(t: Tables) -> DataFrame:
     # Counts serve the order and its checks, so that the text is read for counting only once.
-    counts = stage_table(ops.page_count(t.documents), "page-counts")
-    moved = ops.reorder_pages(t.doc_pages, _page_order(counts), counts)
+    counts = stage_table(
+        t.documents.select("doc_id", "source", count_pages(F.col("text")).alias("n_pages")), "page-counts"
+    )
+    moved = ops.reorder_pages(t.doc_pages, _page_order(counts), counts.select("doc_id", "n_pages"))
     return moved.select("doc_id", "new_page", "page", "text", "error")
 
 
@@ -126,8 +125,8 @@ ORACLES = {
     "merge_docs": with_(
         PAGES,
         """
-listed AS (SELECT doc_id // 10 AS out_id, doc_id % 10 AS ord, doc_id FROM documents
-  UNION ALL SELECT doc_id // 10, 10, doc_id FROM documents WHERE doc_id % 10 = 0)""",
+listed AS (SELECT doc_id // 10 AS out_id, doc_id % 10 + 10 * again AS ord, doc_id
+  FROM documents, (VALUES (0), (1)) a(again))""",
     )
     + """SELECT out_id, row_number() OVER (PARTITION BY out_id ORDER BY ord, page) AS out_page, doc_id, page, text
 FROM listed JOIN doc_pages USING (doc_id)""",
@@ -159,12 +158,12 @@ filled AS (
     "reorder_pages": with_(
         PAGES,
         """
-wanted AS (
+orders_ AS (
   SELECT doc_id, n_pages + 1 - page AS new_page, n_pages,
-         CASE WHEN doc_id % 7 = 0 AND page = 1 THEN n_pages + 5 WHEN doc_id % 11 = 0 AND page = 1 THEN n_pages
+         CASE WHEN source = 'src1' AND page = 1 THEN n_pages + 5 WHEN source = 'src2' AND page = 1 THEN n_pages
               ELSE page END AS page
-  FROM doc_pages JOIN page_totals USING (doc_id)),
-orders_ AS (SELECT * FROM wanted WHERE NOT (doc_id % 13 = 0 AND new_page = n_pages)),
+  FROM doc_pages JOIN page_totals USING (doc_id) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)
+  WHERE source <> 'src3' OR page > 1),
 faults AS (
   SELECT doc_id, new_page, CASE WHEN page < 1 OR page > n_pages
            THEN 'page ' || page || ' out of range (1..' || n_pages || ')'

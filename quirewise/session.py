@@ -15,8 +15,14 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
-# Unions of inputs that are partitioned alike can fail when adaptive execution changes one side only.
-RUNTIME_SETTINGS = {"spark.sql.unionOutputPartitioning": "false"}
+RUNTIME_SETTINGS = {
+    # Unions of inputs that are partitioned alike can fail when adaptive execution changes one side only.
+    "spark.sql.unionOutputPartitioning": "false",
+    # Stream state lives on disk, so that it may outgrow the memory of an executor.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+}
 
 
 def local_session(cores: int | str = 8, memory: str = "12g", app: str = "quirewise") -> SparkSession:

@@ -104,6 +104,10 @@ def test_merge_keeps_order_counts_and_markers(table):
         table("merge_list", (7, 2, 1), (7, 1, 2), (7, 4, 1), (7, 3, 3)), ops.page_count(docs, pages), pages
     )
     assert rows(merged, "out_page", "text") == [(1, "B-1"), (2, "A-1"), (3, "A-2"), (4, "A-1"), (5, "A-2")]
+    plain = ops.merge_docs([2, 1], ops.page_count(docs, pages), pages)
+    assert rows(plain, "out_page", "text") == [(1, "B-1"), (2, "A-1"), (3, "A-2")]
+    with pytest.raises(ValueError, match="no input"):
+        ops.merge_docs([], ops.page_count(docs, pages), pages)
 
 
 def test_reorder_checks(table):
