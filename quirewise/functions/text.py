@@ -65,3 +65,23 @@ def parse_page_list_column(spec: Column) -> Column:
 def safe_file_name(col: Column) -> Column:
     """Characters that file systems refuse become ``_``."""
     return F.regexp_replace(col, '[\\\\/:*?"<>|\\x00-\\x1f]', "_")
+
+
+_BYTE_ORDER_MARK = "FEFF"
+
+
+def decode_text(data: Column) -> Column:
+    """Bytes to text: UTF-16BE behind its byte order mark, else one byte is one character."""
+    marked = F.hex(F.substring(data, 1, 2)) == _BYTE_ORDER_MARK
+    return F.when(marked, F.decode(F.substring(data, 3, 2**30), "UTF-16BE")).otherwise(F.decode(data, "ISO-8859-1"))
+
+
+def encode_text(text: Column) -> Column:
+    """Text to bytes: plain when ASCII, else UTF-16BE behind its byte order mark."""
+    wide = F.concat(F.unhex(F.lit(_BYTE_ORDER_MARK)), F.encode(text, "UTF-16BE"))
+    return F.when(F.length(text) == F.octet_length(text), F.encode(text, "UTF-8")).otherwise(wide)
+
+
+def decode_lossy(data: Column) -> Column:
+    """UTF-8 bytes to text; what is no valid UTF-8 becomes a replacement character."""
+    return F.make_valid_utf8(data.cast("string"))

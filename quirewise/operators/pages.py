@@ -50,8 +50,9 @@ def page_count(documents: DataFrame, doc_pages: DataFrame | None = None) -> Data
 def merge_docs(merge_list: DataFrame | Sequence[int], page_counts: DataFrame, doc_pages: DataFrame) -> DataFrame:
     """Concatenate the pages of the listed documents in list order.
 
-    ``merge_list(out_id, ord, doc_id)``, or a plain list of documents for one output, may name a document twice. Offsets come from page counts, so no global numbering
-    is needed; a document that many outputs share is spread over several tasks.
+    ``merge_list(out_id, ord, doc_id)``, or a plain list of documents for one output, may name a document twice.
+    Offsets come from page counts, so no global numbering is needed; a document that many outputs share is spread
+    over several tasks.
     """
     if not isinstance(merge_list, DataFrame):
         if not merge_list:

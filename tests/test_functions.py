@@ -134,3 +134,15 @@ def test_masks_keep_marks_in_the_text(value):
     for given, want in (("regex:x*", "a \u0001  \u0002b"), ("regex:x+", "a \u0001  \u0002b")):
         one = patterns.compile_patterns([given])
         assert value(patterns.blank_all(F.col("t"), one), t="ax\u0001xx\u0002b") == want
+
+
+@pytest.mark.parametrize("plain", ["", "ASCII only", "é", "多 \U0001f600"])
+def test_text_survives_encoding(value, plain):
+    assert value(text.decode_text(text.encode_text(F.col("t"))), t=plain) == plain
+
+
+def test_decoding(value):
+    assert value(text.decode_text(F.col("b")), b=bytearray(b"caf\xe9")) == "café"
+    assert value(text.decode_text(F.col("b")), b=bytearray(b"\xfe\xff\x00a\x20\xac")) == "a€"
+    assert bytes(value(text.encode_text(F.col("t")), t="é")) == b"\xfe\xff\x00\xe9"
+    assert value(text.decode_lossy(F.col("b")), b=bytearray(b"ok\xff!")) == "ok\ufffd!"
