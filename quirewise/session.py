@@ -18,6 +18,8 @@ SETTINGS = {
 RUNTIME_SETTINGS = {
     # Unions of inputs that are partitioned alike can fail when adaptive execution changes one side only.
     "spark.sql.unionOutputPartitioning": "false",
+    # A skewed join is split even if a later step then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Stream state lives on disk, so that it may outgrow the memory of an executor.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -22,6 +22,10 @@ from quirewise.model import (
 )
 
 
+# Partitions of an input, each up to spark.sql.files.maxPartitionBytes, below which it counts as small.
+SMALL_INPUT = 16
+
+
 class CorpusReadError(Exception):
     """An input cannot be read; the message holds its path and the reason."""
 
@@ -29,8 +33,8 @@ class CorpusReadError(Exception):
 def read_corpus(spark: SparkSession, root: str, name: str, spread_by: str | None = None) -> DataFrame:
     """Read one table with its declared schema.
 
-    With ``spread_by``, an input too small to be cut into a partition per core is spread over the cores by that key;
-    a larger one keeps its own partitions and is not shuffled.
+    With ``spread_by``, an input of a few partitions, too small to give every core work, is spread over the cores by
+    that key; any other input keeps its own partitions and is not shuffled.
     """
     path = f"{root.rstrip('/')}/{name}.parquet"
     try:
@@ -38,8 +42,8 @@ def read_corpus(spark: SparkSession, root: str, name: str, spread_by: str | None
     except AnalysisException as err:
         raise CorpusReadError(f"cannot read {path}: {err}") from err
     cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
+    if spread_by and df.rdd.getNumPartitions() < min(cores, SMALL_INPUT):
+        df = df.repartition(min(cores, 4 * SMALL_INPUT), spread_by)
     return df
 
 
