@@ -64,7 +64,10 @@ def scale_pages(nodes: DataFrame, sx: float, sy: float) -> DataFrame:
     factors = (sx, sy, sx, sy)
     defaults = (0.0, 0.0, PAGE_WIDTH, PAGE_HEIGHT)
     scaled = F.array(
-        *[r3(F.coalesce(F.get("media_box", i), F.lit(d)) * F.lit(float(f))) for i, (d, f) in enumerate(zip(defaults, factors))]
+        *[
+            r3(F.coalesce(F.get("media_box", i), F.lit(default)) * F.lit(float(factor)))
+            for i, (default, factor) in enumerate(zip(defaults, factors))
+        ]
     )
     return nodes.where("page is not null").withColumn(
         "media_box", F.when(F.col("media_box").isNotNull(), scaled)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # What each class of content looks like in a web page.
 SCRIPTS = r"(?is)<script\b.*?</script>"
 HANDLERS = r"""(?is)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+HANDLER_TAG = r"(?is)<[a-z][^<>]*\son[a-z]+\s*="
+TAGS = r"<[^<>]*>"
 EMBEDDED = r"(?is)<iframe\b.*?</iframe>|<object\b.*?</object>|<embed\b[^>]*>"
 HEAD_DATA = r"(?is)<title\b.*?</title>|<meta\b[^>]*>"
 LINK_TAGS = r"(?is)<a\b[^>]*>|</a>"
@@ -41,8 +43,7 @@ def _strip_handlers(html: Column) -> Column:
     cleaned = F.transform(
         parts, lambda p: F.when(p.startswith("<"), F.regexp_replace(p, HANDLERS, "")).otherwise(p)
     )
-    has_handler = html.rlike(r"(?is)<[a-z][^<>]*\son[a-z]+\s*=")
-    return F.when(has_handler, F.array_join(cleaned, "")).otherwise(html)
+    return F.when(html.rlike(HANDLER_TAG), F.array_join(cleaned, "")).otherwise(html)
 
 
 def strip_link_annotations(annotations: DataFrame) -> DataFrame:
@@ -51,7 +52,12 @@ def strip_link_annotations(annotations: DataFrame) -> DataFrame:
 
 
 def sanitize_report(pages: DataFrame, column: str = "html") -> DataFrame:
-    """How many items of each class a page holds."""
+    """How many items of each class a page holds; handlers are counted outside scripts."""
+    bare = F.regexp_replace(column, SCRIPTS, "")
+    tags = F.regexp_extract_all(bare, F.lit(TAGS), F.lit(0))
+    handlers = F.aggregate(
+        tags, F.lit(0).cast("bigint"), lambda n, tag: n + F.regexp_count(tag, F.lit(HANDLERS)).cast("bigint")
+    )
 
     def count(pattern: str) -> Column:
         return F.regexp_count(F.col(column), F.lit(pattern)).cast("bigint")
@@ -59,6 +65,7 @@ def sanitize_report(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.select(
         "page_id",
         count(SCRIPTS).alias("scripts"),
+        F.when(bare.rlike(HANDLER_TAG), handlers).otherwise(F.lit(0).cast("bigint")).alias("handlers"),
         count(EMBEDDED).alias("embedded"),
         count(HEAD_DATA).alias("metadata"),
         count(LINKS).alias("links"),

@@ -9,7 +9,6 @@ from quirewise.operators import convert as conv
 from quirewise.operators import metadata as ops
 from quirewise.operators.pages import page_count
 from quirewise.operators.sanitize import sanitize
-from quirewise.plans.security import _count
 from quirewise.plans.tables import META, PAGES, RESOURCES, Tables, query, unescape_sql, with_
 
 TARGET = 1500

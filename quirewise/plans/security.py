@@ -91,6 +91,9 @@ _NO_EMBED = rf"regexp_replace({_NO_SCRIPT}, '(?is)<iframe\b.*?</iframe>|<object\
 _NO_META = rf"regexp_replace({_NO_EMBED}, '(?is)<title\b.*?</title>|<meta\b[^>]*>', '', 'g')"
 
 
+_SQL_HANDLERS = ops.HANDLERS.replace("'", "''")
+
+
 def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(html, '{pattern}'))::BIGINT"
 
@@ -101,6 +104,8 @@ ORACLES = {
     "strip_link_annotations": with_(ANNOTATIONS)
     + "SELECT doc_id, page, ord, subtype, contents FROM annotations WHERE subtype <> 'Link'",
     "sanitize_report": f"""SELECT page_id, {_count(ops.SCRIPTS)} AS scripts, {_count(ops.EMBEDDED)} AS embedded,
+  coalesce(list_sum(list_transform(regexp_extract_all({_NO_SCRIPT}, '{ops.TAGS}'),
+    lambda t: len(regexp_extract_all(t, '{_SQL_HANDLERS}')))), 0)::BIGINT AS handlers,
   {_count(ops.HEAD_DATA)} AS metadata, {_count(ops.LINKS)} AS links FROM pages""",
     "protect": """SELECT doc_id, lang <> 'fr' AND text IS NOT NULL AS locked,
   CASE WHEN lang <> 'fr' AND text IS NOT NULL THEN 'document is already protected' END AS protect_error,

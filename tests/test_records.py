@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from quirewise.operators import convert, metadata, protect, sanitize
 from quirewise.sources import corpus
@@ -42,9 +41,9 @@ def test_flags_are_independent(page):
 
 
 def test_report_counts(page):
-    assert rows(sanitize.sanitize_report(page)) == [(1, 1, 3, 3, 1)]
+    assert rows(sanitize.sanitize_report(page)) == [(1, 1, 3, 3, 3, 1)]
     clean = sanitize.sanitize(page, True, True, True, True)
-    assert rows(sanitize.sanitize_report(clean)) == [(1, 0, 0, 0, 0)]
+    assert rows(sanitize.sanitize_report(clean)) == [(1, 0, 0, 0, 0, 0)]
 
 
 def test_link_annotations_keep_others_and_untyped(table):
