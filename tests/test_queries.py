@@ -5,12 +5,12 @@ from __future__ import annotations
 import pytest
 from compare import differences, duck
 
-import __spark_entry__ as driver
+from quirewise.plans import registry
 
 ROOT = "/root/testdata/sf0.001"
 
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
 # Work inside the row of a document or page; the only exchange may be the spread of a small input over the cores.
 ROW_LOCAL = [
