@@ -6,9 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirewise.llm import langid, packing, simhash, toxicity
 from quirewise.sources.sinks import stage_table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out toxic documents; the model learns from the labelled ones of ``docs``."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents whose language is unknown or ambiguous; the model learns from ``docs``."""
+    return langid.with_known_language(docs)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near fingerprints stays."""
+    return simhash.one_of_each(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in which training sequence."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("language", in_a_language),
+    ("near_duplicates", unlike),
+    ("packing", packed),
+]
 
 #: The stages learn models and follow links of any length, which SQL doesn't express; tests compare with brute force.
 ORACLE_SQL: str | None = None

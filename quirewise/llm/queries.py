@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirewise.llm import minhash, quality
+from quirewise.llm import bpe, langid, lm, minhash, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +21,50 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_fingerprints)}
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encode, decode = bpe.codec(spark, ranks, public_tokenizers.PATTERN)
+    coded = _table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
+    return coded.select("doc_id", "ids", decode("ids").alias("decoded")).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.grouped(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return langid.judged(documents, langid.fit(documents))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.judged(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
+
+
+_ALL = (
+    op1_quality_rules,
+    op2_fingerprints,
+    op3_byte_bpe,
+    op6_lm_scoring,
+    op7_simhash,
+    op8_packing,
+    op9_language,
+    op10_toxicity,
+)
+QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}
