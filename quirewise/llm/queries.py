@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm import bpe, langid, lm, minhash, packing, quality, simhash, toxicity
+from quirewise.llm import bpe, html, langid, lm, minhash, packing, quality, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +68,8 @@ _ALL = (
     op1_quality_rules,
     op2_fingerprints,
     op3_byte_bpe,
+    op4_main_text,
+    op5_url_filter,
     op6_lm_scoring,
     op7_simhash,
     op8_packing,
