@@ -5,7 +5,7 @@ weights of the mix depend on the bucket (power of two) of the context's frequenc
 maximisation on counts held out of the training texts.
 
 Counts grow with the corpus, so no task and no broadcast holds them. Texts are written once as compressed chunks of some
-32 MB. Each chunk asks for the counts of its distinct words and bigrams: it sends their sorted 64-bit hashes, cut by
+16 MB. Each chunk asks for the counts of its distinct words and bigrams: it sends their sorted 64-bit hashes, cut by
 range, to the buckets that sum them over all chunks, and gets the sums back in the same order. A frequent word is one
 key per chunk, so hot words, hot sources and copies make no hot task. Number of chunks and of buckets follow the input.
 """
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from quirewise.sources.sinks import stage_table
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Distinct keys that a bucket is to sum, and keys expected of a chunk.
-BUCKET_KEYS, CHUNK_KEYS = 4_000_000, 3_500_000
+BUCKET_KEYS, CHUNK_KEYS = 2_000_000, 1_900_000
 #: What texts are for: scored only, counted for the weights, counted for the estimates.
 TEST, DELETED, RETAINED = 0, 1, 2
 CONTEXTS = 64
@@ -202,13 +202,13 @@ def _asked(chunks: DataFrame, bits: int) -> DataFrame:
                 for first, data in ((0, frozen), (2, apart)):
                     table = _thawed(data)
                     keyed = Keyed.of(_texts(table))
-                    role = np.repeat(table["role"].to_numpy(), keyed.lengths) if first == 0 else None
+                    role = np.repeat(table["role"].to_numpy().astype(np.uint8), keyed.lengths) if first == 0 else None
                     rows = []
                     for kind, keys in ((first, keyed.word), (first + 1, keyed.bigram)):
                         if kind == first:
                             # Every context is a word and as frequent as it, but for the start.
                             keys = np.concatenate((keys, np.full(len(keyed.lengths), START)))
-                            own = None if role is None else np.concatenate((role, table["role"].to_numpy()))
+                            own = None if role is None else np.concatenate((role, table["role"].to_numpy().astype(np.uint8)))
                         else:
                             own = role
                         if own is None:
