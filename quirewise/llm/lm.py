@@ -5,7 +5,7 @@ weights of the mix depend on the bucket (power of two) of the context's frequenc
 maximisation on counts held out of the training texts.
 
 Counts grow with the corpus, so no task and no broadcast holds them. Texts are written once as compressed chunks of some
-16 MB. Each chunk asks for the counts of its distinct words and bigrams: it sends their sorted 64-bit hashes, cut by
+8 MB. Each chunk asks for the counts of its distinct words and bigrams: it sends their sorted 64-bit hashes, cut by
 range, to the buckets that sum them over all chunks, and gets the sums back in the same order. A frequent word is one
 key per chunk, so hot words, hot sources and copies make no hot task. Number of chunks and of buckets follow the input.
 """
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from quirewise.sources.sinks import stage_table
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Distinct keys that a bucket is to sum, and keys expected of a chunk.
-BUCKET_KEYS, CHUNK_KEYS = 2_000_000, 1_900_000
+BUCKET_KEYS, CHUNK_KEYS = 1_000_000, 1_000_000
 #: What texts are for: scored only, counted for the weights, counted for the estimates.
 TEST, DELETED, RETAINED = 0, 1, 2
 CONTEXTS = 64
 _STEP = 8
-_BLOCK = 2 << 20
+_BLOCK = 1 << 19
 
 _random = np.random.default_rng(6)
 _SYMBOL = _random.integers(0, 2**64, 256, np.uint64)
@@ -227,6 +227,8 @@ def _asked(chunks: DataFrame, bits: int) -> DataFrame:
                             if lo < hi:
                                 part = _zip_sorted(distinct[lo:hi]), _zip(counts[0][lo:hi]), _zip(counts[1][lo:hi])
                                 rows.append((b, kind, chunk, *part))
+                    del keyed, table, keys, own
+                    pa.default_memory_pool().release_unused()
                     if rows:
                         names = ["bucket", "kind", "chunk", "keys", "retained", "deleted"]
                         arrays = dict(zip(names, map(list, zip(*rows))))
@@ -376,11 +378,13 @@ def scored(documents: DataFrame) -> DataFrame:
         table = _thawed(texts["texts"][0].as_py())
         keyed = Keyed.of(_texts(table))
         word, context, bigram = _looked_up(keyed, own, 0, "whole")
-        share = mix[context_bucket(context)]
-        chance = share[:, 0] * (bigram / np.maximum(context, 1)) + share[:, 1] * (word / max(1, n))
-        chance += share[:, 2] / (types + 1)
+        kind = context_bucket(context)
+        chance = mix[:, 0][kind] * (bigram / np.maximum(context, 1))
+        chance += mix[:, 1][kind] * (word / max(1, n))
+        chance += mix[:, 2][kind] / (types + 1)
         base = np.log10((word + 0.1) / (n + 0.1 * (types + 1)))
         starts = np.cumsum(keyed.lengths) - keyed.lengths
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {
                 "doc_id": table["doc_id"],
