@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quirewise.sources.sinks import stage_table
 
@@ -126,18 +125,19 @@ def _is_training(doc_id: Column) -> Column:
 
 
 def fit(documents: DataFrame) -> Model:
-    """Learn from at most ``TEXTS_PER_LANG`` whole texts of each of the ``MOST_LANGS`` most frequent languages.
+    """Learn from about ``TEXTS_PER_LANG`` whole texts, or all if there are fewer, of each of the ``MOST_LANGS`` most frequent languages.
 
     Rows whose crc32(doc_id) mod 3 is 1 and rows with a null id, text or language are not used. Texts are picked by a
     hash of the id, so the choice does not depend on the order of rows. Without a usable row every text is ``und``.
     """
     usable = documents.where("doc_id is not null and lang is not null and text is not null")
     usable = usable.where(_is_training(F.col("doc_id")))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
-    ids = usable.select("doc_id", "lang").join(F.broadcast(frequent), "lang", "left_semi")
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = stage_table(ids.withColumn("nth", nth).where(F.col("nth") <= TEXTS_PER_LANG).drop("nth").distinct(), "langid-sample")
-    # At most MOST_LANGS * TEXTS_PER_LANG rows of an id and a language.
+    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    part = F.least(F.lit(1.0), TEXTS_PER_LANG / F.col("count"))
+    ids = usable.select("doc_id", "lang").join(F.broadcast(frequent), "lang")
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
+    chosen = stage_table(ids.select("doc_id", "lang").distinct(), "langid-sample")
+    # About MOST_LANGS * TEXTS_PER_LANG rows at most of an id and a language.
     texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
