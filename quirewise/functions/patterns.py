@@ -6,6 +6,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,22 +27,83 @@ HINTS = {"email": "@", "phone_us": r"(?U)\d{3}", "ssn": r"(?U)\d{3}", "credit_ca
 
 _OPEN, _CLOSE = "\u0001", "\u0002"
 _MARKS = "[\\x01\\x02]"
-_REFUSED = re.compile(r"\(\?<?[=!]|\(\?>|\\[1-9]|\(\?P=|\\k<")
+# What the named sets in brackets stand for, ASCII only.
+_SETS = {
+    "alnum": "0-9A-Za-z",
+    "alpha": "A-Za-z",
+    "ascii": r"\x00-\x7F",
+    "blank": r"\t ",
+    "cntrl": r"\x00-\x1F\x7F",
+    "digit": "0-9",
+    "graph": "!-~",
+    "lower": "a-z",
+    "print": " -~",
+    "punct": r"!-/:-@\[-`{-~",
+    "space": r"\t\n\x0B\f\r ",
+    "upper": "A-Z",
+    "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+}
+_TOKEN = re.compile(
+    r"\\(?:[pPx]\{[^}]*\}|.)|\[:(\^?)(\w+):\]|\(\?(P?<[A-Za-z_]\w*>|<[=!]|P[=>]|[^)\w<-]|[\w-]+)?|\{\d+(?:,\d*)?\}|.",
+    re.S,
+)
+
+
+def _for_java(source: str) -> str:
+    """The same pattern for Spark's engine; what only that engine would take, or reads otherwise, is refused."""
+    out: list[str] = []
+    brackets, repeated = 0, False
+    by_line = re.search(r"\(\?[a-z]*m", source) is not None
+    for token in _TOKEN.finditer(source):
+        part = token.group()
+        named = token.group(2)
+        if part[0] == "\\" and (part[1:2].isdigit() and part[1] != "0" or part[1:2] == "k"):
+            raise ValueError("back-references are not supported")
+        if named is not None and brackets:
+            if named not in _SETS:
+                raise ValueError(f"unknown set [:{named}:]")
+            part = f"[^{_SETS[named]}]" if token.group(1) else _SETS[named]
+        elif named is not None:
+            brackets += 1
+        elif brackets:
+            brackets += {"[": 1, "]": -1}.get(part, 0) if not (part == "]" and out[-1] in ("[", "[^")) else 0
+            if part == "]" and out[-1] in ("[", "[^"):
+                part = r"\]"
+            elif part == "^" and out[-1] == "[":
+                out.pop()
+                part = "[^"
+        elif part == "[":
+            brackets += 1
+        elif part == "$" and not by_line:
+            part = r"\z"
+        elif part.startswith("(?"):
+            kind = token.group(3) or ""
+            if kind in ("<=", "<!", "=", "!"):
+                raise ValueError("look-around is not supported")
+            if kind[:1] in (">", "P") and not kind.startswith("P<"):
+                raise ValueError(f"the group (?{kind} is not supported")
+            if re.search("[UR]", kind) and not kind.startswith(("<", "P<")):
+                raise ValueError(f"the flags in (?{kind} are not supported")
+            if kind.startswith(("<", "P<")):
+                part = "("
+        repeats = not brackets and (part in ("*", "+", "?") or part[0] == "{" and len(part) > 1)
+        if repeated and part == "+" and not brackets:
+            raise ValueError("possessive repetition is not supported")
+        repeated = repeats
+        out.append(part)
+    return "".join(out)
 
 
 @dataclass(frozen=True)
 class Pattern:
+    """``java`` is what Spark's engine runs: digits, blanks, words and letter case mean their Unicode sets, and only a
+    line feed ends a line."""
+
     name: str
     source: str
-
-    @property
-    def java(self) -> str:
-        """Digit, blank and word classes mean their Unicode sets."""
-        return f"(?U){self.source}" if re.search(r"\\[dswbDSWB]", self.source) else self.source
-
-    @property
-    def may_be_empty(self) -> bool:
-        return re.match(f"(?:{self.source})$", "") is not None or r"\b" in self.source.lower()
+    java: str
+    may_be_empty: bool
 
     def found_in(self, text: Column) -> Column:
         return text.rlike(self.java)
@@ -58,28 +121,42 @@ def passes(text: Column, hint: str) -> Column:
     return F.contains(text, F.lit(hint)) if hint == re.escape(hint) else text.rlike(hint)
 
 
+def _checked(given: str, java: str) -> Pattern:
+    """Let Spark's own engine judge a pattern, while the plan is built."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        raise ValueError("patterns need a running session")
+    try:
+        compiled = context._jvm.java.util.regex.Pattern.compile(java)
+    except IllegalArgumentException as err:
+        raise ValueError(str(err).split("\n")[0]) from err
+    bare = re.sub(r"\\[^bBz]", "", java)
+    may_be_empty = compiled.matcher("").find() or any(mark in bare for mark in ("\\b", "\\B", "\\z", "^", "$"))
+    return Pattern(given, given.partition(":")[2], java, may_be_empty)
+
+
 def compile_patterns(patterns: Sequence[str]) -> list[Pattern]:
-    """Names of detectors, ``text:<literal>`` or ``regex:<pattern>``; anything else is an error."""
+    """Names of detectors, ``text:<literal>`` or ``regex:<pattern>``; anything else is an error.
+
+    A pattern may have flags anywhere, Unicode classes, sets like ``[[:alpha:]]`` and named groups; look-around,
+    back-references, possessive repetition and atomic groups are refused.
+    """
     out = []
     for given in patterns:
         if given in NAMED_PATTERNS:
-            out.append(Pattern(given, NAMED_PATTERNS[given]))
+            source = NAMED_PATTERNS[given]
+            out.append(Pattern(given, source, f"(?U){source}" if r"\d" in source else source, False))
         elif given.startswith("regex:"):
-            source = given.removeprefix("regex:")
             try:
-                re.compile(source)
-            except re.error as err:
+                out.append(_checked(given, f"(?Ud){_for_java(given.removeprefix('regex:'))}"))
+            except ValueError as err:
                 raise ValueError(f"invalid pattern '{given}': {err}") from err
-            if _REFUSED.search(source):
-                raise ValueError(f"invalid pattern '{given}': look-around and back-references are not supported")
-            out.append(Pattern(given, source))
         elif given.startswith("text:"):
-            out.append(Pattern(given, re.escape(given.removeprefix("text:"))))
+            literal = given.removeprefix("text:")
+            out.append(Pattern(given, re.escape(literal), re.escape(literal), not literal))
         else:
-            raise ValueError(
-                f"unknown pattern '{given}': expected email, phone_us, ssn, credit_card, "
-                "text:<literal>, or regex:<pattern>"
-            )
+            known = ", ".join(NAMED_PATTERNS)
+            raise ValueError(f"pattern '{given}' is neither one of {known} nor starts with text: or regex:")
     return out
 
 

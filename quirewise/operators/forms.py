@@ -10,23 +10,16 @@ from quirewise.operators.spread import spread_join
 from quirewise.operators.tree import climb
 from quirewise.sources.sinks import stage_table
 
-MAX_DEPTH = 8
-_WIDTH = 12
+_LEAST = str(2**63)
 
 
 def _step(order: Column) -> Column:
-    """Part of a walk key: sorting keys as text gives the order of the walk."""
-    return F.lpad(order.cast("string"), _WIDTH, "0")
+    """Part of a walk key: every order, moved above zero, in as many digits, so that text sorts as the walk does."""
+    return F.lpad((order.cast("decimal(20,0)") + F.lit(_LEAST).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
 
 
-def _reached(groups: DataFrame, max_depth: int) -> DataFrame:
-    """Groups whose ancestors are all groups, with their walk keys."""
-    above = groups.select(
-        "doc_id",
-        F.col("node_id").alias("_at"),
-        F.col("parent_id").alias("_up"),
-        _step(F.col("ord")).alias("_key"),
-    )
+def _reached(groups: DataFrame) -> DataFrame:
+    """Groups whose ancestors are all groups, with their walk keys; groups in a ring hang on no root."""
     start = groups.select(
         "doc_id",
         "node_id",
@@ -35,20 +28,27 @@ def _reached(groups: DataFrame, max_depth: int) -> DataFrame:
         F.lit(False).alias("lost"),
     )
 
-    def step(pending: DataFrame) -> DataFrame:
-        return pending.join(above, ["doc_id", "_at"], "left").select(
+    def merge(pending: DataFrame, known: DataFrame) -> DataFrame:
+        above = known.select(
+            "doc_id",
+            F.col("node_id").alias("_at"),
+            F.col("_at").alias("_up"),
+            F.col("walk_key").alias("_key"),
+            F.col("lost").alias("_lost"),
+        )
+        return pending.drop("lost").join(above, ["doc_id", "_at"], "left").select(
             "doc_id",
             "node_id",
             F.col("_up").alias("_at"),
             F.concat_ws("/", "_key", "walk_key").alias("walk_key"),
-            F.col("_key").isNull().alias("lost"),
+            F.coalesce("_lost", F.lit(True)).alias("lost"),
         )
 
-    done = climb(start, step, max_depth, "groups", "form tree")
-    return done.where(~F.col("lost")).select("doc_id", "node_id", "walk_key")
+    known = climb(start, merge, "groups")
+    return known.where(~F.col("lost") & F.col("_at").isNull()).select("doc_id", "node_id", "walk_key")
 
 
-def _walked(nodes: DataFrame, max_depth: int) -> DataFrame:
+def _walked(nodes: DataFrame) -> DataFrame:
     """Fields the walk reaches, with their walk key and the page of their first widget.
 
     A node with kids is a field if its first kid is a widget, else a group to descend into; a node without kids is a
@@ -63,7 +63,7 @@ def _walked(nodes: DataFrame, max_depth: int) -> DataFrame:
     widget = F.coalesce(F.col("first_kid.subtype") == "Widget", F.lit(False))
     is_group = F.col("first_kid").isNotNull() & ~widget
     groups = stage_table(tree.where(is_group).select("doc_id", "node_id", "parent_id", "ord"), "groups")
-    reached = _reached(groups, max_depth)
+    reached = _reached(groups)
     fields = tree.where(~is_group)
     top = fields.where("parent_id is null").withColumn("walk_key", _step(F.col("ord")))
     above = reached.select("doc_id", F.col("node_id").alias("parent_id"), F.col("walk_key").alias("_above"))
@@ -76,12 +76,12 @@ def _walked(nodes: DataFrame, max_depth: int) -> DataFrame:
     return top.unionByName(below).withColumn("_page", page).drop("first_kid")
 
 
-def form_fields(nodes: DataFrame, doc_pages: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def form_fields(nodes: DataFrame, doc_pages: DataFrame | None = None) -> DataFrame:
     """Flatten form trees to their fields, which need a name and a type.
 
     The name is the node's own; a page that does not resolve, in ``doc_pages`` if given, is 0.
     """
-    fields = _walked(nodes, max_depth).where("name is not null and field_type is not null")
+    fields = _walked(nodes).where("name is not null and field_type is not null")
     if doc_pages is None:
         page = F.coalesce("_page", F.lit(0))
     else:
@@ -91,7 +91,7 @@ def form_fields(nodes: DataFrame, doc_pages: DataFrame | None = None, max_depth:
     return fields.select("doc_id", "walk_key", "name", "field_type", "value", page.cast("bigint").alias("page"))
 
 
-def form_fill(nodes: DataFrame, updates: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def form_fill(nodes: DataFrame, updates: DataFrame) -> DataFrame:
     """Set values by field name: ``updates([doc_id,] ord, name, value)``.
 
     The last update of a name wins, every field of that name is set, unknown names change nothing, and a field needs
@@ -99,7 +99,7 @@ def form_fill(nodes: DataFrame, updates: DataFrame, max_depth: int = MAX_DEPTH)
     """
     on = ["doc_id", "name"] if "doc_id" in updates.columns else ["name"]
     latest = updates.groupBy(*on).agg(F.max_by("value", "ord").alias("_new"))
-    fields = _walked(nodes, max_depth).where("name is not null")
+    fields = _walked(nodes).where("name is not null")
     filled = spread_join(fields, latest, on, salt_by=["doc_id", "node_id"], how="left", hot_in=nodes)
     return filled.select(
         "doc_id",

@@ -8,46 +8,37 @@ from pyspark.sql import functions as F
 from quirewise.functions.geometry import box_size, r3, strict_overlap
 from quirewise.model import ADVANCE, PAGE_HEIGHT, PAGE_WIDTH
 from quirewise.operators.tree import climb
-from quirewise.sources.sinks import stage_table
 
-MAX_DEPTH = 8
-
-
-def page_size(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def page_size(nodes: DataFrame) -> DataFrame:
     """Width and height of every page from the nearest well-formed box on the way to the root.
 
-    Only inner nodes, few beside the pages, climb the tree; pages join them once. A tree deeper than ``max_depth``
-    is an error.
+    Only inner nodes, few beside the pages, climb the tree; pages join them once. A page whose nodes hang in a ring has
+    no size but an ``error``; all other pages are not touched by it.
     """
-    inner = stage_table(
-        nodes.where("page is null").select(
-            "doc_id", "node_id", "parent_id", box_size(F.col("media_box")).alias("size")
-        ),
-        "inner-nodes",
+    inner = nodes.where("page is null").select(
+        "doc_id", "node_id", "parent_id", box_size(F.col("media_box")).alias("size")
     )
-    above = inner.select(
-        "doc_id", F.col("node_id").alias("_at"), F.col("parent_id").alias("_up"), F.col("size").alias("_above")
-    )
-    open_end = F.when(F.col("size").isNull(), F.col("parent_id")).alias("_at")
+    start = inner.select("doc_id", "node_id", F.when(F.col("size").isNull(), F.col("parent_id")).alias("_at"), "size")
 
-    def step(pending: DataFrame) -> DataFrame:
+    def merge(pending: DataFrame, known: DataFrame) -> DataFrame:
+        above = known.select(
+            "doc_id", F.col("node_id").alias("_at"), F.col("_at").alias("_up"), F.col("size").alias("_above")
+        )
         return pending.drop("size").join(above, ["doc_id", "_at"], "left").select(
-            "doc_id",
-            "node_id",
-            F.when(F.col("_above").isNull(), F.col("_up")).alias("_at"),
-            F.col("_above").alias("size"),
+            "doc_id", "node_id", F.col("_up").alias("_at"), F.col("_above").alias("size")
         )
 
-    start = inner.select("doc_id", "node_id", open_end, "size")
-    known = climb(start, step, max_depth, "inner-nodes", "page tree").drop("_at")
+    known = climb(start, merge, "inner-nodes").select("doc_id", "node_id", "size", F.col("_at").isNotNull().alias("_ring"))
     pages = nodes.where("page is not null").select(
         "doc_id", "page", F.col("parent_id").alias("node_id"), box_size(F.col("media_box")).alias("_own")
     )
-    size = F.coalesce("_own", "size", F.struct(F.lit(PAGE_WIDTH).alias("w"), F.lit(PAGE_HEIGHT).alias("h")))
+    default = F.struct(F.lit(PAGE_WIDTH).alias("w"), F.lit(PAGE_HEIGHT).alias("h"))
+    lost = F.col("_own").isNull() & F.coalesce("_ring", F.lit(False))
+    size = F.when(~lost, F.coalesce("_own", "size", default))
     return (
         pages.join(known, ["doc_id", "node_id"], "left")
-        .select("doc_id", "page", size.alias("_s"))
-        .select("doc_id", "page", r3(F.col("_s.w")).alias("width"), r3(F.col("_s.h")).alias("height"))
+        .select("doc_id", "page", size.alias("_s"), F.when(lost, F.lit("the page tree has a ring")).alias("error"))
+        .select("doc_id", "page", r3(F.col("_s.w")).alias("width"), r3(F.col("_s.h")).alias("height"), "error")
     )
 
 

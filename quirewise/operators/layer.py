@@ -15,7 +15,7 @@ SUBTYPES = {"highlight": "Highlight", "underline": "Underline", "strikeout": "St
 def subtype_of(kind: str) -> str:
     if kind not in SUBTYPES:
         raise ValueError(
-            f"unsupported annotation kind '{kind}' (expected highlight, underline, strikeout, or note)"
+            f"no such kind of mark: {kind}"
         )
     return SUBTYPES[kind]
 
@@ -34,9 +34,7 @@ def add_annotations(annotations: DataFrame, requests: DataFrame, doc_pages: Data
     error = F.when(
         F.col("subtype").isNull(),
         F.concat(
-            F.lit("unsupported annotation kind '"),
-            F.col("kind"),
-            F.lit("' (expected highlight, underline, strikeout, or note)"),
+            F.lit("no such kind of mark: "), F.coalesce("kind", F.lit("null"))
         ),
     ).when(F.col("_known").isNull(), F.concat(F.lit("page "), F.col("page"), F.lit(" does not exist")))
     added = (

@@ -90,7 +90,7 @@ def certify(requests: DataFrame, manifest: DataFrame, documents: DataFrame) -> D
 
     The permission must be 1 to 3. A document signed before, or by an earlier valid request, is refused.
     """
-    in_range = F.col("permission").between(1, 3)
+    in_range = F.coalesce(F.col("permission").between(1, 3), F.lit(False))
     first = requests.where(in_range).groupBy("doc_id").agg(F.min("ord").alias("_first"))
     signed = manifest.select("doc_id").distinct().withColumn("_signed", F.lit(True))
     # One row per document first, so that a document with very many requests is joined once and can be spread.
@@ -98,7 +98,7 @@ def certify(requests: DataFrame, manifest: DataFrame, documents: DataFrame) -> D
     error = (
         F.when(
             ~in_range,
-            F.concat(F.lit("certification permission must be 1, 2 or 3, got "), F.col("permission")),
+            F.concat(F.lit("permission "), F.coalesce(F.col("permission").cast("string"), F.lit("null")), F.lit(" is not 1, 2 or 3")),
         )
         .when(F.col("digest").isNull(), F.lit("document does not exist"))
         .when(F.col("_signed") | (F.col("ord") > F.col("_first")), F.lit(ALREADY_SIGNED))

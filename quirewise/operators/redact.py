@@ -101,6 +101,8 @@ def match_boxes(matches: DataFrame, spans: DataFrame) -> DataFrame:
 def redact_areas(spans: DataFrame, areas: DataFrame) -> DataFrame:
     """Blank every glyph whose box overlaps an area of its page; touching edges do not count.
 
+    An area without width or height that lies inside a glyph blanks it as well.
+
     Areas meet runs by horizontal bands of the page, spread over tasks where a band holds very many. An area meets a
     run in one range of glyphs; ranges shrink to the longest per first glyph before they are gathered, so a run never
     gathers more ranges than it has glyphs, however many areas a page has.
@@ -112,14 +114,15 @@ def redact_areas(spans: DataFrame, areas: DataFrame) -> DataFrame:
     runs = spans.where(F.length("text") > 0).select(
         *key, F.length("text").alias("_len"), "x", "y", "font_size", band(F.col("y"), top)
     )
-    boxes = areas.where("width > 0 and height > 0").select(
+    low, high = F.col("y"), F.col("y") + F.col("height")
+    boxes = areas.select(
         "doc_id",
         "page",
         F.col("x").alias("_bx0"),
         (F.col("x") + F.col("width")).alias("_bx1"),
         F.col("y").alias("_by0"),
         (F.col("y") + F.col("height")).alias("_by1"),
-        band(F.col("y"), F.col("y") + F.col("height")),
+        band(F.least(low, high), F.greatest(low, high)),
     )
     hits = (
         spread_join(boxes, runs, ["doc_id", "page", "_band"], salt_by=["_bx0", "_by0", "_bx1", "_by1"])

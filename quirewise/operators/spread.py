@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 BUCKET = 65_536
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-SALTS = 64
 
 
 def _bucketed(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -49,12 +47,12 @@ def number_within(df: DataFrame, group: Sequence[str], order: str, out: str, wid
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows, the ``HOT_KEYS`` largest at most.
+    """Keys with more than ``rows`` rows and ``_parts``, over how many sub-keys of ``rows`` rows each is to be spread.
 
-    Every key that holds over 1/HOT_KEYS of all rows is among them, so the result is small by construction.
+    There is at most one such key per ``rows`` rows of the table. Spark broadcasts them if they turn out small.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    return counts.orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on, F.lit(True).alias("_hot"))
+    return counts.select(*on, F.ceil(F.col("_n") / rows).alias("_parts"))
 
 
 def spread_join(
@@ -65,27 +63,26 @@ def spread_join(
     how: str = "inner",
     hot_in: DataFrame | None = None,
     rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi join where single keys of ``many`` may own a large share of its rows.
 
-    Rows of hot keys are spread over ``salts`` sub-keys and their partners repeated for each; other keys join plainly.
+    Rows of hot keys are spread over sub-keys, as many as their number asks for, and their partners repeated for each;
+    other keys join plainly.
     Hot keys are looked for in ``hot_in``, a cheaper table with at least as many rows per key, or in ``many`` itself.
     """
     on = list(on)
     if how not in ("inner", "left"):
         raise ValueError(f"spread_join supports inner and left, not '{how}'")
-    # At most HOT_KEYS rows, see hot_keys.
-    hot = F.broadcast(hot_keys(many if hot_in is None else hot_in, on, rows))
+    hot = hot_keys(many if hot_in is None else hot_in, on, rows)
     left = (
         many.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_parts")), F.lit(0)))
+        .drop("_parts")
     )
-    all_salts = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    all_salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1)
     right = (
         one.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0).cast("bigint")))))
-        .drop("_hot")
+        .withColumn("_salt", F.explode(all_salts))
+        .drop("_parts")
     )
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -1,4 +1,4 @@
-"""Climbing parent links level by level."""
+"""Following parent links to their end."""
 
 from __future__ import annotations
 
@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame
 from quirewise.sources.sinks import stage_table
 
 
-def climb(
-    start: DataFrame, step: Callable[[DataFrame], DataFrame], max_depth: int, name: str, what: str
-) -> DataFrame:
-    """Apply ``step`` to the rows that still point upwards (``_at`` is not null) until none is left.
+def climb(start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
+    """Resolve rows that still point upwards (``_at`` is not null) through the rows they point at.
 
-    Every level works on the rows still open, written once to the shared folder, so a level costs one join and the
-    number of levels is that of the data. Links deeper than ``max_depth``, or in a ring, are an error.
+    ``merge(pending, known)`` joins each pending row with the row at its ``_at`` and takes over what that one has found
+    so far, its pointer included. So the reach of a row doubles each round: a chain of a thousand links takes ten. Each
+    round is written once to the shared folder. Rows that still point somewhere after more rounds than there are doublings
+    of all rows hang in a ring; they keep their ``_at`` and it is for the caller to say what that means.
     """
-    done, pending = start.where("_at is null"), start.where("_at is not null")
-    for _ in range(max_depth):
+    known = stage_table(start, name)
+    rounds = known.count().bit_length() + 1
+    for _ in range(rounds):
+        pending = known.where("_at is not null")
         if pending.isEmpty():
-            return done
-        level = stage_table(step(pending), name)
-        done = done.unionByName(level.where("_at is null"))
-        pending = level.where("_at is not null")
-    if not pending.isEmpty():
-        raise ValueError(f"{what} deeper than {max_depth} levels")
-    return done
+            return known
+        known = stage_table(known.where("_at is null").unionByName(merge(pending, known)), name)
+    return known

@@ -20,7 +20,7 @@ FIRST_PART = [5]
 
 
 def _fields(t: Tables) -> DataFrame:
-    return forms.form_fields(t.form_nodes, t.doc_pages, max_depth=4)
+    return forms.form_fields(t.form_nodes, t.doc_pages)
 
 
 def _updates(t: Tables) -> DataFrame:
@@ -84,7 +84,7 @@ def _overlaid(t: Tables) -> DataFrame:
 
 QUERIES = {
     "form_fields": query(_fields),
-    "form_fill": query(lambda t: forms.form_fill(t.form_nodes, _updates(t), max_depth=4)),
+    "form_fill": query(lambda t: forms.form_fill(t.form_nodes, _updates(t))),
     "form_export_csv": query(lambda t: forms.form_csv_lines(_fields(t))),
     "form_export_json": query(lambda t: forms.form_json_entries(_fields(t))),
     "form_flatten": query(lambda t: forms.form_flatten(t.annotations, t.spans)),
@@ -146,8 +146,7 @@ UNION ALL
 SELECT a.doc_id, a.page, 1, 1, subtype, concat_ws(',', x0::VARCHAR, '10.0', x1::VARCHAR, '22.5'),
   CASE WHEN subtype <> 'Text' THEN concat_ws(',', x0::VARCHAR, '22.5', x1::VARCHAR, '22.5', x0::VARCHAR, '10.0',
     x1::VARCHAR, '10.0') END, note,
-  CASE WHEN subtype IS NULL THEN 'unsupported annotation kind ''' || a.kind
-       || ''' (expected highlight, underline, strikeout, or note)'
+  CASE WHEN subtype IS NULL THEN 'no such kind of mark: ' || a.kind
        WHEN p.page IS NULL THEN 'page ' || a.page || ' does not exist' END
 FROM asked a LEFT JOIN doc_pages p ON p.doc_id = a.doc_id AND p.page = a.page""",
     "ocr_spans": with_(

@@ -12,6 +12,13 @@ from quirewise.plans.tables import NODES, PAGES, SIZES, SPANS, Tables, query, wi
 
 PATTERNS = list(NAMED_PATTERNS)
 QUERY = "on the"
+#: User patterns and the same for the SQL twin.
+CUSTOM = {
+    "regex:(?i)licensed? under": "(?i)licensed? under",
+    r"regex:\p{Lu}\p{L}{11,}": r"\p{Lu}\p{L}{11,}",
+    "regex:[[:alpha:]]+[.!]+$": "[[:alpha:]]+[.!]+$",
+    "text:.com": r"\.com",
+}
 ANGLE = -450
 
 
@@ -50,6 +57,7 @@ QUERIES = {
         lambda t: geo.crop_visibility(t.spans, 30, 732, 300, 760).select("doc_id", "page", "span", "visible")
     ),
     "pii_spans": query(lambda t: ops.pii_spans(t.doc_pages, PATTERNS)),
+    "pii_spans_custom": query(lambda t: ops.pii_spans(t.doc_pages, list(CUSTOM))),
     "match_boxes": query(lambda t: ops.match_boxes(ops.pii_spans(t.doc_pages, PATTERNS), t.spans)),
     "redact_areas": query(
         lambda t: ops.redact_areas(t.spans, _areas(t)).select("doc_id", "page", "span", "text")
@@ -128,6 +136,7 @@ FROM page_nodes WHERE page IS NOT NULL""",
     + """SELECT doc_id, page, span, x < 300 AND x + length(text) * 6 > 30 AND y < 760 AND y + 12 > 732 AS visible
 FROM spans""",
     "pii_spans": with_(PAGES, matches_cte(NAMED_PATTERNS)) + "SELECT * FROM matches",
+    "pii_spans_custom": with_(PAGES, matches_cte(CUSTOM)) + "SELECT * FROM matches",
     "match_boxes": with_(SPANS, matches_cte(NAMED_PATTERNS), BOXES)
     + """SELECT doc_id, page, pattern, start, "end", x0::DOUBLE AS x, y0::DOUBLE AS y, (x1 - x0)::DOUBLE AS width,
   (y1 - y0)::DOUBLE AS height FROM boxes""",

@@ -56,7 +56,7 @@ def _stream_dedupe(t: Tables) -> DataFrame:
 
 def _stream_history(t: Tables) -> DataFrame:
     runs = corpus.history(intake.stream_table(t.spark, t.root, "events"))
-    counted = intake.run_available(intake.stream_history(runs, DELAY), "history")
+    counted = intake.run_to_end(intake.stream_history(runs, DELAY), "history")
     return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool_id", "runs")
 
 
@@ -102,6 +102,5 @@ ORACLES = {
     "stream_dedupe": with_(PAGES) + "SELECT DISTINCT sha256(coalesce(text, '')) AS h FROM doc_pages",
     "stream_history": with_(HISTORY)
     + """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, tool_id, count(*) AS runs
-FROM (SELECT *, date_trunc('hour', started_at) AS w FROM history)
-WHERE w + INTERVAL 1 HOUR <= (SELECT max(started_at) - INTERVAL 1 HOUR FROM history) GROUP BY ALL""",
+FROM (SELECT *, date_trunc('hour', started_at) AS w FROM history) GROUP BY ALL""",
 }

@@ -122,7 +122,7 @@ FROM signed s FULL JOIN now_ n USING (doc_id)""",
   SELECT doc_id, source, text, ord, CASE WHEN ord = 1 THEN doc_id % 5 ELSE 2 END AS permission
   FROM documents, (VALUES (1::BIGINT), (2)) o(ord)),
 judged AS (
-  SELECT *, CASE WHEN permission NOT BETWEEN 1 AND 3 THEN 'certification permission must be 1, 2 or 3, got ' || permission
+  SELECT *, CASE WHEN permission NOT BETWEEN 1 AND 3 THEN 'permission ' || permission || ' is not 1, 2 or 3'
     WHEN source = 'src5' OR (ord = 2 AND doc_id % 5 BETWEEN 1 AND 3) THEN 'document is already signed' END AS error
   FROM requests)
 SELECT doc_id, ord, permission::BIGINT AS permission, CASE WHEN error IS NULL THEN sha256(coalesce(text, '')) END AS digest,

@@ -51,7 +51,7 @@ class Tables:
 
     @cached_property
     def page_sizes(self) -> DataFrame:
-        return geometry.page_size(self.page_nodes)
+        return geometry.page_size(self.page_nodes).drop("error")
 
     @cached_property
     def resources(self) -> DataFrame:
@@ -209,9 +209,9 @@ tree AS (
          CASE WHEN k.node_id IS NULL THEN page_ref ELSE kid_page END AS at_page
   FROM form_nodes n LEFT JOIN kids k USING (doc_id, node_id)),
 walk AS (
-  SELECT *, lpad(ord::VARCHAR, 12, '0') AS walk_key FROM tree WHERE parent_id IS NULL
+  SELECT *, lpad((ord::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') AS walk_key FROM tree WHERE parent_id IS NULL
   UNION ALL
-  SELECT t.*, w.walk_key || '/' || lpad(t.ord::VARCHAR, 12, '0')
+  SELECT t.*, w.walk_key || '/' || lpad((t.ord::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0')
   FROM walk w JOIN tree t ON t.doc_id = w.doc_id AND t.parent_id = w.node_id WHERE w.is_group),
 fields AS (
   SELECT w.doc_id, w.walk_key, w.name, w.field_type, w.value, coalesce(p.page, 0) AS page

@@ -16,11 +16,10 @@ from quirewise.sources.corpus import page_texts
 SALTS = 16
 
 
-def stream_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stream over the files of one table."""
-    return (
-        spark.readStream.schema(input_schema(name)).option("pathGlobFilter", f"{name}.parquet").parquet(root)
-    )
+def stream_table(spark: SparkSession, root: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream over the files of one table, be it one file or a folder of part files."""
+    stream = spark.readStream.schema(input_schema(name)).option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(f"{root.rstrip('/')}/{name}.parquet*")
 
 
 def stream_redact(documents: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -76,3 +75,25 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def run_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream over everything there is now and read its whole result, open windows included."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out-{number}")
+        last[:] = [number]
+
+    query = (
+        stream.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    reader = spark.read.schema(stream.schema)
+    return reader.parquet(f"{root}/out-{last[0]}") if last else spark.createDataFrame([], stream.schema)

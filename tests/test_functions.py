@@ -88,13 +88,13 @@ def test_affine(value):
     assert (point.x, point.y) == (12.0, 16.0)
 
 
-def test_patterns_are_checked_at_plan_time():
+def test_patterns_are_checked_at_plan_time(spark):
     named = patterns.compile_patterns(["email", "ssn"])
     assert re.search(named[0].source, "contact me at a.b+c@example.co.uk please")
     assert not re.search(named[0].source, "not an email at all")
     literal = patterns.compile_patterns(["text:a.b (co)"])[0]
     assert re.search(literal.source, "contact a.b (co) today") and not re.search(literal.source, "contact axb (co)")
-    for bad in ("not_a_real_pattern", "regex:(unclosed", "regex:a(?=b)", r"regex:(a)\1", "regex:(?<!a)b"):
+    for bad in ("not_a_real_pattern", "regex:(unclosed", "regex:a(?=b)", r"regex:(a)\1", "regex:(?<!a)b", "regex:a++", "regex:(?>a)", "regex:[[:nope:]]", "regex:(?U)a"):
         with pytest.raises(ValueError, match="pattern"):
             patterns.compile_patterns([bad])
 
@@ -117,6 +117,29 @@ def test_match_ranges_against_plain_search(spark):
         assert _ranges(spark, checked, given) == want, given
 
 
+def test_user_patterns_as_written(spark):
+    cases = {
+        "regex:(?i)secret": ("a SECRET b", [(2, 8)]),
+        "regex:(?i)\u00e9t\u00e9": ("\u00c9T\u00c9", [(0, 3)]),
+        r"regex:\p{L}+": ("12 \u00e9a", [(3, 5)]),
+        r"regex:(?<first_name>Bob|Al)": ("Bob", [(0, 3)]),
+        r"regex:(?P<n>x)y": ("axy", [(1, 3)]),
+        "regex:a(?i)b": ("aB", [(0, 2)]),
+        "regex:b.c": ("b\rc", [(0, 3)]),
+        "regex:end$": ("end\r", []),
+        "regex:ends?$": ("end\n", []),
+        "regex:(?m)end$": ("end\nend", [(0, 3), (4, 7)]),
+        "regex:[[:alpha:]]+": ("1a:b\u00e9", [(1, 2), (3, 4)]),
+        "regex:[[:^digit:]x]": ("1a", [(1, 2)]),
+        r"regex:a\\1": ("a\\1", [(0, 3)]),
+        "regex:[]a]+": ("x]a", [(1, 3)]),
+        r"regex:\p{L}+?b": ("aab", [(0, 3)]),
+        "text:a.b (co)": ("a.b (co) axb", [(0, 8)]),
+    }
+    for given, (text, want) in cases.items():
+        assert _ranges(spark, [text], given) == [want], given
+
+
 def test_digits_of_any_script(spark):
     assert _ranges(spark, ["١٢٣-٤٥-٦٧٨٩"], "ssn") == [[(0, 11)]]
 

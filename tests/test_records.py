@@ -90,7 +90,7 @@ def test_certify_once(table):
     )
     got = rows(protect.certify(asked, signed, docs), "doc_id", "ord", "error")
     assert got == [
-        (1, 1, "certification permission must be 1, 2 or 3, got 0"),
+        (1, 1, "permission 0 is not 1, 2 or 3"),
         (1, 2, None),
         (1, 3, "document is already signed"),
         (2, 1, "document is already signed"),

@@ -163,12 +163,12 @@ def test_page_size_walk(table):
     assert rows(geo.page_size(nodes), "doc_id", "page", "width", "height") == want
 
 
-def test_page_tree_too_deep_fails(table):
-    chain = [(1, -1, None, None, None, None)] + [(1, -i - 1, -i, None, None, None) for i in range(1, 6)]
-    nodes = table("page_nodes", *chain, (1, 1, -6, 1, None, None))
-    assert geo.page_size(nodes, max_depth=6).count() == 1
-    with pytest.raises(Exception, match="deeper than 3"):
-        geo.page_size(nodes, max_depth=3).collect()
+def test_deep_page_trees_and_rings(table):
+    chain = [(1, -1, None, None, [0.0, 0.0, 7.0, 9.0], None)] + [(1, -i - 1, -i, None, None, None) for i in range(1, 40)]
+    ring = [(2, -1, -2, None, None, None), (2, -2, -1, None, None, None)]
+    nodes = table("page_nodes", *chain, *ring, (1, 1, -40, 1, None, None), (2, 1, -2, 1, None, None))
+    got = rows(geo.page_size(nodes), "doc_id", "page", "width", "height", "error")
+    assert got == [(1, 1, 7.0, 9.0, None), (2, 1, None, None, "the page tree has a ring")]
 
 
 @pytest.mark.parametrize(("old", "angle", "new"), [(None, 90, 90), (90, 450, 180), (0, 450, 90), (90, -180, 270), (270, 90, 0)])
