@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirewise.llm import langid, packing, simhash, toxicity
+from quirewise.llm import langid, near, packing, toxicity
 from quirewise.sources.sinks import stage_table
 
 
@@ -21,8 +21,8 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays: near fingerprints, or five-word shingles that are 0.8 alike."""
+    return near.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ full distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,9 @@ _BLOCK = 1 << 15
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _BUDGET = np.array([length * DISTANCE // SEGMENTS for length in range(1, SEGMENTS + 1)], np.uint8)
 
+#: Tells for two arrays of row numbers which pairs are near.
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 #: (first byte, bytes of the key) of every key.
 KEYS = [
     (start, sorted((start + k) % SEGMENTS for k in (0, 1, *two)))
@@ -39,23 +42,31 @@ KEYS = [
 ]
 
 
-def simhash(text: str | None) -> int:
-    """The fingerprint as an unsigned number; zero for null and for a text without words."""
-    words = (text or "").encode().lower().split()
+def _shingles(words: list[bytes], length: int) -> np.ndarray:
+    """Hash of every run of ``length`` words; of all words if there are fewer."""
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))
-    last = min(SHINGLE, len(words)) - 1
-    n = len(words) - last
-    counts = np.zeros(64, np.int64)
+    last = min(length, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    for i in range(0, n, _BLOCK):
-        spans = zip(starts[i : min(n, i + _BLOCK)].tolist(), ends[i + last : min(n, i + _BLOCK) + last].tolist())
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    spans = zip(starts[: len(words) - last].tolist(), ends[last:].tolist())
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), "<u8", len(words) - last)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _BLOCK):
+        bits = np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def simhash(text: str | None) -> int:
+    """The fingerprint as an unsigned number; zero for null and for a text without words."""
+    return _majority(_shingles((text or "").encode().lower().split(), SHINGLE))
 
 
 @F.pandas_udf(LongType())
@@ -85,8 +96,8 @@ def _near(k: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (chain <= _BUDGET).all(1) & (chain[:, -1] <= DISTANCE)
 
 
-def _links(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that hold each run of equal keys together: of the links in a run those that join two of its parts.
+def _links(k: np.ndarray, key: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that hold each run of equal keys together: of the near pairs in a run those that join two of its parts.
 
     Rows are compared with the next, then the one after it, and so on up to the longest run; pairs whose parts are
     joined already are passed over, so a run of near fingerprints costs comparisons of labels, and rows out stay below
@@ -103,8 +114,8 @@ def _links(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray,
     step = 1
     while len(rows):
         apart = rows[part[rows] != part[rows + step]]
-        near = apart[_near(k[apart], fp[apart] ^ fp[apart + step])] if len(apart) else apart
-        for i in near.tolist():
+        close = [block[near(block, block + step)] for block in np.array_split(apart, len(apart) // _BLOCK + 1)]
+        for i in np.concatenate(close).tolist():
             a, b = part[i], part[i + step]
             if a != b:
                 one.append(i)
@@ -117,30 +128,46 @@ def _links(k: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray,
     return np.array(one, np.int64), np.array(two, np.int64)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_key(batches: Iterator[pa.RecordBatch], near_in: Callable[[pa.Table], Near]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by key: links within runs of equal keys. The last run of a batch waits for the next batch."""
-    held: list[np.ndarray] | None = None
+    held: pa.Table | None = None
 
-    def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        one, two = _links(rows[0], rows[1], rows[2])
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        one, two = _links(rows["k"].to_numpy(), rows["key"].to_numpy(), near_in(rows))
         if len(one):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[3][one]), pa.array(rows[3][two])], ["a", "b"])
+            node = rows["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(node[two])], ["a", "b"])
 
     for batch in batches:
-        rows = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("k", "key", "fp", "node")]
-        if held is not None:
-            rows = [np.concatenate(pair) for pair in zip(held, rows)]
-        if not len(rows[0]):
+        if not batch.num_rows:
             continue
-        cut = len(rows[0]) - 1
-        same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
-        cut = int(np.argmax(same))
-        yield from out([r[:cut] for r in rows]) if cut else ()
-        held = [r[cut:] for r in rows]
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows]).combine_chunks()
+        k, key = rows["k"].to_numpy(), rows["key"].to_numpy()
+        cut = int(np.argmax((k == k[-1]) & (key == key[-1])))
+        if cut:
+            yield from out(rows.slice(0, cut))
+        held = rows.slice(cut)
     if held is not None:
         yield from out(held)
 
 
+def _of_fingerprints(rows: pa.Table) -> Near:
+    k, fp = rows["k"].to_numpy(), rows["fp"].to_numpy()
+    return lambda a, b: _near(k[a], fp[a] ^ fp[b])
+
+
+def _sorted_by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("k", "key").sortWithinPartitions("k", "key")
+
+
+def _ring_links(single: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between nodes whose fingerprints are near; ``single(fp, node)`` has each fingerprint once."""
+    rows = _sorted_by_key(keyed(single.where("node is not null")))
+    return rows.mapInArrow(lambda batches: _by_key(batches, _of_fingerprints), "a bigint, b bigint")
+
+
 def grouped(documents: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)``: the fingerprint of every row and the smallest id that its links reach.
 
@@ -151,10 +178,7 @@ def grouped(documents: DataFrame) -> DataFrame:
     """
     prints = stage_table(documents.select("doc_id", simhash_of("text").alias("fp")), "simhash")
     single = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    keys = keyed(single.where("node is not null"))
-    together = keys.repartition("k", "key").sortWithinPartitions("k", "key")
-    links = together.mapInArrow(_linked, "a bigint, b bigint")
-    roots = components(links)
+    roots = components(_ring_links(single))
     groups = single.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
@@ -163,11 +187,3 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """One row of each group, with its columns: the one with the smallest id, of repeated rows with that id one.
-
-    Rows without any id in their group are kept.
-    """
-    groups = grouped(documents).where("doc_id = component_id").select("doc_id").distinct()
-    first = documents.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(documents.where("doc_id is null"))
