@@ -27,7 +27,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of the edges ``(a, b)``; the root is the smallest node that can be reached.
+    """``(node, root)`` for every node of the edges ``(a, b)`` but the roots; a root is the smallest node that can be reached.
 
     Loops, repeated edges and either direction are fine; null ends are left out. Large and small stars take turns until
     an edge set comes out as it went in; chains halve, so the rounds grow with the logarithm of the longest chain. Each

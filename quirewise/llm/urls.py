@@ -169,7 +169,7 @@ def judged(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tu
 
     def margin(s: Column) -> Column:
         total = F.aggregate(s, F.lit(0.0), lambda sum_, slot: sum_ + F.get(table, slot))
-        return total / F.sqrt(F.size(s)) + learned[-1]
+        return total / F.sqrt(F.greatest(F.size(s), F.lit(1))) + learned[-1]
 
     scored = split.withColumn("unwanted", 1 / (1 + F.exp(-let(slots(F.col("host"), F.col("path")), margin))))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
