@@ -21,7 +21,7 @@ NONE = np.int32(2**31 - 1)
 _FREE = np.uint64(2**64 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of one matrix, pieces kept by a worker, bytes from which a single piece is merged with a heap.
-CELLS, KNOWN, WIDE = 1 << 20, 400_000, 2048
+CELLS, KNOWN, WIDE = 1 << 20, 200_000, 2048
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
