@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.functions.text import safe_file_name, unescape_entities
+from quirewise.operators.sanitize import SCRIPTS
 from quirewise.operators.spread import number_within
 from quirewise.sources.corpus import resources
 
@@ -26,21 +27,33 @@ META_NAMES = {
 }
 
 
+def _named(name: str) -> Callable[[Column], Column]:
+    return lambda meta: meta["name"] == name
+
+
 def metadata_extract(pages: DataFrame) -> DataFrame:
-    """Eight optional fields per web page; a field that is not set is null."""
+    """Eight optional fields per web page; a field that is not set is null. What scripts hold does not count."""
+    html = F.regexp_replace("html", SCRIPTS, "")
+
+    def attribute(tag: Column, name: str) -> Column:
+        pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        return F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
+
+    tags = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+    metas = F.transform(
+        tags, lambda t: F.struct(F.lower(attribute(t, "name")).alias("name"), attribute(t, "content").alias("content"))
+    )
 
-    def field(pattern: str) -> Column:
-        raw = F.regexp_extract("html", pattern, 1)
+    def cleaned(raw: Column) -> Column:
         return F.when(raw != "", unescape_entities(raw))
 
     named = {
-        column: field(f'(?is)<meta\\s+name="{name}"\\s+content="([^"]*)"') for column, name in META_NAMES.items()
+        column: cleaned(F.get(F.filter("_metas", _named(name)), F.lit(0))["content"])
+        for column, name in META_NAMES.items()
     }
-    return pages.select(
-        F.col("page_id").alias("doc_id"),
-        field(r"(?is)<title\b[^>]*>(.*?)</title>").alias("title"),
-        *[col.alias(name) for name, col in named.items()],
-    )
+    title = cleaned(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
+    found = pages.select("page_id", title.alias("title"), metas.alias("_metas"))
+    return found.select(F.col("page_id").alias("doc_id"), "title", *[col.alias(name) for name, col in named.items()])
 
 
 def metadata_edit(doc_meta: DataFrame, patch: DataFrame) -> DataFrame:
@@ -72,7 +85,10 @@ def doc_info(documents: DataFrame, page_counts: DataFrame, doc_meta: DataFrame)
 
 
 def auto_rename(records: DataFrame, pattern: str = "{title} - {author} - {date}") -> DataFrame:
-    """File name per document from a pattern; unsafe characters become ``_``, collisions are numbered by id."""
+    """File name per document from a pattern; unsafe characters become ``_``, collisions are numbered by id.
+
+    A base that looks numbered already is always numbered, so no two documents get the same name.
+    """
     name = F.lit(pattern)
     for slot, column in (("title", "title"), ("author", "author"), ("date", "creation_date")):
         name = F.replace(name, F.lit("{" + slot + "}"), F.coalesce(column, F.lit("unknown")))
@@ -80,7 +96,7 @@ def auto_rename(records: DataFrame, pattern: str = "{title} - {author} - {date}"
     numbered = number_within(named, ["base"], "doc_id", "copy")
     return numbered.withColumn(
         "file_name",
-        F.when(F.col("copy") == 1, F.concat("base", F.lit(".pdf"))).otherwise(
+        F.when((F.col("copy") == 1) & ~F.col("base").rlike(r" \(\d+\)$"), F.concat("base", F.lit(".pdf"))).otherwise(
             F.concat("base", F.lit(" ("), F.col("copy"), F.lit(").pdf"))
         ),
     )

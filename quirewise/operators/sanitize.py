@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What each class of content looks like in a web page.
-SCRIPTS = r"(?is)<script\b.*?</script>"
-HANDLERS = r"""(?is)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
-HANDLER_TAG = r"(?is)<[a-z][^<>]*\son[a-z]+\s*="
-TAGS = r"<[^<>]*>"
+TAG = r"""<[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+SCRIPTS = r"""(?is)<script\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</script\b[^>]*>|\z)"""
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+# A handler follows a blank, a slash or the end of a value; quoted values are stepped over.
+HANDLERS = rf"""(?is)("[^"]*"|'[^']*')|[\s/]*(?<=[\s/"'])on[a-z]+\s*=\s*{_VALUE}"""
+IS_HANDLER = r"(?is)^[\s/]*on[a-z]+\s*="
+TARGETS = r"""(?is)\b(href|src|action|formaction)\s*=\s*(?:"\s*javascript:[^"]*"|'\s*javascript:[^']*'|javascript:[^\s>]*)"""
+ACTIVE = r"(?i)on[a-z]+\s*=|javascript:"
 EMBEDDED = r"(?is)<iframe\b.*?</iframe>|<object\b.*?</object>|<embed\b[^>]*>"
 HEAD_DATA = r"(?is)<title\b.*?</title>|<meta\b[^>]*>"
 LINK_TAGS = r"(?is)<a\b[^>]*>|</a>"
@@ -38,12 +42,14 @@ def sanitize(
 
 
 def _strip_handlers(html: Column) -> Column:
-    """Drop handler attributes: cut at tags, clean each tag, put the pieces together again."""
-    parts = F.split(html, r"(?=<)|(?<=>)")
+    """Drop handler attributes and script targets: cut out the tags, clean each, put the pieces together again."""
+    gaps = F.split(html, TAG, -1)
+    tags = F.regexp_extract_all(html, F.lit(TAG), F.lit(0))
     cleaned = F.transform(
-        parts, lambda p: F.when(p.startswith("<"), F.regexp_replace(p, HANDLERS, "")).otherwise(p)
+        tags, lambda t: F.regexp_replace(F.regexp_replace(t, HANDLERS, "$1"), TARGETS, '$1=""')
     )
-    return F.when(html.rlike(HANDLER_TAG), F.array_join(cleaned, "")).otherwise(html)
+    pieces = F.zip_with(gaps, cleaned, lambda g, t: F.concat(g, F.coalesce(t, F.lit(""))))
+    return F.when(html.rlike(ACTIVE), F.array_join(pieces, "")).otherwise(html)
 
 
 def strip_link_annotations(annotations: DataFrame) -> DataFrame:
@@ -54,10 +60,9 @@ def strip_link_annotations(annotations: DataFrame) -> DataFrame:
 def sanitize_report(pages: DataFrame, column: str = "html") -> DataFrame:
     """How many items of each class a page holds; handlers are counted outside scripts."""
     bare = F.regexp_replace(column, SCRIPTS, "")
-    tags = F.regexp_extract_all(bare, F.lit(TAGS), F.lit(0))
-    handlers = F.aggregate(
-        tags, F.lit(0).cast("bigint"), lambda n, tag: n + F.regexp_count(tag, F.lit(HANDLERS)).cast("bigint")
-    )
+    tags = F.regexp_extract_all(bare, F.lit(TAG), F.lit(0))
+    found = F.flatten(F.transform(tags, lambda tag: F.regexp_extract_all(tag, F.lit(HANDLERS), F.lit(0))))
+    handlers = F.size(F.filter(found, lambda part: part.rlike(IS_HANDLER))).cast("bigint")
 
     def count(pattern: str) -> Column:
         return F.regexp_count(F.col(column), F.lit(pattern)).cast("bigint")
@@ -65,7 +70,7 @@ def sanitize_report(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.select(
         "page_id",
         count(SCRIPTS).alias("scripts"),
-        F.when(bare.rlike(HANDLER_TAG), handlers).otherwise(F.lit(0).cast("bigint")).alias("handlers"),
+        F.when(bare.rlike(ACTIVE), handlers).otherwise(F.lit(0).cast("bigint")).alias("handlers"),
         count(EMBEDDED).alias("embedded"),
         count(HEAD_DATA).alias("metadata"),
         count(LINKS).alias("links"),

@@ -40,6 +40,35 @@ def test_flags_are_independent(page):
     assert "<a " not in links and "</a>" not in links and "link <b>text</b>" in links and "<title" in links
 
 
+def test_sanitize_holds(table):
+    given = {
+        "<svg/onload=x()>": "<svg>",
+        '<img alt="a>b" onerror="x">t': '<img alt="a>b">t',
+        "a<script>x": "a",
+        "a<script>x</script >b": "ab",
+        '<a href="javascript:x(1)">l</a>': '<a href="">l</a>',
+        '<p title=" onclick=1" class="k"onclick=2>on = y</p>': '<p title=" onclick=1" class="k">on = y</p>',
+        "<p>onclick=1 stays</p>": "<p>onclick=1 stays</p>",
+    }
+    pages = table("page_id bigint, html string", *enumerate(given))
+    got = {r.page_id: r.html for r in sanitize.sanitize(pages, scripts=True).collect()}
+    assert [got[i] for i in range(len(given))] == list(given.values())
+    assert [r.handlers for r in sanitize.sanitize_report(pages).orderBy("page_id").collect()] == [1, 1, 0, 0, 0, 1, 0]
+
+
+def test_metadata_in_any_order_and_quotes(table):
+    html = "<script>'<title>no</title>'</script><title>T</title><meta content='Bob &amp; Al' name=Author><META name='keywords' content=\"k>1\">"
+    row = metadata.metadata_extract(table("page_id bigint, html string", (1, html))).first()
+    assert (row.title, row.author, row.keywords, row.subject) == ("T", "Bob & Al", "k>1", None)
+
+
+def test_renamed_files_differ(table):
+    same = ("x", "a", "d")
+    records = table("doc_id bigint, title string, author string, creation_date string", (1, *same), (2, *same), (3, "x", "a", "d (2)"))
+    names = [r.file_name for r in metadata.auto_rename(records).collect()]
+    assert len(set(names)) == 3
+
+
 def test_report_counts(page):
     assert rows(sanitize.sanitize_report(page)) == [(1, 1, 3, 3, 3, 1)]
     clean = sanitize.sanitize(page, True, True, True, True)
