@@ -86,12 +86,12 @@ def _marked(pattern: str) -> str:
 
 
 _HAS_PII = " OR ".join(_marked(p) for p in NAMED_PATTERNS.values())
+_SQL_SCRIPTS = r"(?is)<script\b[^>]*>.*?(?:</script\b[^>]*>|\z)"
 _NO_SCRIPT = r"regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g')"
 _NO_EMBED = rf"regexp_replace({_NO_SCRIPT}, '(?is)<iframe\b.*?</iframe>|<object\b.*?</object>|<embed\b[^>]*>', '', 'g')"
 _NO_META = rf"regexp_replace({_NO_EMBED}, '(?is)<title\b.*?</title>|<meta\b[^>]*>', '', 'g')"
 
 
-_SQL_HANDLERS = ops.HANDLERS.replace("'", "''")
 
 
 def _count(pattern: str) -> str:
@@ -103,9 +103,9 @@ ORACLES = {
     "sanitize_links": r"SELECT page_id, regexp_replace(html, '(?is)<a\b[^>]*>|</a>', '', 'g') AS html FROM pages",
     "strip_link_annotations": with_(ANNOTATIONS)
     + "SELECT doc_id, page, ord, subtype, contents FROM annotations WHERE subtype <> 'Link'",
-    "sanitize_report": f"""SELECT page_id, {_count(ops.SCRIPTS)} AS scripts, {_count(ops.EMBEDDED)} AS embedded,
-  coalesce(list_sum(list_transform(regexp_extract_all({_NO_SCRIPT}, '{ops.TAGS}'),
-    lambda t: len(regexp_extract_all(t, '{_SQL_HANDLERS}')))), 0)::BIGINT AS handlers,
+    "sanitize_report": f"""SELECT page_id, {_count(_SQL_SCRIPTS)} AS scripts, {_count(ops.EMBEDDED)} AS embedded,
+  coalesce(list_sum(list_transform(regexp_extract_all({_NO_SCRIPT}, '<[a-zA-Z][^<>]*>'),
+    lambda t: len(regexp_extract_all(t, '(?i)[ /]on[a-z]+ *=')))), 0)::BIGINT AS handlers,
   {_count(ops.HEAD_DATA)} AS metadata, {_count(ops.LINKS)} AS links FROM pages""",
     "protect": """SELECT doc_id, lang <> 'fr' AND text IS NOT NULL AS locked,
   CASE WHEN lang <> 'fr' AND text IS NOT NULL THEN 'document is already protected' END AS protect_error,
