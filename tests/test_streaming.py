@@ -55,3 +55,18 @@ def test_history_drops_late_runs(spark, tmp_path):
     got = intake.run_available(intake.stream_history(source, "1 hour"), "t-history")
     hour = F.hour("window_start").alias("hour")
     assert rows(got, hour, "tool_id", "runs") == [(0, "a", 2), (1, "b", 1), (5, "a", 1), (5, "c", 1)]
+
+
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    documents.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    for root in (str(tmp_path), "/root/testdata/sf0.001"):
+        stream = intake.stream_redact(intake.stream_table(spark, root, "documents", files_per_batch=2), ["email"])
+        assert intake.run_available(stream, "t-folder").count() == documents.count()
+
+
+def test_open_windows_come_out_at_the_end(spark, tmp_path):
+    schema = "started_at timestamp, tool_id string"
+    batches = [[(DAY, "a"), (DAY, "b")], [(DAY + dt.timedelta(minutes=1), "a"), (DAY + dt.timedelta(days=1), "a")]]
+    got = intake.run_to_end(intake.stream_history(_source(spark, tmp_path, schema, batches), "1 hour"), "t-end")
+    assert rows(got, "tool_id", "runs") == [("a", 1), ("a", 2), ("b", 1)]
