@@ -110,10 +110,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     )
     roots = components(links.union(alike)).where("node <> root").select("node")
     kept = same.join(roots, "node", "left_anti")
-    chosen = documents.withColumn("_near_m", F.md5(text)).join(
-        kept.select(F.col("node").alias("_near_id"), F.col("m").alias("_near_key")),
-        (F.col("doc_id") == F.col("_near_id")) & (F.col("_near_m") == F.col("_near_key")),
-        "left_semi",
+    kept = kept.select(F.col("node").alias("_near_id"), F.col("m").alias("_near_key"))
+    chosen = documents.join(
+        kept, (F.col("doc_id") == F.col("_near_id")) & (F.md5(text) == F.col("_near_key")), "left_semi"
     )
-    once = chosen.dropDuplicates(["doc_id"]).drop("_near_m")
+    once = chosen.dropDuplicates(["doc_id"])
     return once.unionByName(documents.where("doc_id is null"))

@@ -117,7 +117,7 @@ def fences(sketch: DataFrame, keys: list[str], width: float) -> DataFrame:
     table = ranked.groupBy(*keys).agg(F.max("total").alias("rows"), *quartiles)
     sides = []
     for name, (least, kind) in MEASURES.items():
-        low, high = F.col(f"{name}_0.25".join("``")), F.col(f"{name}_0.75".join("``"))
+        low, high = F.col(f"`{name}_0.25`"), F.col(f"`{name}_0.75`")
         spread = F.greatest(high - low, F.lit(least)) * width
         sides.append((low - spread if kind == "both" else F.lit(0.0)).alias(f"{name}_low"))
         sides.append((high + spread).alias(f"{name}_high"))
