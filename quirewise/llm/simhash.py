@@ -99,32 +99,33 @@ def _near(k: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _links(k: np.ndarray, key: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that hold each run of equal keys together: of the near pairs in a run those that join two of its parts.
 
-    Rows are compared with the next, then the one after it, and so on up to the longest run; pairs whose parts are
-    joined already are passed over, so a run of near fingerprints costs comparisons of labels, and rows out stay below
-    rows in.
+    The first row of each run is compared with all later ones, then the second, and so on; pairs whose parts are joined
+    already are passed over. So copies of a first row cost one comparison each, and rows out stay below rows in.
     """
     edge = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
     first = np.concatenate(([0], edge))
     size = np.diff(np.concatenate((first, [len(k)])))
-    left = np.repeat(first + size, size) - np.arange(len(k)) - 1
+    run_first, run_size = np.repeat(first, size), np.repeat(size, size)
     part = np.arange(len(k))
-    run_first = np.repeat(first, size)
+    behind = part - run_first
     one, two = [], []
-    rows = np.flatnonzero(left > 0)
-    step = 1
+    rows = np.flatnonzero(behind > 0)
+    turn = 0
     while len(rows):
-        apart = rows[part[rows] != part[rows + step]]
-        close = [block[near(block, block + step)] for block in np.array_split(apart, len(apart) // _BLOCK + 1)]
-        for i in np.concatenate(close).tolist():
-            a, b = part[i], part[i + step]
-            if a != b:
-                one.append(i)
-                two.append(i + step)
-                start = run_first[i]
-                run = part[start : start + left[start] + 1]
-                run[run == b] = a
-        step += 1
-        rows = rows[left[rows] >= step]
+        pivot = run_first[rows] + turn
+        apart = part[rows] != part[pivot]
+        pairs = zip(*(np.array_split(x[apart], len(rows) // _BLOCK + 1) for x in (pivot, rows)))
+        for left, right in pairs:
+            close = near(left, right)
+            for i, j in zip(left[close].tolist(), right[close].tolist()):
+                a, b = part[i], part[j]
+                if a != b:
+                    one.append(i)
+                    two.append(j)
+                    run = part[run_first[i] : run_first[i] + run_size[i]]
+                    run[run == b] = a
+        turn += 1
+        rows = rows[behind[rows] > turn]
     return np.array(one, np.int64), np.array(two, np.int64)
 
 
@@ -159,7 +160,7 @@ def _of_fingerprints(rows: pa.Table) -> Near:
 
 
 def _sorted_by_key(rows: DataFrame) -> DataFrame:
-    return rows.repartition("k", "key").sortWithinPartitions("k", "key")
+    return rows.repartition("k", "key").sortWithinPartitions("k", "key", "node")
 
 
 def _ring_links(single: DataFrame) -> DataFrame:
