@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.llm.components import components
-from quirewise.llm.simhash import _ONES, SHINGLE, Near, _by_key, _majority, _ring_links, _shingles, _sorted_by_key
+from quirewise.llm.simhash import _ONES, SHINGLE, Near, _majority, _ring_links, _shingles, links_by_key
 from quirewise.sources.sinks import stage_table
 
 WORDS = 5
@@ -61,10 +61,12 @@ def _alike(rows: pa.Table) -> Near:
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = _ONES[(fp[a] ^ fp[b]).view(np.uint8).reshape(-1, 8)].sum(1, dtype=np.int64) <= FAR
-        for i in range(0, len(a), _BLOCK):
-            x, y = marks[a[i : i + _BLOCK]], marks[b[i : i + _BLOCK]]
+        left = np.flatnonzero(out)
+        for i in range(0, len(left), _BLOCK):
+            at = left[i : i + _BLOCK]
+            x, y = marks[a[at]], marks[b[at]]
             both = ((x == y) & (x > 0)).sum(1)
-            out[i : i + _BLOCK] &= both >= SIMILARITY * ((x > 0) | (y > 0)).sum(1)
+            out[at] = both >= SIMILARITY * ((x > 0) | (y > 0)).sum(1)
         return out
 
     return near
@@ -101,13 +103,10 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     equal = sketches.select("node", F.col("short").alias("fp")).join(prints.withColumnRenamed("node", "least"), "fp")
     links = equal.select(F.col("node").alias("a"), F.col("least").alias("b")).union(_ring_links(prints))
 
-    keys = sketches.select("node", F.posexplode("keys").alias("k", "key"))
+    keys = sketches.select("node", "fp", F.posexplode("keys").alias("k", "key"))
     shared = keys.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "key")
     wanted = stage_table(keys.join(shared, ["k", "key"]), "near-keys")
-    rows = wanted.join(sketches.select("node", "fp", "marks"), "node")
-    alike = _sorted_by_key(rows.select("k", "key", "node", "fp", "marks")).mapInArrow(
-        lambda batches: _by_key(batches, _alike), "a bigint, b bigint"
-    )
+    alike = links_by_key(wanted, _alike, lambda rows: rows.join(sketches.select("node", "marks"), "node"))
     roots = components(links.union(alike)).where("node <> root").select("node")
     kept = same.join(roots, "node", "left_anti")
     kept = kept.select(F.col("node").alias("_near_id"), F.col("m").alias("_near_key"))

@@ -27,6 +27,9 @@ SEGMENTS = 8
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
+#: Rows of equal keys that one task holds at most, but for the chance of the dealing; rounds of representatives.
+HELD = 4096
+ROUNDS = 3
 _BLOCK = 1 << 15
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _BUDGET = np.array([length * DISTANCE // SEGMENTS for length in range(1, SEGMENTS + 1)], np.uint8)
@@ -96,36 +99,43 @@ def _near(k: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (chain <= _BUDGET).all(1) & (chain[:, -1] <= DISTANCE)
 
 
-def _links(k: np.ndarray, key: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+def _links(k: np.ndarray, key: np.ndarray, near: Near, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that hold each run of equal keys together: of the near pairs in a run those that join two of its parts.
 
     The first row of each run is compared with all later ones, then the second, and so on; pairs whose parts are joined
-    already are passed over. So copies of a first row cost one comparison each, and rows out stay below rows in.
+    already are passed over, and a run that is one part is left. So copies of a first row cost one comparison each, and
+    rows out stay below rows in. Rows of a run with equal ``root`` are one part from the start.
     """
     edge = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
     first = np.concatenate(([0], edge))
     size = np.diff(np.concatenate((first, [len(k)])))
-    run_first, run_size = np.repeat(first, size), np.repeat(size, size)
+    run = np.repeat(np.arange(len(first)), size)
     part = np.arange(len(k))
-    behind = part - run_first
+    behind = part - first[run]
+    if root is not None:
+        order = np.lexsort((root, run))
+        new = (np.diff(run[order], prepend=-1) != 0) | np.concatenate(([True], root[order][1:] != root[order][:-1]))
+        part[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    parts = np.bincount(run[np.unique(part)], minlength=len(first))
     one, two = [], []
-    rows = np.flatnonzero(behind > 0)
     turn = 0
+    rows = np.flatnonzero((behind > 0) & (parts[run] > 1))
     while len(rows):
-        pivot = run_first[rows] + turn
+        pivot = first[run[rows]] + turn
         apart = part[rows] != part[pivot]
         pairs = zip(*(np.array_split(x[apart], len(rows) // _BLOCK + 1) for x in (pivot, rows)))
         for left, right in pairs:
             close = near(left, right)
             for i, j in zip(left[close].tolist(), right[close].tolist()):
-                a, b = part[i], part[j]
+                a, b, r = part[i], part[j], run[i]
                 if a != b:
                     one.append(i)
                     two.append(j)
-                    run = part[run_first[i] : run_first[i] + run_size[i]]
-                    run[run == b] = a
+                    parts[r] -= 1
+                    all_of = part[first[r] : first[r] + size[r]]
+                    all_of[all_of == b] = a
         turn += 1
-        rows = rows[behind[rows] > turn]
+        rows = rows[(behind[rows] > turn) & (parts[run[rows]] > 1)]
     return np.array(one, np.int64), np.array(two, np.int64)
 
 
@@ -134,7 +144,8 @@ def _by_key(batches: Iterator[pa.RecordBatch], near_in: Callable[[pa.Table], Nea
     held: pa.Table | None = None
 
     def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        one, two = _links(rows["k"].to_numpy(), rows["key"].to_numpy(), near_in(rows))
+        root = rows["root"].to_numpy() if "root" in rows.column_names else None
+        one, two = _links(rows["k"].to_numpy(), rows["key"].to_numpy(), near_in(rows), root)
         if len(one):
             node = rows["node"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(node[two])], ["a", "b"])
@@ -163,10 +174,96 @@ def _sorted_by_key(rows: DataFrame) -> DataFrame:
     return rows.repartition("k", "key").sortWithinPartitions("k", "key", "node")
 
 
+def _linked(rows: DataFrame, near_in: Callable[[pa.Table], Near], attach: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return _sorted_by_key(attach(rows)).mapInArrow(lambda batches: _by_key(batches, near_in), "a bigint, b bigint")
+
+
+def links_by_key(
+    keys: DataFrame,
+    near_in: Callable[[pa.Table], Near],
+    attach: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    held: int | None = None,
+) -> DataFrame:
+    """Links ``(a, b)`` that hold together what near pairs with a key in common hold together.
+
+    ``keys(k, key, node, fp)`` has a row per key of a node; ``attach`` adds by ``node`` what ``near_in`` needs besides.
+    A run of up to ``held`` rows is linked by one task. Longer ones are cut by hash into runs of about half of that; then
+    one row stands for each part found, round by round. What is not one part after that is compared block by block, all
+    rows with all rows of other parts, so that no near pair is missed. This last step is quadratic in the rows outside
+    the largest part, spread over tasks of bounded size.
+    """
+    held = held or HELD
+    sizes = keys.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > held)
+    hot = F.broadcast(stage_table(sizes, "hot-keys"))
+    links = _linked(keys.join(hot, ["k", "key"], "left_anti"), near_in, attach)
+    if hot.isEmpty():
+        return links
+    rows = stage_table(keys.join(hot, ["k", "key"]), "hot-rows")
+    half = max(held // 2, 1)
+
+    def dealt(of: DataFrame, turn: int) -> DataFrame:
+        seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / half))
+        key = F.when(F.col("n") > held, F.xxhash64("key", seat)).otherwise(F.col("key"))
+        return of.select("k", key.alias("key"), "node", "fp")
+
+    found = _linked(dealt(rows, 0), near_in, attach)
+    turn = 0
+    while True:
+        roots = components(found)
+        star = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        parted = rows.drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        per_part = parted.groupBy("k", "key", "root").agg(
+            F.min(F.struct("node", "fp")).alias("head"), F.count(F.lit(1)).alias("size")
+        )
+        parts = stage_table(per_part, "hot-parts")
+        many = parts.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        many = F.broadcast(stage_table(many, "hot-open"))
+        if many.isEmpty():
+            return links.union(star)
+        turn += 1
+        new = None
+        if turn <= ROUNDS:
+            heads = parts.join(many, ["k", "key"]).select("k", "key", "head.*", "n")
+            new = stage_table(_linked(dealt(heads, turn), near_in, attach), "hot-links")
+        if new is None or new.isEmpty():
+            return links.union(star).union(_linked(_blocks(parted, parts, many, half), near_in, attach))
+        found = star.union(new)
+
+
+def _blocks(parted: DataFrame, parts: DataFrame, many: DataFrame, half: int) -> DataFrame:
+    """The rows of open runs once for each pair of blocks they are in, with the pair as their key.
+
+    A block has about ``half`` rows, of one part if that is large and else of all small parts. Two blocks of one part make
+    no pair.
+    """
+    own = F.when(F.col("size") > half // 2, F.col("root"))
+    sized = parts.join(many.select("k", "key"), ["k", "key"]).groupBy("k", "key", own.alias("own"))
+    n_blocks = F.ceil(F.sum("size") / half).alias("blocks")
+    sized = stage_table(sized.agg(n_blocks), "hot-blocks")
+    large = sized.where("own is not null").select("k", "key", F.col("own").alias("root"), F.col("blocks").alias("_own"))
+    mixed = sized.where("own is null").select("k", "key", F.col("blocks").alias("_mixed"))
+    rows = parted.join(many.select("k", "key"), ["k", "key"], "left_semi")
+    rows = rows.join(F.broadcast(large), ["k", "key", "root"], "left").join(F.broadcast(mixed), ["k", "key"], "left")
+    is_mixed = F.col("_own").isNull()
+    number = F.pmod(F.xxhash64("node", F.lit(-1)), F.coalesce("_own", "_mixed"))
+    block = F.struct(
+        is_mixed.alias("mixed"), F.when(is_mixed, F.lit(0)).otherwise(F.col("root")).alias("own"), number.alias("b")
+    )
+    rows = rows.select("k", "key", "node", "fp", "root", block.alias("block"))
+
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b")
+    listed = sized.select("k", "key", F.col("own").isNull().alias("mixed"), F.coalesce("own", F.lit(0)).alias("own"), each)
+    listed = listed.select("k", "key", F.struct("mixed", "own", "b").alias("x"))
+    x, y = F.col("x"), F.col("y")
+    other = x["mixed"] | y["mixed"] | (x["own"] != y["own"])
+    pairs = listed.join(listed.withColumnRenamed("x", "y"), ["k", "key"]).where(((x < y) & other) | ((x == y) & x["mixed"]))
+    seats = pairs.select("k", "key", F.xxhash64("key", "x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return rows.join(seats, ["k", "key", "block"]).select("k", F.col("pair").alias("key"), "node", "fp", "root")
+
+
 def _ring_links(single: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between nodes whose fingerprints are near; ``single(fp, node)`` has each fingerprint once."""
-    rows = _sorted_by_key(keyed(single.where("node is not null")))
-    return rows.mapInArrow(lambda batches: _by_key(batches, _of_fingerprints), "a bigint, b bigint")
+    return links_by_key(keyed(single.where("node is not null")), _of_fingerprints)
 
 
 def grouped(documents: DataFrame) -> DataFrame:

@@ -233,6 +233,48 @@ def test_ring_links_find_every_near_pair(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_hot_keys_are_linked_in_bounded_runs(spark):
+    """Chains whose neighbours only are near: no row stands for another, and no task may hold them all."""
+    chains = [(c * 1000 + i, c * 10_000 + i) for c in range(3) for i in range(150)]
+    rows = [(0, 7, node, fp) for node, fp in chains] + [(1, 7, node, fp) for node, fp in chains[:20]]
+
+    def near_in(table):
+        k, key, fp = (table[c].to_numpy() for c in ("k", "key", "fp"))
+        assert max(Counter(zip(k.tolist(), key.tolist())).values()) <= 64
+        return lambda a, b: abs(fp[a] - fp[b]) <= 1
+
+    links = simhash.links_by_key(spark.createDataFrame(rows, "k int, key bigint, node bigint, fp bigint"), near_in, held=32)
+    got = {r.node: r.root for r in components(links).collect()}
+    assert {n: got.get(n, n) for n, _ in chains} == {n: n // 1000 * 1000 for n, _ in chains}
+
+
+def test_a_run_is_left_as_soon_as_it_is_one_part():
+    turns = []
+
+    def near(a, b):
+        turns.append(len(a))
+        return np.ones(len(a), bool)
+
+    one, _ = simhash._links(np.zeros(500, int), np.zeros(500, int), near)
+    assert len(one) == 499 and turns == [499]
+
+
+def test_near_copies_are_the_same_in_short_runs(spark, monkeypatch):
+    """One template with other numbers; the groups do not hang on the rows that a task may hold."""
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(200)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 4, 6))):
+            words[rng.randrange(200)] = f"{rng.randrange(10**9)}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").cache()
+    want = sorted(r.doc_id for r in near.one_of_each(df).collect())
+    monkeypatch.setattr(simhash, "HELD", 16)
+    assert sorted(r.doc_id for r in near.one_of_each(df).collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
