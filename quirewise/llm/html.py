@@ -2,8 +2,9 @@
 
 The first pass looks at each block alone: its length, its share of stop words and its share of linked text call it good
 or bad, or leave it open if it is short or says too little. The second pass lets an open block inherit from the nearest
-decided blocks before and after it. What the markup says plainly goes first: blocks in menus, footers, forms, adverts and
-the like are bad, and inside an article the neighbours that count are those of the article.
+decided blocks before and after it. What the markup says plainly goes first: blocks in menus, footers, forms, adverts,
+comments and the like are bad. An article that holds most of the good text is a hint for open blocks: inside it the
+neighbours that count are its own, outside it an open block needs good ones on both sides.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ LABELS = set(
     "cookies disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice popup promo promotion "
     "related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A whole class, id or role of an article that is not the page's own.
+OTHERS = set(
+    "ad ads advert advertisement comment comments promo promotion related reply replies sponsor sponsored".split()
+)
 #: Frequent function words of the languages at hand.
 STOP_WORDS = set(
     "the of and to in a is that for it on as with was by are be this from at or an not have but "
@@ -73,6 +78,13 @@ def _is_label(attributes: str) -> bool:
     )
 
 
+def _is_other(attributes: str) -> bool:
+    """Whether an article is a comment, an advert or the like by a whole word of its class, id or role."""
+    return "=" in attributes and any(
+        OTHERS.intersection(next(filter(None, m.groups()), "").lower().split()) for m in _NAMED.finditer(attributes)
+    )
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of text in page order, with their white space closed up; blocks without text are left out."""
     out: list[Block] = []
@@ -81,6 +93,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []
     apart = articles = links = 0
     article = 0
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal pieces, linked
@@ -124,16 +137,26 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            end = _ENDS[tag].search(html, at)
-            at = end.end() if end else len(html)
+            if tag in ("svg", "math") and attributes.endswith("/"):
+                continue
+            end = None if tag in unclosed else _ENDS[tag].search(html, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(html)
+            else:
+                unclosed.add(tag)
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd", "a") and stack and stack[-1][0] == tag:
             leave(len(stack) - 1)
-        is_article = tag in ("article", "main")
-        labelled = tag in APART or (tag == "header" and not articles) or (tag != "body" and _is_label(attributes))
-        is_apart = labelled and not is_article
+        own = tag in ("article", "main")
+        if own:
+            is_apart = tag == "article" and _is_other(attributes)
+        else:
+            is_apart = tag in APART or (tag == "header" and not articles) or (tag != "body" and _is_label(attributes))
+        is_article = own and not is_apart and not apart
         if is_article and not articles:
             article += 1
         stack.append((tag, is_apart, is_article))
@@ -163,10 +186,13 @@ def first_pass(block: Block) -> str:
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Whether each block is kept. An open block in an article takes the label of the nearest decided neighbour of the
-    article, of two as near the good one, and is good if there is none. Outside an article a page that has articles
-    keeps nothing; in other pages both nearest neighbours must be good."""
-    has_article = any(b.article for b in found)
+    """Whether each block is kept: good ones, and open ones by their neighbours. An open block in an article takes the
+    label of the nearest decided neighbour of the article, of two as near the good one, and is good if there is none. An
+    open block outside needs good neighbours only, and if the articles hold most of the good text, one on both sides."""
+    good = [0, 0]
+    for block, label in zip(found, labels):
+        good[block.article > 0] += len(block.text) * (label == GOOD)
+    has_article = any(b.article and not b.apart for b in found) and good[1] >= good[0]
     before: list[tuple[str, int] | None] = []
     last: tuple[str, int] | None = None
     for i, (block, label) in enumerate(zip(found, labels)):
@@ -185,14 +211,12 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
             last = (labels[i], i)
     kept = []
     for i, (block, label) in enumerate(zip(found, labels)):
-        if has_article and not block.article:
-            label = BAD
-        elif label == OPEN:
+        if label == OPEN:
             near = [n for n in (before[i], after[i]) if n]
             if block.article:
                 label = min(near, key=lambda n: (abs(n[1] - i), n[0] == BAD))[0] if near else GOOD
             else:
-                label = GOOD if near and all(n[0] == GOOD for n in near) else BAD
+                label = GOOD if len(near) > has_article and all(n[0] == GOOD for n in near) else BAD
         kept.append(label == GOOD)
     return kept
 

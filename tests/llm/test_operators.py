@@ -134,6 +134,30 @@ def test_main_text():
     assert html.main_text("<p>a</p>") == html.main_text(None) == ""
 
 
+def test_main_text_with_misleading_articles():
+    story = "the story of the day and of the night is told in it " * 4
+    said = "and it was as good as it was for the rest of us " * 3
+    want = story.strip()
+    comments = f"<section class=comments><article><p>{said}</article><article>me too</article></section>"
+    assert html.main_text(f"<div id=content>{story}</div>{comments}") == want
+    assert html.main_text(f"<div id=content>{story}</div><article class='comment first'>{said}</article>") == want
+    assert html.main_text(f"<aside><article>{said}</article></aside><p>{story}</p>") == want
+    assert html.main_text(f"<article><h1>Head</h1><p>{story}</article>{comments}") == f"Head\n\n{want}"
+    cards = "<article><a href=x>Card</a></article>" * 3
+    assert html.main_text(f"<h1>Head</h1><p>{story}</p><p>short</p><p>{story}</p>{cards}") == f"Head\n\n{want}\n\nshort\n\n{want}"
+    outside = html.main_text(f"<p>Posted today</p><article><p>{story}</p><p>{story}</article><p>{said}</p><p>no</p>")
+    assert outside == f"{want}\n\n{want}\n\n{said.strip()}"
+
+
+def test_main_text_behind_raw_elements_without_an_end():
+    story = "the story of the day and of the night is told in it " * 4
+    for raw in ("<svg viewBox='0 0 1 1'/>", "<math/>", "<svg>", "<canvas id=a>", "<iframe src=x>", "<object>"):
+        assert html.main_text(f"<article>{raw}<p>{story}</article>") == story.strip(), raw
+    two = f"<article><svg a='1'/><p>{story}</p><svg><title>no</title></svg><p>{story}</article>"
+    assert html.main_text(two) == f"{story.strip()}\n\n{story.strip()}"
+    assert html.main_text(f"<article><p>{story}</p><script>var a = '{story}'") == story.strip()
+
+
 def _brute_rule(host, path):
     best = None
     for kind, at, under in urls.RULES:
