@@ -119,21 +119,41 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(empty_a & empty_b, F.lit(1.0)).when(empty_a | empty_b, F.lit(0.0)).otherwise(estimate)
 
 
+def _bounds(rows: DataFrame, cells: int) -> list[int]:
+    """Ids that cut the rows into ranges of about equal row counts, ascending, to an eighth of a range."""
+    shares = [i / cells for i in range(1, cells)]
+    found = rows.agg(F.percentile_approx("_id", shares, 8 * cells)).first()[0] if shares else None
+    return sorted(set(found or []))
+
+
+def _cell_of(number: Column, bounds: list[int]) -> Column:
+    """How many bounds are not above the number, by halving."""
+    if not bounds:
+        return F.lit(0)
+    steps = _ints([1 << k for k in reversed(range(len(bounds).bit_length()))])
+    bound = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+
+    def step(at: Column, by: Column) -> Column:
+        below = (at + by <= len(bounds)) & (F.get(bound, at + by - 1) <= number)
+        return F.when(below, at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def with_next(documents: DataFrame, cells: int = 1024, most_rows: int = 16_384) -> DataFrame:
     """``(doc_id, text, next_text, bits, next_bits)``: each row with the next one in descending order of ``doc_id``.
 
-    Ids are cut into cells of equal width, about ``cells`` of them or as many as keep a cell near ``most_rows`` rows, and
-    a text moves once, to its cell. The highest row of a cell is also sent to the cell above as a visitor, and the highest
-    of all to the lowest cell. The table of these rows has one row per cell; Spark broadcasts it if it is small and joins
-    it by shuffle if not. Rows with the same id follow each other by text, descending; a null id is the lowest. Ids that
-    crowd in a few cells make those cells larger, not wrong.
+    Ids are cut into cells of about equal row counts, about ``cells`` of them or as many as keep a cell near
+    ``most_rows`` rows, however the ids lie, and a text moves once, to its cell. The highest row of a cell is also sent to
+    the cell above as a visitor, and the highest of all to the lowest cell. The table of these rows has one row per cell;
+    Spark broadcasts it if it is small and joins it by shuffle if not. Rows with the same id follow each other by text,
+    descending; a null id is the lowest. Only rows with one and the same id (null counts as one) are not cut apart.
     """
     lowest = -(2**63)
     rows = documents.select("doc_id", F.coalesce("doc_id", F.lit(lowest)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, least, most = documents.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    n = documents.count()
     per_cell = min(max(n // cells, 1), most_rows)
-    width = max(1, ((most or 0) - (least or 0)) * per_cell // max(n, 1))
-    cell = F.expr(f"_id div {min(width, 2**63 - 1)}L")
+    cell = _cell_of(F.col("_id"), _bounds(rows, -(-n // per_cell)))
 
     heads = rows.groupBy(cell.alias("_cell")).agg(F.max("_id").alias("_id"))
     in_order = W.orderBy(F.col("_cell").desc())

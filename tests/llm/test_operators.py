@@ -88,6 +88,19 @@ def test_fingerprints_against_sets(documents, texts):
         assert by_text.setdefault(text, got[doc_id].fingerprint) == got[doc_id].fingerprint
 
 
+def test_next_rows_are_spread_however_the_ids_lie(spark):
+    ids = [*range(3000), *range(10**12, 10**12 + 1000), 2**62, -(2**62)]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = minhash.with_next(df, cells=64).withColumn("p", F.spark_partition_id()).select("doc_id", "next_text", "p").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(Counter(r.p for r in got).values()) < len(ids) / 2
+    down = sorted(ids, reverse=True)
+    assert {r.doc_id: r.next_text for r in got} == {a: f"text {b}" for a, b in zip(down, down[1:] + down[:1])}
+
+
 def test_densification_against_a_plain_search(spark):
     rng = random.Random(4)
     cases = [[rng.getrandbits(63) - 2**62 << 1 for _ in range(n)] for n in (1, 2, 5, 40, 130, 300, 3000)]
