@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
+from pathlib import Path
+
 import pytest
 from compare import differences, duck
 
@@ -68,5 +71,10 @@ def test_no_nested_loop_or_cross_joins(spark):
 
 
 def test_flagship(spark):
+    path = Path(__file__).resolve().parents[1] / "__spark_entry__.py"
+    spec = importlib.util.spec_from_file_location("entry_under_test", path)
+    driver = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(driver)
     df = driver.entry(spark)
+    assert set(QUERIES) <= set(driver.queries())
     assert df.columns[:4] == ["doc_id", "page", "span", "text"] and df.count() > 0
