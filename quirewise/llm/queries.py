@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm import bpe, html, langid, lm, minhash, packing, quality, simhash, toxicity, urls
+from quirewise.llm import bpe, html, langid, lm, minhash, packing, quality, simhash, toxicity, trie, urls
 from quirewise.llm.quality_sql import quality_sql
 
 
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_quality_rules,
     op2_fingerprints,
@@ -76,6 +80,7 @@ _ALL = (
     op8_packing,
     op9_language,
     op10_toxicity,
+    op12_prefix_trie,
 )
 QUERIES = {query.__name__: query for query in _ALL}
 #: The other operators learn models, hash, or follow links, which SQL doesn't express; their tests use brute force.
