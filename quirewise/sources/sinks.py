@@ -17,7 +17,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def drop_staged(staged: DataFrame) -> None:
+    """Remove the files of a table that ``stage_table`` returned, once nothing reads it any more."""
+    session = staged.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_parts(parted: DataFrame, path: str) -> DataFrame:
