@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm import bpe, html, langid, lm, minhash, packing, quality, simhash, toxicity, trie, urls
+from quirewise.llm import align, ann, bpe, html, langid, lm, minhash, packing, quality, simhash, toxicity, trie, urls
 from quirewise.llm.quality_sql import quality_sql
 
 
@@ -65,10 +65,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    pair = align.Pair(*paths)
+    found = align.aligned(_table(spark, sf_dir, "documents"), *paths)
+    return align.weighed(found, len(pair.a_bytes), len(pair.b_bytes))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 _ALL = (
     op1_quality_rules,
     op2_fingerprints,
@@ -80,7 +91,9 @@ _ALL = (
     op8_packing,
     op9_language,
     op10_toxicity,
+    op11_token_alignment,
     op12_prefix_trie,
+    op13_neighbours,
 )
 QUERIES = {query.__name__: query for query in _ALL}
 #: The other operators learn models, hash, or follow links, which SQL doesn't express; their tests use brute force.
