@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.functions.geometry import r3
+from quirewise.functions.linediff import near, script
 from quirewise.model import ADVANCE
 
 # Annotation kinds and their subtypes.
@@ -144,39 +146,35 @@ def ocr_text(documents: DataFrame, column: str = "ocr") -> DataFrame:
 def compare_pages(left: DataFrame, right: DataFrame, tolerance: int = 0) -> DataFrame:
     """Page by page over the longer of two page tables that share ``doc_id``.
 
-    A page on one side only is not identical and has no diff; otherwise the diff lists the lines that differ by more
-    than ``tolerance`` edits, numbers from 1.
+    ``diff_lines`` is a shortest script from the left page to the right one, ``-2,+2,+5``: lines that go by their number on
+    the left, lines that come by their number on the right. So a line that is put in is one difference, whatever comes
+    after it. Lines that are at most ``tolerance`` edits of a character apart count as equal. A page on one side only is
+    not identical and has no script; a null text is empty. Only pages whose texts differ are looked at line by line.
     """
     if tolerance < 0:
         raise ValueError(f"tolerance must be 0 or more, got {tolerance}")
-    a = left.select("doc_id", "page", F.col("text").alias("_a"), F.lit(True).alias("_in_a"))
-    b = right.select("doc_id", "page", F.col("text").alias("_b"), F.lit(True).alias("_in_b"))
-
-    def same(x: Column, y: Column) -> Column:
-        equal = x.eqNullSafe(y)
-        if tolerance == 0:
-            return equal
-        near = F.levenshtein(x, y, tolerance)
-        return equal | F.coalesce(near.between(0, tolerance), F.lit(False))
-
-    both = F.coalesce("_in_a", F.lit(False)) & F.coalesce("_in_b", F.lit(False))
-    text_a, text_b = F.coalesce("_a", F.lit("")), F.coalesce("_b", F.lit(""))
-    flags = F.zip_with(F.split(text_a, "\n"), F.split(text_b, "\n"), same)
-    numbered = F.transform(flags, lambda ok, i: F.when(~ok, i + 1))
-    changed = F.filter(numbered, lambda i: i.isNotNull())
-    empty = F.array().cast("array<int>")
-    compared = (
-        a.join(b, ["doc_id", "page"], "full")
-        .withColumn("_both", both)
-        .withColumn("_diff", F.when(both & (text_a != text_b), changed).otherwise(empty))
-    )
-    identical = F.col("_both") & (F.size("_diff") == 0)
-    return compared.select(
+    a = left.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("_a"))
+    b = right.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("_b"))
+
+    @F.pandas_udf("string")
+    def changed(old: pd.Series, new: pd.Series) -> pd.Series:
+        def one(x: str | None, y: str | None) -> str | None:
+            if x is None or y is None:
+                return None
+            return ",".join(script(x.split("\n"), y.split("\n"), lambda p, q: near(p, q, tolerance)))
+
+        return pd.Series([one(x, y) for x, y in zip(old, new)], dtype=object)
+
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    differs = both & (F.col("_a") != F.col("_b"))
+    compared = a.join(b, ["doc_id", "page"], "full").select(
         "doc_id",
         "page",
-        identical.alias("identical"),
-        F.when(F.size("_diff") > 0, F.array_join(F.col("_diff").cast("array<string>"), ",")).alias("diff_lines"),
+        both.alias("_both"),
+        changed(F.when(differs, F.col("_a")), F.when(differs, F.col("_b"))).alias("_script"),
     )
+    script_ = F.when(F.col("_script") != "", F.col("_script"))
+    return compared.select("doc_id", "page", (F.col("_both") & script_.isNull()).alias("identical"), script_.alias("diff_lines"))
 
 
 def overlay_align(pairs: DataFrame, sizes: DataFrame, page_counts: DataFrame) -> DataFrame:

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.functions.expr import indices, let, prefix_sums
-from quirewise.functions.geometry import blank_ranges, glyph_range, r3, strict_overlap
+from quirewise.functions.geometry import (
+    blank_ranges,
+    glyph_range,
+    r3,
+    run_matrix,
+    strict_overlap,
+    turned_extent,
+    turned_glyph_range,
+)
 from quirewise.functions.patterns import all_matches, blank_all, compile_patterns
 from quirewise.model import ADVANCE, FONT_SIZE, MARGIN
 from quirewise.operators.spread import spread_join
@@ -101,7 +109,9 @@ def match_boxes(matches: DataFrame, spans: DataFrame) -> DataFrame:
 def redact_areas(spans: DataFrame, areas: DataFrame) -> DataFrame:
     """Blank every glyph whose box overlaps an area of its page; touching edges do not count.
 
-    An area without width or height that lies inside a glyph blanks it as well.
+    An area without width or height that lies inside a glyph blanks it as well. Runs may carry a ``matrix`` of six numbers
+    that turns, scales or shears their glyphs and places them on the page; where it is null, or lacks a number, the run
+    stands upright at its origin.
 
     Areas meet runs by horizontal bands of the page, spread over tasks where a band holds very many. An area meets a
     run in one range of glyphs; ranges shrink to the longest per first glyph before they are gathered, so a run never
@@ -111,8 +121,16 @@ def redact_areas(spans: DataFrame, areas: DataFrame) -> DataFrame:
     advance = F.col("font_size") * F.lit(ADVANCE)
     top = F.col("y") + F.col("font_size")
     band = lambda low, high: F.explode(_cells(low, high, BAND, LAST_BAND)).alias("_band")
-    runs = spans.where(F.length("text") > 0).select(
-        *key, F.length("text").alias("_len"), "x", "y", "font_size", band(F.col("y"), top)
+    turned = "matrix" in spans.columns
+    if turned:
+        # A turned run stands in the bands of its bounds; the axes decide.
+        placed = spans.withColumn("_m", run_matrix(F.col("matrix"), F.col("x"), F.col("y")))
+        extent = turned_extent(F.col("_m"), F.length("text") * advance, F.col("font_size"))
+        placed = placed.withColumn("_e", extent).withColumns({"_low": F.col("_e.low"), "_high": F.col("_e.high")})
+    else:
+        placed = spans.withColumns({"_low": F.col("y"), "_high": top})
+    runs = placed.where(F.length("text") > 0).select(
+        *key, F.length("text").alias("_len"), "x", "_low", "_high", "font_size", *["_m"][: int(turned)], band(F.col("_low"), F.col("_high"))
     )
     low, high = F.col("y"), F.col("y") + F.col("height")
     boxes = areas.select(
@@ -124,10 +142,15 @@ def redact_areas(spans: DataFrame, areas: DataFrame) -> DataFrame:
         (F.col("y") + F.col("height")).alias("_by1"),
         band(F.least(low, high), F.greatest(low, high)),
     )
+    if turned:
+        box = tuple(F.col(c) for c in ("_bx0", "_by0", "_bx1", "_by1"))
+        found = turned_glyph_range(F.col("_m"), advance, F.col("font_size"), F.col("_len"), box)
+    else:
+        found = glyph_range(F.col("x"), advance, F.col("_len"), F.col("_bx0"), F.col("_bx1"))
     hits = (
         spread_join(boxes, runs, ["doc_id", "page", "_band"], salt_by=["_bx0", "_by0", "_bx1", "_by1"])
-        .where(strict_overlap(F.col("y"), top, F.col("_by0"), F.col("_by1")))
-        .select(*key, glyph_range(F.col("x"), advance, F.col("_len"), F.col("_bx0"), F.col("_bx1")).alias("_r"))
+        .where(strict_overlap(F.col("_low"), F.col("_high"), F.col("_by0"), F.col("_by1")))
+        .select(*key, found.alias("_r"))
         .where("_r.lo < _r.hi")
     )
     ranges = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions.patterns import NAMED_PATTERNS
 from quirewise.operators import forms, layer
-from quirewise.operators.pages import page_count, split_at
+from quirewise.operators.pages import page_count
 from quirewise.operators.redact import pii_mask
 from quirewise.plans.redaction import mask_sql
 from quirewise.plans.tables import ANNOTATIONS, FORM, PAGES, SIZES, SPANS, Tables, query, with_
@@ -16,7 +16,6 @@ from quirewise.sources.corpus import page_texts
 from quirewise.sources.sinks import stage_table
 
 PATTERNS = list(NAMED_PATTERNS)
-FIRST_PART = [5]
 
 
 def _fields(t: Tables) -> DataFrame:
@@ -66,9 +65,14 @@ def _ocr_documents(t: Tables) -> DataFrame:
 
 
 def _compared(t: Tables) -> DataFrame:
-    """The full documents against their first part after masking."""
-    masked = pii_mask(split_at(t.doc_pages, FIRST_PART).where("part = 1"), PATTERNS)
-    return layer.compare_pages(t.doc_pages, masked)
+    """All pages against masked ones, some of which have a line more or less; some pages are on one side only."""
+    key = F.col("doc_id") + F.col("page")
+    masked = pii_mask(t.doc_pages, PATTERNS).select("doc_id", "page", "text")
+    longer = F.regexp_replace("text", r"^([^\n]*)", "$1\nput in")
+    text = F.when(key % 3 == 0, longer).when(key % 5 == 0, F.regexp_replace("text", r"^[^\n]*\n?", "")).otherwise(F.col("text"))
+    edited = masked.where((F.col("doc_id") % 7 != 0) | (F.col("page") != 2)).withColumn("text", text)
+    extra = t.documents.where("doc_id % 11 = 0").select("doc_id", F.lit(0).cast("bigint").alias("page"), F.lit("extra").alias("text"))
+    return layer.compare_pages(t.doc_pages, edited.unionByName(extra))
 
 
 def _pairs(t: Tables) -> DataFrame:
@@ -172,18 +176,44 @@ FROM documents d LEFT JOIN (
     SELECT doc_id, ln // 4 AS page, coalesce(string_agg(line || chr(10), '' ORDER BY ln)
       FILTER ({_BLANK.replace('text', 'line')}), '') || chr(10) AS p
     FROM doc_lines GROUP BY ALL) GROUP BY ALL) USING (doc_id)""",
+    # Rows of the table of longest common subsequences from the last line up, then the walk through them from the first.
     "compare_pages": with_(
         PAGES,
-        f"\nmasked AS ({mask_sql('(SELECT * FROM doc_pages WHERE page <= 5)')})",
+        f"\nmasked AS ({mask_sql('doc_pages')})",
         """
+edited AS (
+  SELECT doc_id, page, CASE WHEN (doc_id + page) % 3 = 0 THEN regexp_replace(text, '^([^\\n]*)', '\\1' || chr(10) || 'put in')
+    WHEN (doc_id + page) % 5 = 0 THEN regexp_replace(text, '^[^\\n]*\\n?', '') ELSE text END AS text
+  FROM masked WHERE doc_id % 7 <> 0 OR page <> 2
+  UNION ALL SELECT doc_id, 0, 'extra' FROM documents WHERE doc_id % 11 = 0),
 both_ AS (
-  SELECT a.doc_id, a.page, m.page IS NOT NULL AS paired, a.text = m.text AS same,
-         string_split(a.text, chr(10)) AS la, string_split(m.text, chr(10)) AS lm
-  FROM doc_pages a LEFT JOIN masked m USING (doc_id, page))""",
+  SELECT doc_id, page, coalesce(a.text, '') AS ta, coalesce(b.text, '') AS tb, a.page IS NOT NULL AND b.page IS NOT NULL AS paired
+  FROM doc_pages a FULL JOIN edited b USING (doc_id, page)),
+changed AS (
+  SELECT doc_id, page, string_split(ta, chr(10)) AS la, string_split(tb, chr(10)) AS lb FROM both_ WHERE paired AND ta <> tb),
+common AS (
+  SELECT doc_id, page, la, lb, len(la) AS i, list_transform(range(len(lb) + 1), lambda j: 0::BIGINT) AS l FROM changed
+  UNION ALL
+  SELECT doc_id, page, la, lb, i - 1, list_transform(range(1, len(lb) + 2), lambda j: greatest(l[j], coalesce(list_max(
+    list_transform(range(j, len(lb) + 1), lambda k: CASE WHEN la[i] = lb[k] THEN l[k + 1] + 1 ELSE 0 END)), 0)))
+  FROM common WHERE i > 0),
+steps AS (
+  SELECT doc_id, page, 1::BIGINT AS i, 1::BIGINT AS j, ''::VARCHAR AS script, false AS done FROM changed
+  UNION ALL
+  SELECT doc_id, page, i + (step < 2)::INT, j + (step <> 1)::INT,
+    script || CASE step WHEN 0 THEN '' WHEN 1 THEN ',-' || i ELSE ',+' || j END,
+    i + (step < 2)::INT > n AND j + (step <> 1)::INT > m
+  FROM (
+    SELECT s.*, len(here.la) AS n, len(here.lb) AS m,
+      CASE WHEN s.i <= len(here.la) AND s.j <= len(here.lb) AND here.la[s.i] = here.lb[s.j] THEN 0
+           WHEN s.i <= len(here.la) AND (s.j > len(here.lb) OR below.l[s.j] >= here.l[s.j + 1]) THEN 1 ELSE 2 END AS step
+    FROM steps s JOIN common here ON here.doc_id = s.doc_id AND here.page = s.page AND here.i = s.i - 1
+    LEFT JOIN common below ON below.doc_id = s.doc_id AND below.page = s.page AND below.i = s.i
+    WHERE NOT done))""",
+        recursive=True,
     )
-    + """SELECT doc_id, page, coalesce(paired AND same, false) AS identical,
-  CASE WHEN paired AND NOT same THEN array_to_string(list_filter(list_transform(la, lambda v, i:
-    CASE WHEN v IS DISTINCT FROM lm[i] THEN i END), lambda i: i IS NOT NULL), ',') END AS diff_lines FROM both_""",
+    + """SELECT b.doc_id, b.page, paired AND ta = tb AS identical, substr(s.script, 2) AS diff_lines
+FROM both_ b LEFT JOIN (SELECT * FROM steps WHERE done) s ON s.doc_id = b.doc_id AND s.page = b.page""",
     "overlay_align": with_(
         SIZES,
         """

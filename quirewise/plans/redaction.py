@@ -37,6 +37,15 @@ def _areas(t: Tables) -> DataFrame:
     return t.doc_pages.select("doc_id", "page", F.explode(both).alias("_a")).select("doc_id", "page", "_a.*")
 
 
+def _turned(t: Tables) -> DataFrame:
+    """Runs of which three in four are turned, scaled, or mirrored and sheared."""
+    matrix = lambda *m: F.array(*[v if not isinstance(v, float) else F.lit(v) for v in m])
+    x, y, kind = F.col("x"), F.col("y"), F.col("doc_id") % 4
+    turned = F.when(kind == 0, matrix(0.8, 0.6, -0.6, 0.8, x, y - 60.0)).when(kind == 1, matrix(0.0, -1.5, 1.5, 0.0, x, y))
+    turned = turned.when(kind == 2, matrix(-1.0, 0.0, 0.25, 0.5, x + 300.0, y))
+    return t.spans.withColumn("matrix", turned)
+
+
 QUERIES = {
     "page_size": query(lambda t: t.page_sizes),
     "rotate_pages": query(lambda t: geo.rotate_pages(t.page_nodes, ANGLE).select("doc_id", "page", "rotate")),
@@ -62,6 +71,9 @@ QUERIES = {
     "redact_areas": query(
         lambda t: ops.redact_areas(t.spans, _areas(t)).select("doc_id", "page", "span", "text")
     ),
+    "redact_turned": query(
+        lambda t: ops.redact_areas(_turned(t), _areas(t)).select("doc_id", "page", "span", "text")
+    ),
     "auto_redact": query(lambda t: ops.auto_redact(t.doc_pages, PATTERNS).select("doc_id", "page", "span", "text")),
     "pii_mask": query(lambda t: ops.pii_mask(t.doc_pages, PATTERNS).select("doc_id", "page", "text")),
     "search_text": query(lambda t: ops.search_text(t.doc_pages, t.spans, QUERY)),
@@ -119,6 +131,22 @@ def mask_sql(source: str) -> str:
   AS text FROM (SELECT doc_id, page, {masks} FROM {source})"""
 
 
+def _shadow(n: str) -> str:
+    """Whether the shadows of glyph i and of an area overlap on the axis ``n``."""
+    step, rise = f"(6 * ({n}.x * a + {n}.y * b))", f"(12 * ({n}.x * c + {n}.y * d))"
+    low = f"({n}.x * e + {n}.y * f + least(0, {step}) + least(0, {rise}))"
+    left = f"(least({n}.x * x0, {n}.x * x1) + least({n}.y * y0, {n}.y * y1))"
+    return (
+        f"{low} + i * {step} < greatest({n}.x * x0, {n}.x * x1) + greatest({n}.y * y0, {n}.y * y1) "
+        f"AND {low} + abs({step}) + abs({rise}) + i * {step} > {left}"
+    )
+
+
+AREAS = """
+boxes AS (
+  SELECT doc_id, page, 24.0 + page * 6 AS x0, 54.0 + page * 6 AS x1, 700.0 AS y0, 760.0 AS y1 FROM doc_pages
+  UNION ALL SELECT doc_id, page, 100.0 + page, 145.5 + page, 744.0, 752.0 FROM doc_pages)"""
+
 ORACLES = {
     "page_size": with_(SIZES) + "SELECT * FROM page_sizes",
     "rotate_pages": with_(NODES)
@@ -142,13 +170,35 @@ FROM spans""",
   (y1 - y0)::DOUBLE AS height FROM boxes""",
     "redact_areas": with_(
         SPANS,
-        """
-boxes AS (
-  SELECT doc_id, page, 24.0 + page * 6 AS x0, 54.0 + page * 6 AS x1, 700.0 AS y0, 760.0 AS y1 FROM doc_pages
-  UNION ALL SELECT doc_id, page, 100.0 + page, 145.5 + page, 744.0, 752.0 FROM doc_pages)""",
+        AREAS,
         BLANKED,
     )
     + REDACTED,
+    # Every glyph of every run against every area of its page, on all four axes.
+    "redact_turned": with_(
+        SPANS,
+        AREAS,
+        """
+matrices AS (
+  SELECT doc_id, page, span, text, CASE doc_id % 4 WHEN 0 THEN [0.8, 0.6, -0.6, 0.8, x, y - 60]::DOUBLE[]
+    WHEN 1 THEN [0, -1.5, 1.5, 0, x, y]::DOUBLE[] WHEN 2 THEN [-1, 0, 0.25, 0.5, x + 300, y]::DOUBLE[]
+    ELSE [1, 0, 0, 1, x, y]::DOUBLE[] END AS m
+  FROM spans),
+glyphs AS (
+  SELECT doc_id, page, span, unnest(range(length(text)))::DOUBLE AS i, m[1] AS a, m[2] AS b, m[3] AS c, m[4] AS d, m[5] AS e,
+    m[6] AS f FROM matrices),
+hit AS (
+  SELECT DISTINCT g.doc_id, g.page, g.span, i::BIGINT AS i
+  FROM glyphs g JOIN (SELECT doc_id, page, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM boxes) r
+    ON r.doc_id = g.doc_id AND r.page = g.page
+  WHERE len(list_filter([{'x': 1::DOUBLE, 'y': 0::DOUBLE}, {'x': 0, 'y': 1}, {'x': -b, 'y': a}, {'x': -d, 'y': c}], lambda n: """
+        + _shadow("n")
+        + """)) = 4),
+gone AS (SELECT doc_id, page, span, list(i) AS blanks FROM hit GROUP BY ALL)""",
+    )
+    + """SELECT s.doc_id, s.page, s.span, CASE WHEN blanks IS NULL THEN text ELSE array_to_string(list_transform(
+  string_split(text, ''), lambda c, k: CASE WHEN list_contains(blanks, k - 1) THEN ' ' ELSE c END), '') END AS text
+FROM spans s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.page = s.page AND g.span = s.span""",
     "auto_redact": with_(SPANS, matches_cte(NAMED_PATTERNS), BOXES, BLANKED) + REDACTED,
     "pii_mask": with_(PAGES) + mask_sql("doc_pages"),
     "search_text": with_(SPANS, matches_cte({"q": QUERY}), BOXES)

@@ -17,6 +17,7 @@ from quirewise.streaming import intake
 PATTERNS = list(NAMED_PATTERNS)
 CUTOFF = "2024-01-24 00:00:00"
 DELAY = "1 hour"
+DEDUPE_DELAY, PERIOD = "1 minute", "10 minutes"
 
 
 def _time() -> Column:
@@ -48,15 +49,18 @@ def _stream_redact(t: Tables) -> DataFrame:
 
 
 def _stream_dedupe(t: Tables) -> DataFrame:
-    """Documents arrive one per second in the order of their ids; the watermark spans them all."""
+    """Documents are made one per second in the order of their ids and arrive in four parts, some in the next one."""
     arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
-    documents = intake.stream_table(t.spark, t.root, "documents").withColumn("arrived", arrived)
-    return intake.run_available(intake.stream_dedupe(documents, "3650 days"), "dedupe").select("h")
+    documents = t.documents.select("doc_id", "text", arrived.alias("arrived"))
+    build = lambda stream: intake.stream_dedupe(stream, DEDUPE_DELAY, PERIOD)
+    kept = intake.run_arrivals(intake.arrival_parts(documents, "doc_id"), build, intake.open_firsts, "dedupe")
+    return kept.select("doc_id", "page", "h")
 
 
 def _stream_history(t: Tables) -> DataFrame:
-    runs = corpus.history(intake.stream_table(t.spark, t.root, "events"))
-    counted = intake.run_to_end(intake.stream_history(runs, DELAY), "history")
+    """Runs arrive in four parts, some of them one part late."""
+    parts = intake.arrival_parts(t.history, "id")
+    counted = intake.run_arrivals(parts, lambda s: intake.stream_history(s, DELAY), intake.open_counts, "history")
     return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool_id", "runs")
 
 
@@ -78,6 +82,19 @@ QUERIES = {
 
 _SQL_TIME = "strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at"
 
+def _arrivals(table: str, key: str, made: str, delay: str) -> str:
+    """``marked``: rows with their time ``made`` and the watermark ``mark`` that all earlier parts have left."""
+    return f"""
+ends AS (SELECT min({key}) AS least, max({key}) AS most FROM {table}),
+parts AS (
+  SELECT t.*, {made} AS made,
+    least(({key} - least) * 4 // (most - least + 1) + (abs({key}) % 10 = 7)::INT, 3) AS part FROM {table} t, ends),
+latest AS (SELECT part, max(made) AS made FROM parts GROUP BY part),
+marked AS (
+  SELECT p.*, (SELECT date_trunc('milliseconds', max(l.made)) - INTERVAL {delay} FROM latest l WHERE l.part < p.part) AS mark
+  FROM parts p)"""
+
+
 ORACLES = {
     "recent_items": with_(HISTORY)
     + f"""SELECT id, tool_id, subject_id, {_SQL_TIME} FROM (SELECT * FROM history ORDER BY started_at DESC, id LIMIT 20)""",
@@ -99,8 +116,13 @@ ORACLES = {
     "stream_redact": "SELECT doc_id, text FROM ("
     + mask_sql("(SELECT doc_id, 1 AS page, text FROM documents)")
     + ")",
-    "stream_dedupe": with_(PAGES) + "SELECT DISTINCT sha256(coalesce(text, '')) AS h FROM doc_pages",
-    "stream_history": with_(HISTORY)
+    "stream_dedupe": with_(PAGES, _arrivals("documents", "doc_id", "to_timestamp(1700000000 + doc_id)", "1 MINUTE"))
+    + """SELECT arg_min(doc_id, (doc_id, page)) AS doc_id, arg_min(page, (doc_id, page)) AS page, h FROM (
+  SELECT doc_id, page, sha256(coalesce(p.text, '')) AS h, time_bucket(INTERVAL '10 minutes', made) AS w, mark
+  FROM doc_pages p JOIN marked USING (doc_id))
+WHERE mark IS NULL OR w + INTERVAL '10 minutes' > mark GROUP BY h, w""",
+    "stream_history": with_(HISTORY, _arrivals("history", "id", "started_at", "1 HOUR"))
     + """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, tool_id, count(*) AS runs
-FROM (SELECT *, date_trunc('hour', started_at) AS w FROM history) GROUP BY ALL""",
+FROM (SELECT *, date_trunc('hour', made) AS w FROM marked)
+WHERE mark IS NULL OR w + INTERVAL '1 hour' > mark GROUP BY ALL""",
 }

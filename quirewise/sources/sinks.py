@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewise.session import shared_folder
@@ -24,9 +24,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 def drop_staged(staged: DataFrame) -> None:
     """Remove the files of a table that ``stage_table`` returned, once nothing reads it any more."""
-    session = staged.sparkSession
-    path = session._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
-    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(staged.sparkSession, staged.staged_at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_parts(parted: DataFrame, path: str) -> DataFrame:

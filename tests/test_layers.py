@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from quirewise.functions import linediff
 from quirewise.operators import forms, history, layer
 from quirewise.operators.pages import split_at
 
@@ -159,13 +161,70 @@ def test_ocr_boxes_and_text(table):
 def test_compare(table):
     left = table("doc_pages", (1, 1, "same"), (1, 2, "a\nb\nc"), (1, 3, "left only"), (1, 4, "x\ny"))
     right = table("doc_pages", (1, 1, "same"), (1, 2, "a\nB\nc\nd"), (1, 4, "x\ny"), (1, 5, "right only"))
-    want = [(1, True, None), (2, False, "2,4"), (3, False, None), (4, True, None), (5, False, None)]
+    want = [(1, True, None), (2, False, "-2,+2,+4"), (3, False, None), (4, True, None), (5, False, None)]
     assert rows(layer.compare_pages(left, right), "page", "identical", "diff_lines") == want
-    assert rows(layer.compare_pages(left, right, 1), "page", "identical", "diff_lines")[1] == (2, False, "4")
+    assert rows(layer.compare_pages(left, right, 1), "page", "identical", "diff_lines")[1] == (2, False, "+4")
     with pytest.raises(ValueError):
         layer.compare_pages(left, right, -1)
 
 
+def test_an_inserted_line_is_one_difference(table):
+    lines = [f"line {i}" for i in range(50)]
+    left = table("doc_pages", (1, 1, "\n".join(lines)), (1, 2, None), (1, 3, ""), (1, 4, "a"))
+    right = table("doc_pages", (1, 1, "\n".join(lines[:7] + ["new"] + lines[7:])), (1, 2, ""), (1, 3, "a"), (1, 4, None))
+    got = rows(layer.compare_pages(left, right), "page", "identical", "diff_lines")
+    assert got == [(1, False, "+8"), (2, True, None), (3, False, "-1,+1"), (4, False, "-1,+1")]
+
+
+def _first_shortest(a, b, same):
+    """By the full table of common subsequences."""
+    n, m = len(a), len(b)
+    table = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if same(a[i], b[j]) else max(table[i + 1][j], table[i][j + 1])
+    i = j = 0
+    out = []
+    while i < n or j < m:
+        if i < n and j < m and same(a[i], b[j]):
+            i, j = i + 1, j + 1
+        elif i < n and (j == m or table[i + 1][j] >= table[i][j + 1]):
+            i += 1
+            out.append(f"-{i}")
+        else:
+            j += 1
+            out.append(f"+{j}")
+    return out
+
+
+def test_line_scripts_against_the_full_table():
+    rng = random.Random(11)
+    for _ in range(3000):
+        letters = "ab" if rng.random() < 0.5 else "abcdef"
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(0, 9))) for _ in range(2))
+        for same in (str.__eq__, lambda x, y: abs(ord(x) - ord(y)) < 2):
+            assert linediff.script(a, b, same) == _first_shortest(a, b, same), (a, b)
+    long = [str(rng.randrange(40)) for _ in range(3000)]
+    assert linediff.script(long, long[:900] + ["x"] + long[901:], str.__eq__) == ["-901", "+901"]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 5])
+def test_near_lines(most):
+    rng = random.Random(most)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, old = [i], row
+            for k, d in enumerate(y, 1):
+                row.append(min(old[k] + 1, row[-1] + 1, old[k - 1] + (c != d)))
+        return row[-1]
+
+    for _ in range(400):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 8))) for _ in range(2))
+        assert linediff.near(x, y, most) == (distance(x, y) <= most), (x, y)
+
+
 def test_overlay(table):
     sizes = table(
         "doc_id bigint, page bigint, width double, height double",

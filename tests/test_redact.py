@@ -207,3 +207,58 @@ def test_long_pages_join_by_stretch(table):
     boxes = ops.match_boxes(ops.pii_spans(page, ["email"]), corpus.layout_spans(page, with_offsets=True))
     assert boxes.count() == 2000
     assert boxes.agg(F.max("height")).first()[0] == 12.0
+
+
+def _turned_by_glyph(text, m, size, areas):
+    """Every glyph against every area: two convex shapes are apart if the normal of a side parts them."""
+    a, b, c, d, e, f = m
+    advance, out = size * 0.5, ""
+    for i, char in enumerate(text):
+        glyph = [(a * u + c * v + e, b * u + d * v + f) for u in (i * advance, (i + 1) * advance) for v in (0.0, size)]
+        hit = False
+        for x, y, w, h in areas:
+            box = [(p, q) for p in (x, x + w) for q in (y, y + h)]
+            apart = False
+            for n in ((1.0, 0.0), (0.0, 1.0), (-b, a), (-d, c)):
+                one, two = ([p * n[0] + q * n[1] for p, q in shape] for shape in (glyph, box))
+                apart = apart or max(one) <= min(two) + 1e-9 or max(two) <= min(one) + 1e-9
+            hit = hit or not apart
+        out += " " if hit else char
+    return out
+
+
+MATRICES = [
+    [1.0, 0.0, 0.0, 1.0], [0.6, 0.8, -0.8, 0.6], [0.0, 1.0, -1.0, 0.0], [-1.0, 0.0, 0.0, 1.0], [0.5, -0.5, 0.5, 0.5],
+    [2.0, 0.25, -0.5, 0.75], [0.7071, 0.7071, -0.7071, 0.7071], [0.0, -2.0, 0.5, 0.0],
+]
+
+
+def test_turned_runs_glyph_by_glyph(table, spark):
+    rng = random.Random(21)
+    runs, areas, want = [], [], []
+    for page in range(1, 121):
+        m = [*MATRICES[page % len(MATRICES)], rng.randrange(100, 300) + 0.5, rng.randrange(200, 500) + 0.25]
+        text = "x" * rng.randrange(1, 40)
+        own = [(rng.randrange(0, 400) + 0.1, rng.randrange(100, 600) + 0.2, rng.choice([0.5, 20.0, 120.0]), rng.choice([1.0, 30.0])) for _ in range(6)]
+        runs.append((1, page, 0, text, 0.0, 0.0, 10.0, m))
+        areas += [(1, page, *area) for area in own]
+        want.append((page, _turned_by_glyph(text, m, 10.0, own)))
+    spans = spark.createDataFrame(runs, "doc_id bigint, page int, span int, text string, x double, y double, font_size double, matrix array<double>")
+    got = ops.redact_areas(spans, table("areas", *areas))
+    assert rows(got, "page", "text") == sorted(want) and sum("x " in t or " x" in t for _, t in want) > 10
+    assert got.columns == spans.columns
+
+
+def test_turned_edges_and_odd_matrices(table, spark):
+    schema = "doc_id bigint, page int, span int, text string, x double, y double, font_size double, matrix array<double>"
+    up = [0.0, 1.0, -1.0, 0.0, 100.0, 200.0]  # upwards: glyph i covers x 90 to 100 and y 200 + 5i to 205 + 5i
+    runs = [
+        (1, 1, 0, "abcd", 0.0, 0.0, 10.0, up), (1, 1, 1, "", 0.0, 0.0, 10.0, up), (1, 1, 2, "flat", 0.0, 0.0, 10.0, [1.0, 0.0, 1.0, 0.0, 92.0, 206.0]),
+        (1, 1, 3, "efgh", 92.0, 201.0, 10.0, None), (1, 1, 4, "ijkl", 92.0, 201.0, 10.0, [1.0, None, 0.0, 1.0, 0.0, 0.0]), (1, 1, 5, None, 0.0, 0.0, 10.0, up),
+    ]
+    spans = spark.createDataFrame(runs, schema)
+    blank = lambda *area: [r[1] for r in rows(ops.redact_areas(spans, table("areas", (1, 1, *area))), "span", "text")]
+    assert blank(90.0, 205.0, 2.0, 5.0) == ["a cd", "", "flat", "efgh", "ijkl", None]  # the plain runs begin at its right edge
+    assert blank(100.0, 205.0, 5.0, 5.0)[0] == "abcd" and blank(80.0, 205.0, 10.0, 5.0)[0] == "abcd"  # touching
+    assert blank(95.0, 207.0, 0.0, 0.0)[0] == "a cd"
+    assert blank(92.5, 206.0, 1.0, 1.0)[2:5] == ["flat", " fgh", " jkl"]

@@ -27,23 +27,59 @@ def test_redact_equals_batch(spark, tmp_path):
     assert rows(got) == rows(want)
 
 
-def test_first_arrival_wins_within_the_watermark(spark, tmp_path):
+def _parts(spark, schema, batches):
+    return [spark.createDataFrame(batch, schema).coalesce(1) for batch in batches]
+
+
+def test_first_arrival_of_every_period(spark):
     schema = "doc_id bigint, text string, arrived timestamp"
     at = lambda h: DAY + dt.timedelta(hours=h)
     batches = [
-        [(1, "A\n\n\n\nB", at(1)), (2, "A\n\n\n", at(1))],
-        [(3, "B", at(1.2)), (4, "C", at(1.2))],
-        [(5, "Z", at(9))],
-        [(8, "X", at(9))],  # late rows are judged by the watermark of the batch before
-        [(6, "late", at(1))],
-        [(7, "Y", at(9.1))],
+        [(2, "A\n\n\n", at(1)), (1, "A\n\n\n\nB", at(1))],
+        [(3, "B", at(0.5)), (4, "C", at(1.2)), (5, "A\n\n\n", at(2.5))],  # an earlier arrival of an open period
+        [(6, "Z", at(9))],
+        [(7, "late", at(1)), (8, "Z", at(8.5)), (9, None, at(9)), (10, "no time", None)],  # no page, no time
+        [(11, "Z", at(10.1))],
     ]
-    source = _source(spark, tmp_path, schema, batches)
-    got = intake.run_available(intake.stream_dedupe(source, "1 hour"), "t-dedupe")
-    kept = rows(got, "doc_id", "page")
-    assert [k for k in kept if k[0] > 2] == [(4, 1), (5, 1), (7, 1), (8, 1)]
-    assert got.select("h").distinct().count() == got.count()
-    assert {k for k in kept if k[0] <= 2} in ({(1, 1), (1, 2)}, {(2, 1), (1, 2)})
+    build = lambda s: intake.stream_dedupe(s, "1 hour", "2 hours")
+    got = intake.run_arrivals(_parts(spark, schema, batches), build, intake.open_firsts, "t-dedupe")
+    assert rows(got, "doc_id", "page") == [(1, 1), (3, 1), (4, 1), (5, 1), (8, 1), (11, 1)]
+    assert rows(got.where("doc_id = 3"), "arrived") == [(at(0.5),)]
+
+
+def test_dedupe_state_does_not_grow(spark, tmp_path):
+    """A hundred batches, an hour of new pages each: the state holds the open periods and no more."""
+    schema = "doc_id bigint, text string, arrived timestamp"
+    path = f"{tmp_path}/in"
+    hours = [[(20 * h + i, f"page {20 * h + i}", DAY + dt.timedelta(hours=h)) for i in range(20)] for h in range(100)]
+    for n, batch in enumerate(hours):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{path}/{n:03}")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+        query = (
+            intake.stream_dedupe(source, "2 hours", "1 hour").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+            .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        )
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "500")
+        query.awaitTermination()
+        kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len(kept) >= 90 and max(kept) <= 100 and max(kept[:20]) == max(kept[-20:])
+    left = intake.open_firsts(spark.read.format("statestore").load(f"{tmp_path}/state")).count()
+    assert left + spark.read.parquet(f"{tmp_path}/out").count() == 2000 and left <= 100
+
+
+def test_parts_arrive_by_ranges(spark):
+    df = spark.range(0, 40).withColumnRenamed("id", "k")
+    parts = [[r.k for r in p.collect()] for p in intake.arrival_parts(df, "k")]
+    assert sorted(sum(parts, [])) == list(range(40)) and parts[0] == [0, 1, 2, 3, 4, 5, 6, 8, 9] and 7 in parts[1] and 37 in parts[3]
+    assert [p.count() for p in intake.arrival_parts(df.limit(0), "k")] == [0]
+    build = lambda s: intake.stream_history(s)
+    empty = spark.createDataFrame([], "started_at timestamp, tool_id string")
+    assert intake.run_arrivals([empty], build, intake.open_counts, "t-empty").count() == 0
 
 
 def test_history_drops_late_runs(spark, tmp_path):
@@ -65,8 +101,13 @@ def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
         assert intake.run_available(stream, "t-folder").count() == documents.count()
 
 
-def test_open_windows_come_out_at_the_end(spark, tmp_path):
+def test_open_windows_come_out_at_the_end(spark):
     schema = "started_at timestamp, tool_id string"
-    batches = [[(DAY, "a"), (DAY, "b")], [(DAY + dt.timedelta(minutes=1), "a"), (DAY + dt.timedelta(days=1), "a")]]
-    got = intake.run_to_end(intake.stream_history(_source(spark, tmp_path, schema, batches), "1 hour"), "t-end")
-    assert rows(got, "tool_id", "runs") == [("a", 1), ("a", 2), ("b", 1)]
+    batches = [
+        [(DAY, "a"), (DAY, "b")],
+        [(DAY + dt.timedelta(minutes=1), "a"), (DAY + dt.timedelta(days=1), "a")],
+        [(DAY + dt.timedelta(minutes=2), "a"), (DAY + dt.timedelta(days=1), "c")],  # the first is late by now
+    ]
+    build = lambda s: intake.stream_history(s, "1 hour")
+    got = intake.run_arrivals(_parts(spark, schema, batches), build, intake.open_counts, "t-end")
+    assert rows(got, "tool_id", "runs") == [("a", 1), ("a", 2), ("b", 1), ("c", 1)]
