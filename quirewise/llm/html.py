@@ -5,6 +5,10 @@ or bad, or leave it open if it is short or says too little. The second pass lets
 decided blocks before and after it. What the markup says plainly goes first: blocks in menus, footers, forms, adverts,
 comments and the like are bad. An article that holds most of the good text is a hint for open blocks: inside it the
 neighbours that count are its own, outside it an open block needs good ones on both sides.
+
+Markup is believed only as far as it goes. A form that holds much text for its fields is no form, a part that is never
+closed ends before the first block that reads like an article, and a part named after a place of the layout that holds
+most of the good text is not apart. Where no list of stop words fits a page, long blocks of sentences are good.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ GOOD, BAD, OPEN = "good", "bad", "open"
 #: Linked share from which a block is bad, in an article and outside; characters under which a block is short; share of
 #: stop words from which a longer one is good.
 LINKED_IN_ARTICLE, LINKED, SHORT, STOPS = 0.6, 0.3, 70, 0.25
+#: Share of stop words in all long blocks from which the lists fit a page.
+FITS = 0.1
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas"}
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
@@ -31,13 +37,23 @@ BLOCKS = set(
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section "
     "select summary table tbody td tfoot th thead tr ul".split()
 )
+FIELDS = {"input", "select", "textarea", "button"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that name what is not the article.
+#: Names in class, id or role, alone or together with other such words, of what is not the article.
 LABELS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice popup promo promotion "
     "related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside such a name, as in "site-footer" or "share-buttons".
+BESIDE = set(
+    "bar block bottom box button buttons container global header icon icons inner item items left link links list main "
+    "message outer overlay page panel primary right secondary section site text top wrapper".split()
+)
+#: Names of places of the layout, which may be given to what holds the article.
+PLACES = set("banner breadcrumb breadcrumbs footer login menu modal nav navbar navigation notice popup search sidebar toolbar widget".split())
+#: Characters of text for each field, and once more, from which a form is not taken for one.
+FORM_TEXT = 150
 #: A whole class, id or role of an article that is not the page's own.
 OTHERS = set(
     "ad ads advert advertisement comment comments promo promotion related reply replies sponsor sponsored".split()
@@ -57,25 +73,48 @@ _MARKUP = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"""\btype\s*=\s*["']?hidden""", re.I)
+_SENTENCE = re.compile(r"[.!?;:…\u3002\uff01\uff1f\uff1b\u0964\u06d4\u061f](?:\s|\W|\Z)|[\u3002\uff01\uff1f]")
+#: Scripts that write a word in a character or two.
+_DENSE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 
 
+@dataclass(eq=False)
+class Part:
+    """An element that its tag or its name sets apart."""
+
+    form: bool
+    place: bool
+    fields: int = 0
+    text: int = 0
+    closed: bool = False
+    over: bool = False
+
+
 @dataclass
 class Block:
     text: str
     linked: int
     apart: bool
     article: int
+    parts: tuple[Part, ...] = ()
 
 
-def _is_label(attributes: str) -> bool:
-    if "=" not in attributes:
-        return False
-    return any(
-        LABELS.intersection(_PARTS.findall(next(filter(None, m.groups()), "").lower())) for m in _NAMED.finditer(attributes)
-    )
+def _label(attributes: str) -> tuple[bool, bool]:
+    """Whether a class, id or role sets an element apart, and whether it names no more than a place of the layout.
+
+    A name counts as a whole: "share-buttons" is one, "share-price" and "no-sidebar" are not.
+    """
+    apart, place = False, True
+    if "=" in attributes:
+        for m in _NAMED.finditer(attributes):
+            for name in next(filter(None, m.groups()), "").lower().split():
+                words = set(re.split(r"[-_]+", name)) - {""}
+                if words & LABELS and words <= LABELS | BESIDE:
+                    apart, place = True, place and not words & LABELS - PLACES
+    return apart, place
 
 
 def _is_other(attributes: str) -> bool:
@@ -90,8 +129,9 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []
-    apart = articles = links = 0
+    stack: list[tuple[str, Part | None, bool]] = []
+    inside: list[Part] = []
+    articles = links = 0
     article = 0
     unclosed: set[str] = set()
 
@@ -99,7 +139,9 @@ def blocks(html: str) -> list[Block]:
         nonlocal pieces, linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, linked, apart > 0, article if articles else 0))
+            out.append(Block(text, linked, bool(inside), article if articles else 0, tuple(inside)))
+            for part in inside:
+                part.text += len(text)
         pieces, linked = [], 0
 
     def add(raw: str) -> None:
@@ -111,9 +153,10 @@ def blocks(html: str) -> list[Block]:
                 linked += len("".join(text.split()))
 
     def leave(depth: int) -> None:
-        nonlocal apart, articles, links
-        for tag, was_apart, was_article in stack[depth:]:
-            apart -= was_apart
+        nonlocal articles, links
+        for tag, part, was_article in stack[depth:]:
+            if part:
+                inside.remove(part)
             articles -= was_article
             links -= tag == "a"
         del stack[depth:]
@@ -133,9 +176,14 @@ def blocks(html: str) -> list[Block]:
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
+                    if stack[depth][1]:
+                        stack[depth][1].closed = True
                     leave(depth)
                     break
             continue
+        if tag in FIELDS and not _HIDDEN.search(attributes):
+            for part in inside:
+                part.fields += 1
         if tag in RAW:
             if tag in ("svg", "math") and attributes.endswith("/"):
                 continue
@@ -152,15 +200,20 @@ def blocks(html: str) -> list[Block]:
         if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd", "a") and stack and stack[-1][0] == tag:
             leave(len(stack) - 1)
         own = tag in ("article", "main")
+        part = None
         if own:
-            is_apart = tag == "article" and _is_other(attributes)
+            if tag == "article" and _is_other(attributes):
+                part = Part(False, False)
         else:
-            is_apart = tag in APART or (tag == "header" and not articles) or (tag != "body" and _is_label(attributes))
-        is_article = own and not is_apart and not apart
+            named, place = _label(attributes) if tag not in ("body", "html") else (False, False)
+            if tag in APART or (tag == "header" and not articles) or named:
+                part = Part(tag == "form" and not named, place and tag not in APART and tag != "header")
+        is_article = own and not part and not inside
         if is_article and not articles:
             article += 1
-        stack.append((tag, is_apart, is_article))
-        apart += is_apart
+        stack.append((tag, part, is_article))
+        if part:
+            inside.append(part)
         articles += is_article
         links += tag == "a"
     if "<" not in html[at:] or not re.search(r"<[a-zA-Z/!?]", html[at:]):
@@ -169,29 +222,60 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> str:
+def settle(found: list[Block]) -> bool:
+    """Decide which blocks are apart, and return whether the lists of stop words fit the page."""
+    alone = [Block(b.text, b.linked, False, b.article) for b in found]
+    long = [b for b in alone if _length(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
+    words = [w for b in long for w in _WORDS.findall(b.text.lower())]
+    fits = sum(map(STOP_WORDS.__contains__, words)) >= FITS * len(words)
+    good = [len(b.text) if first_pass(b, fits) == GOOD else 0 for b in alone]
+    total = sum(good)
+    held: dict[Part, int] = {}
+    for block, size in zip(found, good):
+        for part in block.parts:
+            held[part] = held.get(part, 0) + size
+    for block, size in zip(found, good):
+        for part in block.parts:
+            if not part.closed and size:
+                part.over = True
+            if part.form and part.text >= FORM_TEXT * (part.fields + 1) or part.place and 2 * held[part] > total:
+                part.over = True
+        block.apart = any(not part.over for part in block.parts)
+    return fits
+
+
+def _length(text: str) -> int:
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
+def first_pass(block: Block, fits: bool = True) -> str:
     """What a block says for itself."""
     if block.apart:
         return BAD
     size = len(block.text.replace(" ", ""))
     if block.linked > (LINKED_IN_ARTICLE if block.article else LINKED) * size:
         return BAD
-    if not block.article and "\xa9" in block.text:
+    length = _length(block.text)
+    if not block.article and "\xa9" in block.text and length < 2 * SHORT:
         return BAD
+    if length < SHORT:
+        return OPEN
+    if not fits:
+        return GOOD if _SENTENCE.search(block.text) else OPEN
     words = _WORDS.findall(block.text.lower())
-    stops = sum(map(STOP_WORDS.__contains__, words))
-    if len(block.text) >= SHORT and stops >= STOPS * len(words):
-        return GOOD
-    return OPEN
+    return GOOD if sum(map(STOP_WORDS.__contains__, words)) >= STOPS * len(words) else OPEN
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is kept: good ones, and open ones by their neighbours. An open block in an article takes the
     label of the nearest decided neighbour of the article, of two as near the good one, and is good if there is none. An
-    open block outside needs good neighbours only, and if the articles hold most of the good text, one on both sides."""
+    open block outside needs good neighbours only, and if the articles hold most of the good text, one on both sides. On a
+    page without a good block all open ones are kept."""
     good = [0, 0]
     for block, label in zip(found, labels):
         good[block.article > 0] += len(block.text) * (label == GOOD)
+    if GOOD not in labels:
+        return [label == OPEN for label in labels]
     has_article = any(b.article and not b.apart for b in found) and good[1] >= good[0]
     before: list[tuple[str, int] | None] = []
     last: tuple[str, int] | None = None
@@ -224,7 +308,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 def main_text(html: str | None) -> str:
     """Good blocks in page order, an empty line between them; empty for null, for an empty page and if none is good."""
     found = blocks(html or "")
-    kept = second_pass(found, [first_pass(b) for b in found])
+    fits = settle(found)
+    kept = second_pass(found, [first_pass(b, fits) for b in found])
     return "\n\n".join(b.text for b, keep in zip(found, kept) if keep)
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quirewise.sources.sinks import stage_table
 
-#: Hashed n-grams, longest n-gram, training texts per language, languages, and characters hashed at a time.
-FEATURES, LONGEST, TEXTS_PER_LANG, MOST_LANGS, BLOCK = 4096, 3, 500, 200, 1 << 18
+#: Hashed n-grams, longest n-gram, training texts per language and in all, and characters hashed at a time.
+FEATURES, LONGEST, TEXTS_PER_LANG, TEXTS, BLOCK = 4096, 3, 500, 12_000, 1 << 18
 #: How loss turns into a share of belief, and the least share of the best language that is not ambiguous.
 SHARPNESS, CLEAR = 2.0, 0.6
 UNKNOWN = "und"
@@ -44,7 +44,8 @@ def codes(n: int) -> np.ndarray:
     best, best_distance = None, -1
     while best is None or source.random() > 0.01:
         drawn = np.array([[source.choice((-1.0, 1.0)) for _ in range(length)] for _ in range(n)])
-        distance = min(int((drawn[i] != drawn[j]).sum()) for i in range(n) for j in range(i))
+        products = drawn @ drawn.T
+        distance = int((length - products[~np.eye(n, dtype=bool)].max()) / 2)
         if distance > best_distance and (np.abs(drawn.sum(0)) < n).all():
             best, best_distance = drawn, distance
     return best
@@ -102,21 +103,30 @@ class Model:
 
 
 def fit_rows(langs: list[str], rows: np.ndarray, lang: np.ndarray, rounds: int = 300) -> Model:
-    """Logistic regressions for all places of the code at once; every language weighs the same."""
+    """Logistic regressions for all places of the code at once; every language weighs the same.
+
+    ``rows`` may be in half precision; they are widened a block at a time.
+    """
     code = codes(len(langs))
     wanted = code[lang] > 0
     share = (1.0 / np.bincount(lang, minlength=len(langs)))[lang]
     share = share / share.sum()
+    blocks = [slice(i, i + 1024) for i in range(0, len(rows), 1024)]
     weights, bias = np.zeros((rows.shape[1], code.shape[1])), np.zeros(code.shape[1])
     speed_w, speed_b = np.zeros_like(weights), np.zeros_like(bias)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(rows @ weights + bias)))
-        off = (p - wanted) * share[:, None]
-        speed_w = 0.9 * speed_w - 20.0 * (rows.T @ off + 1e-5 * weights)
-        speed_b = 0.9 * speed_b - 2.0 * off.sum(0)
+        pull_w, pull_b = 1e-5 * weights, np.zeros_like(bias)
+        narrow = weights.astype(np.float32)
+        for b in blocks:
+            x = rows[b].astype(np.float32)
+            off = (1 / (1 + np.exp(-(x @ narrow + bias))) - wanted[b]) * share[b, None]
+            pull_w += x.T @ off.astype(np.float32)
+            pull_b += off.sum(0)
+        speed_w = 0.9 * speed_w - 20.0 * pull_w
+        speed_b = 0.9 * speed_b - 2.0 * pull_b
         weights, bias = weights + speed_w, bias + speed_b
-    right = (((rows @ weights + bias) > 0) == wanted) * share[:, None]
-    trust = np.clip(2 * right.sum(0) - 1, 0.01, 1.0)
+    right = sum((((rows[b].astype(float) @ weights + bias > 0) == wanted[b]) * share[b, None]).sum(0) for b in blocks)
+    trust = np.clip(2 * right - 1, 0.01, 1.0)
     return Model(langs, code, weights, bias, trust / trust.mean() / max(1, code.shape[1]) * 7)
 
 
@@ -125,33 +135,40 @@ def _is_training(doc_id: Column) -> Column:
 
 
 def fit(documents: DataFrame) -> Model:
-    """Learn from about ``TEXTS_PER_LANG`` whole texts, or all if there are fewer, of each of the ``MOST_LANGS`` most frequent languages.
+    """Learn from about ``TEXTS_PER_LANG`` whole texts, or all if there are fewer, of every language.
 
-    Rows whose crc32(doc_id) mod 3 is 1 and rows with a null id, text or language are not used. Texts are picked by a
-    hash of the id, so the choice does not depend on the order of rows. Without a usable row every text is ``und``.
+    If that comes to more than ``TEXTS`` texts, every language gets an equal share of these, but one at least; so the
+    sample is bounded by the number of languages, and none is left out. Rows whose crc32(doc_id) mod 3 is 1 and rows
+    with a null id, text or language are not used. Texts are picked by a hash of the id, so the choice does not depend on
+    the order of rows. Shares of n-grams reach the driver in half precision, 8 KB for a text.
+    Without a usable row every text is ``und``.
     """
     usable = documents.where("doc_id is not null and lang is not null and text is not null")
     usable = usable.where(_is_training(F.col("doc_id")))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
-    part = F.least(F.lit(1.0), TEXTS_PER_LANG / F.col("count"))
-    ids = usable.select("doc_id", "lang").join(F.broadcast(frequent), "lang")
-    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    chosen = stage_table(ids.select("doc_id", "lang").distinct(), "langid-sample")
-    # About MOST_LANGS * TEXTS_PER_LANG rows at most of an id and a language.
-    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    of_lang = stage_table(usable.groupBy("lang").count(), "langid-counts")
+    each = max(1, min(TEXTS_PER_LANG, TEXTS // max(1, of_lang.count())))
+    part = F.least(F.lit(1.0), each / F.col("count"))
+    ids = usable.select("doc_id", "lang").join(of_lang, "lang")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    # The least draw of a language is always in, so that a language with few texts picked is not lost.
+    least = ids.groupBy("lang").agg(F.min(F.struct(drawn.alias("d"), "doc_id")).alias("first"))
+    chosen = ids.where(drawn < part * 1_000_000).select("doc_id", "lang").union(least.select("first.doc_id", "lang"))
+    chosen = stage_table(chosen.distinct(), "langid-sample")
+    texts = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(lang, x) for lang, text in zip(batch["lang"], batch["text"]) if (x := grams(text)) is not None]
-            found = [x.astype(np.float32).tobytes() for _, x in rows]
+            found = [x.astype("<f2").tobytes() for _, x in rows]
             yield pd.DataFrame({"lang": [lang for lang, _ in rows], "x": pd.Series(found, dtype=object)})
 
-    sample = texts.select("lang", "text").mapInPandas(features, "lang string, x binary").collect()
-    langs = sorted({row["lang"] for row in sample})
-    sample.sort(key=lambda row: (row["lang"], bytes(row["x"])))
-    rows = np.array([np.frombuffer(row["x"], np.float32) for row in sample], np.float64).reshape(-1, FEATURES)
-    lang = np.array([langs.index(row["lang"]) for row in sample], np.int64)
-    return fit_rows(langs, rows, lang)
+    sample = texts.select("lang", "text").mapInPandas(features, "lang string, x binary").orderBy("lang", "x").toArrow()
+    names = sample["lang"].to_pylist()
+    langs = sorted(set(names))
+    rows = np.empty((len(names), FEATURES), np.float16)
+    for i, x in enumerate(sample["x"]):
+        rows[i] = np.frombuffer(x.as_buffer(), "<f2")
+    return fit_rows(langs, rows, np.array([langs.index(n) for n in names], np.int64))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.llm.components import components
@@ -77,26 +77,34 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Groups are all that is linked, over any number of links: equal texts, texts whose fingerprints differ in three bits
     or fewer, texts whose five-word shingles are 0.8 alike. Case of A-Z does not count. Null and blank texts are one
-    group. Of repeated rows with the id that stays one is kept; rows with a null id are kept and link nothing. An empty
-    table gives no rows.
+    group. Texts are told apart by themselves and not by their ids: unlike texts of one id all stay, and of alike ones
+    the one with the smaller hash. Of rows with the id and text that stay the one whose columns have the smallest hash is
+    kept; rows with a null id are kept and link nothing. An empty table gives no rows.
 
     Equal texts are one node from the start, so the largest group of copies costs one row. Keys that only one text has
-    leave before the marks are attached.
+    leave before the marks are attached. Nodes are numbered in the order of their smallest ids.
     """
-    text = F.coalesce("text", F.lit(""))
-    named = documents.where("doc_id is not null")
-    same = stage_table(named.groupBy(F.md5(text).alias("m")).agg(F.min("doc_id").alias("node")), "near-texts")
+    rows = documents.where("doc_id is not null").select(F.struct("*").alias("row"))
+    named = rows.select(F.col("row.doc_id").alias("id"), F.coalesce("row.text", F.lit("")).alias("text")).withColumn("m", F.md5("text"))
+    counted = named.groupBy("m", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("m").agg(F.min_by("n", "id").alias("n"), F.min("id").alias("id"))
+    placed = counted.repartitionByRange("id", "m").sortWithinPartitions("id", "m")
+    same = stage_table(placed.select("id", "m", "n", F.monotonically_increasing_id().alias("node")), "near-texts")
+
+    def once(of: DataFrame, kept: DataFrame, column: str, order: Column) -> DataFrame:
+        """``(node, column)`` of one row each; only rows that are repeated are shuffled."""
+        again = of.join(kept.where("n > 1"), ["id", "m"]).groupBy("node").agg(F.min_by(column, order).alias(column))
+        return of.join(kept.where("n = 1"), ["id", "m"]).select("node", column).unionByName(again)
 
     @F.pandas_udf("short bigint, fp bigint, keys array<bigint>, marks binary")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [sketch(t) for t in texts]
-            prints = np.array([r[:2] for r in rows], np.uint64).reshape(-1, 2).view(np.int64)
+            found = [sketch(t) for t in texts]
+            prints = np.array([r[:2] for r in found], np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame(
-                {"short": prints[:, 0], "fp": prints[:, 1], "keys": [r[2] for r in rows], "marks": [r[3] for r in rows]}
+                {"short": prints[:, 0], "fp": prints[:, 1], "keys": [r[2] for r in found], "marks": [r[3] for r in found]}
             )
 
-    first = named.select(F.col("doc_id").alias("node"), text.alias("text"), F.md5(text).alias("m")).join(same, ["node", "m"])
+    first = once(named, same, "text", F.col("id"))
     sketches = stage_table(first.select("node", sketched("text").alias("s")).select("node", "s.*"), "near-sketches")
 
     prints = stage_table(sketches.groupBy(F.col("short").alias("fp")).agg(F.min("node").alias("node")), "near-prints")
@@ -106,12 +114,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     keys = sketches.select("node", "fp", F.posexplode("keys").alias("k", "key"))
     shared = keys.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "key")
     wanted = stage_table(keys.join(shared, ["k", "key"]), "near-keys")
-    alike = links_by_key(wanted, _alike, lambda rows: rows.join(sketches.select("node", "marks"), "node"))
+    alike = links_by_key(wanted, _alike, lambda found: found.join(sketches.select("node", "marks"), "node"))
     roots = components(links.union(alike)).where("node <> root").select("node")
     kept = same.join(roots, "node", "left_anti")
-    kept = kept.select(F.col("node").alias("_near_id"), F.col("m").alias("_near_key"))
-    chosen = documents.join(
-        kept, (F.col("doc_id") == F.col("_near_id")) & (F.md5(text) == F.col("_near_key")), "left_semi"
-    )
-    once = chosen.dropDuplicates(["doc_id"])
-    return once.unionByName(documents.where("doc_id is null"))
+    hashed = [F.col("row")[c] for c, kind in documents.dtypes if "map<" not in kind]
+    whole = rows.select("row", F.col("row.doc_id").alias("id"), F.md5(F.coalesce("row.text", F.lit(""))).alias("m"))
+    return once(whole, kept, "row", F.xxhash64(*hashed)).select("row.*").unionByName(documents.where("doc_id is null"))
