@@ -11,7 +11,9 @@ from quirewise.operators import pages as ops
 from quirewise.plans.tables import NODES, PAGES, SPANS, SIZES, Tables, query, with_
 from quirewise.session import shared_folder
 from quirewise.sources.corpus import count_pages
-from quirewise.sources.sinks import stage_table, write_parts
+from quirewise.sources.parts import write_parts
+from quirewise.sources.sinks import stage_table
+from quirewise.sources.tolerant import read_tolerant
 
 CUTS = [2, 5, 5, 0]
 SPEC = "1-5,7,10-12"
@@ -50,16 +52,23 @@ def _reordered(t: Tables) -> DataFrame:
 
 def _parts(t: Tables) -> DataFrame:
     parted = ops.split_at(t.doc_pages, CUTS).select("doc_id", "part", "page", "text")
-    return write_parts(parted, f"{shared_folder(t.spark)}/parts-{uuid.uuid4().hex}")
+    manifest = write_parts(parted, f"{shared_folder(t.spark)}/parts-{uuid.uuid4().hex}")
+    # Which task wrote a file depends on the cluster, its name does not.
+    return manifest.withColumns({c: F.substring_index(c, "/", -1) for c in ("first_file", "last_file")})
 
 
 QUERIES = {
     "read_corpus": query(
         lambda t: t.documents.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("bigint").alias("length"))
     ),
+    "read_tolerant": query(
+        lambda t: read_tolerant(t.spark, t.root, "documents").select(
+            "doc_id", "lang", "source", "n_chars", F.length("text").cast("bigint").alias("length"), "error"
+        )
+    ),
     "paginate": query(lambda t: t.doc_pages),
     "layout_spans": query(lambda t: t.spans),
-    "write_parts": query(lambda t: _parts(t).drop("first_file", "last_file")),
+    "write_parts": query(_parts),
     "page_count": query(lambda t: ops.page_count(t.documents)),
     "merge_docs": query(
         lambda t: ops.merge_docs(_merge_list(t), ops.page_count(t.documents), t.doc_pages).select(
@@ -115,11 +124,15 @@ _INK = r"length(regexp_replace(text, '\s', '', 'g'))::DOUBLE / greatest(length(t
 
 ORACLES = {
     "read_corpus": "SELECT doc_id, lang, source, n_chars, length(text) AS length FROM documents",
+    "read_tolerant": "SELECT doc_id, lang, source, n_chars, length(text) AS length, NULL::VARCHAR AS error FROM documents",
     "paginate": with_(PAGES) + "SELECT p.*, n_pages FROM doc_pages p JOIN page_totals USING (doc_id)",
     "layout_spans": with_(SPANS) + "SELECT * FROM spans",
     "write_parts": with_(PAGES)
-    + """SELECT doc_id, 1 + (page > 2)::BIGINT + (page > 5)::BIGINT AS part, count(*) AS pages, min(page) AS first_page,
-  max(page) AS last_page FROM doc_pages GROUP BY ALL""",
+    + """SELECT doc_id, part, pages, first_page, last_page, name || first || '.parquet' AS first_file, name || last || '.parquet' AS last_file
+FROM (SELECT doc_id, part, count(*) AS pages, min(page) AS first_page, max(page) AS last_page, doc_id || '-' || part AS name,
+        CASE WHEN min(page) >= 100000 THEN '-' || min(page) // 100000 ELSE '' END AS first,
+        CASE WHEN max(page) >= 100000 THEN '-' || max(page) // 100000 ELSE '' END AS last
+      FROM (SELECT *, 1 + (page > 2)::BIGINT + (page > 5)::BIGINT AS part FROM doc_pages) GROUP BY ALL)""",
     "page_count": with_(PAGES)
     + "SELECT doc_id, coalesce(n_pages, 0) AS n_pages FROM documents LEFT JOIN page_totals USING (doc_id)",
     "merge_docs": with_(

@@ -32,25 +32,6 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def write_parts(parted: DataFrame, path: str) -> DataFrame:
-    """Write pages with a ``part`` column and return the manifest
-    ``(doc_id, part, pages, first_page, last_page, first_file, last_file)``.
-
-    Files hold ranges of (document, part, page), so their number follows the size of the corpus and not the number of
-    parts, a long document is cut over several files, and a part is found by the statistics of its file.
-    """
-    key = ["doc_id", "part", "page"]
-    parted.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("errorifexists").parquet(path)
-    written = parted.sparkSession.read.schema(parted.schema).parquet(path)
-    return written.withColumn("file", F.col("_metadata.file_path")).groupBy("doc_id", "part").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.min("page").alias("first_page"),
-        F.max("page").alias("last_page"),
-        F.min("file").alias("first_file"),
-        F.max("file").alias("last_file"),
-    )
-
-
 def write_form_csv(fields: DataFrame, path: str) -> None:
     """Bulk form export as CSV files with quotes doubled."""
     fields.select(

@@ -4,10 +4,12 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from quirewise.operators import pages as ops
 from quirewise.sources import corpus
-from quirewise.sources.sinks import write_parts
+from quirewise.sources.parts import write_parts
+from quirewise.sources.tolerant import read_tolerant
 
 
 def _pages(table, texts, doc=1):
@@ -23,6 +25,26 @@ def test_read_error_names_path(spark):
         corpus.read_corpus(spark, "/nowhere", "documents")
 
 
+def test_a_broken_file_costs_its_own_rows(spark, tmp_path):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    folder = tmp_path / "documents.parquet"
+    documents.repartition(4, "doc_id").write.parquet(str(folder))
+    files = sorted(folder.glob("*.parquet"))
+    lost = {r.doc_id for f in files[:2] for r in spark.read.parquet(str(f)).collect()}
+    files[0].write_bytes(b"not a table")
+    files[1].write_bytes(files[1].read_bytes()[:-200])
+    (folder / "part-empty.parquet").write_bytes(b"PAR1")
+    spark.range(1).select(F.col("id").alias("doc_id")).write.parquet(str(folder / "narrow"))
+    got = read_tolerant(spark, str(tmp_path), "documents")
+    bad = {r.source_file.rsplit("/", 1)[-1]: r.error for r in got.where("error is not null").collect()}
+    assert set(bad) == {files[0].name, files[1].name, "part-empty.parquet"} and all(bad.values())
+    kept = got.where("error is null")
+    assert rows(kept.where("text is not null or lang is not null").drop("source_file", "error")) == rows(documents.where(~F.col("doc_id").isin(lost)))
+    assert kept.where("lang is null and text is null and doc_id = 0").count() == 1
+    with pytest.raises(corpus.CorpusReadError, match="/nowhere/documents.parquet"):
+        read_tolerant(spark, "/nowhere", "documents")
+
+
 def test_paginate(table):
     docs = _docs(table, "a\nb\nc\nd\ne", "", None, "x\n\n\n\n")
     assert rows(corpus.paginate(docs), "doc_id", "page", "text", "n_pages") == [
@@ -188,3 +210,30 @@ def test_write_parts(table, tmp_path):
     manifest = write_parts(pages, f"{tmp_path}/parts")
     assert rows(manifest, "doc_id", "part", "pages", "first_page", "last_page") == [(1, 1, 2, 1, 2), (1, 2, 3, 3, 5)]
     assert all(f.startswith("file:") for (f,) in rows(manifest, "first_file"))
+
+
+def test_every_part_is_a_file(table, spark, tmp_path):
+    pages = table("doc_pages", *[(d, p, f"text {d} {p}") for d in (1, 2, 30) for p in range(1, 8 * d % 23)], (None, 1, None))
+    parted = ops.split_at(pages, [3, 5]).select("doc_id", "part", "page", "text")
+    manifest = write_parts(parted, f"{tmp_path}/parts", file_pages=4)
+    files = sorted(tmp_path.glob("parts/parts/*/*.parquet"))
+    for file in files:
+        own = spark.read.parquet(str(file)).collect()
+        doc, part, *chunk = file.stem.split("-")
+        assert {(str(r.doc_id), r.part, r.page // 4) for r in own} == {(doc, int(part), int(chunk[0]) if chunk else 0)}
+        assert [r.page for r in own] == sorted(r.page for r in own)
+    assert len(files) == parted.select("doc_id", "part", F.floor(F.col("page") / 4)).distinct().count()
+    assert rows(spark.read.parquet(f"{tmp_path}/parts/parts").drop("task")) == rows(parted)
+    want = parted.groupBy("doc_id", "part").agg(F.count("page"), F.min("page").cast("bigint"), F.max("page").cast("bigint"))
+    assert rows(manifest.drop("first_file", "last_file")) == rows(want) and not (tmp_path / "parts" / "_temporary").exists()
+    with pytest.raises(ValueError):
+        write_parts(parted, f"{tmp_path}/parts")
+    assert write_parts(parted.limit(0), f"{tmp_path}/none").count() == 0
+
+
+def test_a_failed_write_leaves_no_file(table, tmp_path):
+    pages = table("doc_pages", (1, 1, "a"), (2, 1, "b")).withColumn("part", F.lit(1).cast("bigint"))
+    broken = pages.withColumn("text", F.when(F.col("doc_id") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        write_parts(broken, f"{tmp_path}/parts")
+    assert not list(tmp_path.glob("parts/**/*.parquet"))
