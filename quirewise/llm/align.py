@@ -2,8 +2,8 @@
 
 Both token sequences spell the same bytes, so each is an array of the offsets where its tokens end. Where both end, a group
 of tokens closes. The arrays are walked at the current shift of their indexes: as long as they are equal there, tokens are
-one to one, and such a stretch is found by probing lengths that double, then halve. What is not one to one is resolved
-token by token up to the next common end, which gives the shift for the next stretch.
+one to one, and such a stretch is found by probing windows that grow by a factor, the last of which tells where it ends.
+What is not one to one is resolved token by token up to the next common end, which gives the shift for the next stretch.
 
 Links are then counted over the corpus: chunks of documents send each pair of ids once with the number of documents that
 hold it, and ask for the sums of the pairs they have.
@@ -12,7 +12,7 @@ hold it, and ask for the sums of the pairs they have.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from quirewise.sources.sinks import stage_table
 
-#: Characters encoded at a time, tokens of both kinds in one chunk of documents, pairs of one group listed one by one.
-TEXT, CHUNK, PAIRS = 400_000, 8_000_000, 4096
+#: Characters encoded at a time, tokens of both kinds in one chunk of documents, pairs of one group listed one by one, and
+#: tokens of the first probe of a stretch.
+TEXT, CHUNK, PAIRS, PROBE = 400_000, 8_000_000, 4096, 16
 SPACE_MARK = "▁"
 
 
@@ -36,21 +37,32 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, and the bytes of every token."""
+    """Both tokenizers, and the bytes of every token.
 
-    def __init__(self, byte_bpe: str, pieces: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    The byte-level vocabulary is read from its own file. As its ids rise in the order of its merges, which is checked, they
+    are ranks, and a tokenizer by ranks cuts and merges as the file says, some times faster than one that reads merges.
+    """
+
+    def __init__(self, byte_bpe: str, pieces: str, pattern: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        with open(byte_bpe, encoding="utf-8") as source:
+            model = json.load(source)["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"][x + y] for x, y in pairs]
         alphabet = byte_alphabet()
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for token, i in self.a.get_vocab().items():
-            known = all(c in alphabet for c in token)
-            self.a_bytes[i] = bytes(alphabet[c] for c in token) if known else token.encode()
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
+        merged = {bytes(alphabet[c] for c in x + y) for x, y in pairs}
+        if order != sorted(order) or any(len(t) > 1 and t not in merged for t in ranks if ranks[t] <= order[-1]):
+            raise ValueError(f"the ids of {byte_bpe} do not follow its merges")
+        # What comes after the last merge is special, and special tokens are plain text here.
+        ranks = {t: i for t, i in ranks.items() if i <= order[-1]}
+        self.a = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [b""] * (max(model["vocab"].values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
+        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -59,13 +71,13 @@ class Pair:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text; none where a text is empty or the tokens don't spell it with a space before it."""
-        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         second = self.b.encode(texts, num_threads=1)
         out, none = [], np.zeros(0, np.int64)
-        for text, a, b in zip(texts, first, second):
-            ids, raw = a.ids, (" " + text).encode()
-            same = text and b"".join(map(self.a_bytes.__getitem__, ids)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((np.array(ids, np.int64), np.array(b, np.int64)) if same else (none, none))
+        for text, b in zip(texts, second):
+            raw = (" " + text).encode()
+            a = self.a.encode_ordinary(" " + text) if text else []
+            same = text and b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none))
         return out
 
     def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,29 +86,26 @@ class Pair:
 
 def common_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side are done at each common end; both arrays rise and end alike."""
-    a, b = a.astype("<i8"), b.astype("<i8")
-    a_raw, b_raw, a_list, b_list = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
-    a_cut, b_cut = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    a_list, b_list = a.tolist(), b.tolist()
+    n, m = len(a_list), len(b_list)
+    a_cut, b_cut = np.zeros(n, bool), np.zeros(m, bool)
     i = j = 0
-    while i < len(a_list):
-        run, width, rising = 0, 1, True
-        room = min(len(a_list) - i, len(b_list) - j)
-        while width:
-            at = min(width, room - run)
-            p, q = 8 * (i + run), 8 * (j + run)
-            if at and a_raw[p : p + 8 * at] == b_raw[q : q + 8 * at]:
-                run += at
-                if rising:
-                    width *= 2
-                    continue
-            elif rising:
-                rising = False
-            width //= 2
-        if run:
+    while i < n:
+        if a_list[i] == b_list[j]:
+            # A stretch at this shift: windows that grow until one holds a difference, whose place ends the stretch.
+            run, width, room = 1, PROBE, min(n - i, m - j)
+            while run < room:
+                stop = min(run + width, room)
+                differs = a[i + run : i + stop] != b[j + run : j + stop]
+                at = int(differs.argmax())
+                if differs[at]:
+                    run += at
+                    break
+                run, width = stop, 4 * width
             a_cut[i : i + run] = True
             b_cut[j : j + run] = True
             i, j = i + run, j + run
-            if i == len(a_list):
+            if i >= n:
                 break
         # An irregular group: step on whichever side is behind until both end.
         x, y = a_list[i], b_list[j]
@@ -113,31 +122,31 @@ def common_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: The tokenizers of this worker, by their paths.
-_workers: dict[tuple[str, str], Pair] = {}
+_workers: dict[tuple[str, str, str], Pair] = {}
 
 
-def _pair(paths: tuple[str, str]) -> Pair:
-    if paths not in _workers:
-        _workers[paths] = Pair(*paths)
-    return _workers[paths]
+def _pair(of: tuple[str, str, str]) -> Pair:
+    if of not in _workers:
+        _workers[of] = Pair(*of)
+    return _workers[of]
 
 
 def _u4(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def aligned(documents: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
+def aligned(documents: DataFrame, byte_bpe: str, pieces: str, pattern: str) -> DataFrame:
     """``doc_id, a_ids, b_ids, a_cuts, b_cuts`` of every row; each is a run of little-endian unsigned 32-bit numbers.
 
     ``a_ids`` are the ids of the byte-level vocabulary for a space and the text, ``b_ids`` those of the piece model for the
-    text, before which the model itself puts a space. Special tokens in texts are plain text. The cuts tell how many
+    text, before which the model itself puts a space; ``pattern`` cuts a text for the former. Special tokens in texts are plain text. The cuts tell how many
     tokens are done where a group ends. Null and empty texts, and texts whose tokens don't spell the text, have none.
     Rows are not merged and other columns are not looked at. The files are read by each worker and must be there.
     """
-    paths = (byte_bpe, pieces)
+    of = (byte_bpe, pieces, pattern)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(paths)
+        pair = _pair(of)
         for batch in batches:
             ids, texts = batch["doc_id"], [t or "" for t in batch["text"].to_pylist()]
             at = 0

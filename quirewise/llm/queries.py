@@ -66,9 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    pair = align.Pair(*paths)
-    found = align.aligned(_table(spark, sf_dir, "documents"), *paths)
+    of = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
+    pair = align.Pair(*of)
+    found = align.aligned(_table(spark, sf_dir, "documents"), *of)
     return align.weighed(found, len(pair.a_bytes), len(pair.b_bytes))
 
 

@@ -21,7 +21,7 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 
 @pytest.fixture(scope="module")
 def pair():
-    return align.Pair(A, B)
+    return align.Pair(A, B, public_tokenizers.PATTERN)
 
 
 def test_cuts_are_the_common_ends():
@@ -82,7 +82,7 @@ def plain(rows):
 
 
 def run(df, pair):
-    got = align.weighed(align.aligned(df, A, B), len(pair.a_bytes), len(pair.b_bytes))
+    got = align.weighed(align.aligned(df, A, B, public_tokenizers.PATTERN), len(pair.a_bytes), len(pair.b_bytes))
     return sorted((tuple(r) for r in got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), key=str)
 
 
@@ -122,7 +122,7 @@ def test_chunks_and_wide_groups(spark, pair, monkeypatch):
 
 def test_rows_read_back(spark, pair):
     text = "Reading back, token by token: naïve façade 漢字."
-    row = align.aligned(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), A, B).first()
+    row = align.aligned(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), A, B, public_tokenizers.PATTERN).first()
     ids = {c: np.frombuffer(row[c], "<u4").tolist() for c in ("a_ids", "b_ids", "a_cuts", "b_cuts")}
     at, spelled = (0, 0), b""
     for cut in zip(ids["a_cuts"], ids["b_cuts"]):
