@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.functions.patterns import NAMED_PATTERNS
 from quirewise.operators import geometry as geo
+from quirewise.operators import literals
 from quirewise.operators import redact as ops
 from quirewise.plans.tables import NODES, PAGES, SIZES, SPANS, Tables, query, with_
 
@@ -20,6 +23,9 @@ CUSTOM = {
     "text:.com": r"\.com",
 }
 ANGLE = -450
+#: Over six hundred literals by a rule: all runs of four syllables.
+SYLLABLES = ("th", "er", "an", "in", "on")
+LITERALS = ["".join(run) for run in itertools.product(SYLLABLES, repeat=4)] + ["on the", "tion", ".com"]
 
 
 def _areas(t: Tables) -> DataFrame:
@@ -67,6 +73,8 @@ QUERIES = {
     ),
     "pii_spans": query(lambda t: ops.pii_spans(t.doc_pages, PATTERNS)),
     "pii_spans_custom": query(lambda t: ops.pii_spans(t.doc_pages, list(CUSTOM))),
+    "literal_spans": query(lambda t: literals.literal_spans(t.doc_pages, LITERALS)),
+    "literal_mask": query(lambda t: literals.literal_mask(t.doc_pages, LITERALS).select("doc_id", "page", "text")),
     "match_boxes": query(lambda t: ops.match_boxes(ops.pii_spans(t.doc_pages, PATTERNS), t.spans)),
     "redact_areas": query(
         lambda t: ops.redact_areas(t.spans, _areas(t)).select("doc_id", "page", "span", "text")
@@ -142,6 +150,20 @@ def _shadow(n: str) -> str:
     )
 
 
+# Each literal cuts the text by itself; what lies before a piece tells where it starts.
+LITERAL_HITS = """
+syllables AS (SELECT unnest(['th', 'er', 'an', 'in', 'on']) AS s),
+literals AS (
+  SELECT a.s || b.s || c.s || d.s AS literal FROM syllables a, syllables b, syllables c, syllables d
+  UNION ALL SELECT unnest(['on the', 'tion', '.com'])),
+cut AS (
+  SELECT doc_id, page, literal, string_split(text, literal) AS parts
+  FROM doc_pages JOIN literals ON contains(text, literal)),
+hits AS (
+  SELECT doc_id, page, literal,
+    CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(literal) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM cut))"""
+
 AREAS = """
 boxes AS (
   SELECT doc_id, page, 24.0 + page * 6 AS x0, 54.0 + page * 6 AS x1, 700.0 AS y0, 760.0 AS y1 FROM doc_pages
@@ -165,6 +187,18 @@ FROM page_nodes WHERE page IS NOT NULL""",
 FROM spans""",
     "pii_spans": with_(PAGES, matches_cte(NAMED_PATTERNS)) + "SELECT * FROM matches",
     "pii_spans_custom": with_(PAGES, matches_cte(CUSTOM)) + "SELECT * FROM matches",
+    "literal_spans": with_(PAGES, LITERAL_HITS)
+    + """SELECT doc_id, page, 'text:' || literal AS pattern, start, start + length(literal) AS "end", literal AS match FROM hits""",
+    "literal_mask": with_(
+        PAGES,
+        LITERAL_HITS,
+        """
+gone AS (SELECT doc_id, page, list(DISTINCT k) AS ks
+  FROM (SELECT doc_id, page, unnest(range(start, start + length(literal))) AS k FROM hits) GROUP BY ALL)""",
+    )
+    + """SELECT p.doc_id, p.page, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_transform(string_split(text, ''),
+  lambda c, i: CASE WHEN list_contains(ks, i - 1) THEN ' ' ELSE c END), '') END AS text
+FROM doc_pages p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.page = p.page""",
     "match_boxes": with_(SPANS, matches_cte(NAMED_PATTERNS), BOXES)
     + """SELECT doc_id, page, pattern, start, "end", x0::DOUBLE AS x, y0::DOUBLE AS y, (x1 - x0)::DOUBLE AS width,
   (y1 - y0)::DOUBLE AS height FROM boxes""",
