@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ ENTRIES, BEGINNINGS = 1024, 8
 #: Candidates of a round that a task holds before it keeps the best.
 HELD = 3_000_000
 
+_INT, _BIN = pa.int64(), pa.binary()
 _LIST = "node bigint, cell bigint, others binary, scores binary, fresh binary, x binary, changed bigint"
 
 
@@ -44,7 +46,7 @@ def is_vector(vector: Column) -> Column:
 
 
 def distinct_vectors(embeddings: DataFrame, copies: int) -> DataFrame:
-    """``(node, ids, vector)``: every distinct vector once, with its ``copies`` smallest ids; written once.
+    """``(ids, vector)``: every distinct vector once, with its ``copies`` smallest ids; written once.
 
     Repeated rows count once. A vector that a third of all rows share is cut to its first ids before the shuffle.
     """
@@ -52,7 +54,7 @@ def distinct_vectors(embeddings: DataFrame, copies: int) -> DataFrame:
     rows = rows.where(F.col("vec_id").isNotNull() & is_vector(F.col("vector"))).distinct()
     first = rows.withColumn("r", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).where(F.col("r") <= copies)
     nodes = first.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return stage_table(nodes.select(F.monotonically_increasing_id().alias("node"), "ids", "vector"), "ann-nodes")
+    return stage_table(nodes.select("ids", "vector"), "ann-vectors")
 
 
 @dataclass
@@ -128,16 +130,20 @@ def _best(dest: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) ->
     return dest[keep], other[keep], score[keep]
 
 
+_FOUND = "cell bigint, dest binary, others binary, scores binary"
+_FOUND_NAMES = ["cell", "dest", "others", "scores"]
+
+
 def _update_rows(ids: np.ndarray, dest: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.Table:
-    start = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]) if len(dest) else np.zeros(0, np.int64)
-    stop = np.r_[start[1:], len(dest)]
-    return pa.table(
-        {
-            "node": pa.array(ids[dest[start]], pa.int64()),
-            "others": pa.array([ids[other[a:b]].tobytes() for a, b in zip(start, stop)], pa.binary()),
-            "scores": pa.array([score[a:b].astype("<f4").tobytes() for a, b in zip(start, stop)], pa.binary()),
-        }
-    )
+    """What was found, in one row for each cell whose nodes it is for."""
+    home = ids >> 32
+    order = np.argsort(home[dest], kind="stable")
+    dest, other, score = dest[order], other[order], score[order]
+    cells, start = np.unique(home[dest], return_index=True)
+    parts = list(zip(start, np.r_[start[1:], len(dest)])) if len(cells) else []
+    packed = [[ids[v[a:b]].astype("<i8").tobytes() for a, b in parts] for v in (dest, other)]
+    scores = [score[a:b].astype("<f4").tobytes() for a, b in parts]
+    return pa.table([pa.array(cells, _INT), *(pa.array(c, _BIN) for c in (*packed, scores))], _FOUND_NAMES)
 
 
 def _meet_in_cell(degree: int):
@@ -187,42 +193,47 @@ def _schema(**kinds: pa.DataType) -> pa.Schema:
     return pa.schema(list(kinds.items()))
 
 
-_INT, _BIN = pa.int64(), pa.binary()
 _LIST_SCHEMA = _schema(node=_INT, cell=_INT, others=_BIN, scores=_BIN, fresh=_BIN, x=_BIN, changed=_INT)
 
 
 def _merged(degree: int):
-    """The list of a node and what was found for it become its new list; a new neighbour is fresh."""
-
-    def one(node: int, rows: list[tuple]) -> tuple:
-        base = next((r for r in rows if r[0] is not None), None)
-        more = [r for r in rows if r[0] is None]
-        cell, others, scores, fresh, x = base
-        old, old_score = np.frombuffer(others, "<i8"), np.frombuffer(scores, "<f4")
-        flag = np.frombuffer(fresh, "u1")
-        if not more:
-            return node, cell, others, scores, fresh, x, 0
-        other = np.concatenate([np.frombuffer(r[1], "<i8") for r in more])
-        score = np.concatenate([np.frombuffer(r[2], "<f4") for r in more])
-        other, first = np.unique(other, return_index=True)
-        score = score[first]
-        new = ~np.isin(other, old)
-        other, score = other[new], score[new]
+    """The lists of a cell and what was found for its nodes become its new lists; a new neighbour is fresh."""
+
+    def merge(lists: pa.Table, found: pa.Table) -> pa.Table:
+        lists = lists.take(pa.array(np.argsort(lists["node"].to_numpy())))
+        ids = lists["node"].to_numpy()
+        old, old_score, flag = (
+            np.frombuffer(b"".join(lists[c].to_pylist()), k) for c, k in (("others", "<i8"), ("scores", "<f4"), ("fresh", "u1"))
+        )
+        owner = np.repeat(np.arange(len(ids)), [len(f) for f in lists["fresh"].to_pylist()])
+        dest, other, score = (np.frombuffer(b"".join(found[c].to_pylist()), k) for c, k in zip(_FOUND_NAMES[1:], ("<i8", "<i8", "<f4")))
+        owner = np.concatenate((owner, np.searchsorted(ids, dest)))
         everyone, value = np.concatenate((old, other)), np.concatenate((old_score, score))
-        order = np.lexsort((everyone, -value))[:degree]
-        flags = np.concatenate((flag, np.ones(len(other), "u1")))[order]
-        return node, cell, everyone[order].tobytes(), value[order].tobytes(), flags.tobytes(), x, int((order >= len(old)).sum())
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _runs(batches, ["cell", "others", "scores", "fresh", "x"])
-        yield from _batched((one(node, rows) for node, rows in runs), _LIST_SCHEMA)
+        flag = np.concatenate((flag, np.full(len(other), 2, "u1")))
+        # One entry for a pair, the one that was there before if there is one.
+        order = np.lexsort((flag, everyone, owner))
+        owner, everyone, value, flag = owner[order], everyone[order], value[order], flag[order]
+        once = np.ones(len(owner), bool)
+        once[1:] = (owner[1:] != owner[:-1]) | (everyone[1:] != everyone[:-1])
+        owner, everyone, value, flag = owner[once], everyone[once], value[once], flag[once]
+        order = np.lexsort((everyone, -value, owner))
+        owner, everyone, value, flag = owner[order], everyone[order], value[order], flag[order]
+        start = np.searchsorted(owner, np.arange(len(ids) + 1))
+        keep = np.arange(len(owner)) - start[owner] < degree
+        owner, everyone, value, flag = owner[keep], everyone[keep], value[keep], flag[keep]
+        start = np.searchsorted(owner, np.arange(len(ids) + 1))
+        changed = np.bincount(owner[flag == 2], minlength=len(ids))
+        flag = np.minimum(flag, 1).astype("u1")
+        cut = list(zip(start[:-1], start[1:]))
+        packed = [pa.array([v[a:b].tobytes() for a, b in cut], _BIN) for v in (everyone.astype("<i8"), value.astype("<f4"), flag)]
+        return pa.table([lists["node"], lists["cell"], *packed, lists["x"], pa.array(changed, _INT)], _LIST_SCHEMA)
 
     return merge
 
 
 def _with_found(base: DataFrame, found: DataFrame, degree: int) -> DataFrame:
-    rows = base.select("node", "cell", "others", "scores", "fresh", "x").unionByName(found, allowMissingColumns=True)
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_merged(degree), _LIST)
+    lists = base.select("node", "cell", "others", "scores", "fresh", "x")
+    return lists.groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(_merged(degree), _LIST)
 
 
 def _picks(flags: np.ndarray, taken: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,19 +318,55 @@ def _gathered(taken: int, turn: int):
     return gather
 
 
-def _wanted(columns: list[str], key: str):
-    """``(key, node)`` for every node that the rows of a key name, each once in a batch."""
+def _requests(asker: str, columns: list[str]):
+    """``(home, asker, nodes)``: what the rows of an asker name, by the cell it lies in, each node once in a batch."""
 
-    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch[key].to_numpy()
-            for k in np.unique(keys):
-                at = np.flatnonzero(keys == k).tolist()
-                names = [batch[c].to_pylist() for c in columns]
-                nodes = np.unique(np.frombuffer(b"".join(n[i] for n in names for i in at), "<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), k)), pa.array(nodes)], [key, "node"])
+            by: dict[object, list[bytes]] = {}
+            for key, *named in zip(*(batch[c].to_pylist() for c in (asker, *columns))):
+                by.setdefault(key, []).extend(named)
+            rows = []
+            for key, named in by.items():
+                nodes = np.unique(np.frombuffer(b"".join(named), "<i8"))
+                homes, start = np.unique(nodes >> 32, return_index=True)
+                rows += [(h, str(key), nodes[a:b].tobytes()) for h, a, b in zip(homes.tolist(), start, np.r_[start[1:], len(nodes)])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((_INT, pa.string(), _BIN))], _ASK_NAMES)
+
+    return request
 
-    return want
+
+_ASK, _ASK_NAMES = "home bigint, asker string, nodes binary", ["home", "asker", "nodes"]
+
+
+def fetched(requests: DataFrame, store: DataFrame, column: str, per_number: int) -> DataFrame:
+    """``(asker, nodes, lengths, <column>)``: the values of the nodes asked for, one row for each asker and cell.
+
+    ``store`` has a row per node with its cell. Askers and cells meet once, and what passes between them is packed, so the
+    rows follow the cells and not the nodes; lengths are in units of ``per_number`` bytes.
+    """
+    names = ["asker", "nodes", "lengths", column]
+
+    def answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        node = rows["node"].to_numpy()
+        order = np.argsort(node)
+        node, values = node[order], rows[column].to_pylist()
+        out = []
+        for asker, raw in zip(asked["asker"].to_pylist(), asked["nodes"].to_pylist()):
+            own = [values[i] for i in order[np.searchsorted(node, np.frombuffer(raw, "<i8"))].tolist()]
+            lengths = np.array([len(v) // per_number for v in own], "<i4")
+            out.append((asker, raw, lengths.tobytes(), b"".join(own)))
+        kinds = [pa.string(), _BIN, _BIN, _BIN]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    asked = requests.groupBy("home").cogroup(store.select("node", "cell", column).groupBy("cell"))
+    return asked.applyInArrow(answer, f"asker string, nodes binary, lengths binary, {column} binary")
+
+
+def _together(answers: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, lengths and values of all answers to one asker."""
+    parts = (("nodes", "<i8"), ("lengths", "<i4"), (column, kind))
+    return tuple(np.frombuffer(b"".join(answers[c].to_pylist()), k) for c, k in parts)
 
 
 def _padded(ids: np.ndarray, members: list[bytes]) -> np.ndarray:
@@ -331,14 +378,16 @@ def _padded(ids: np.ndarray, members: list[bytes]) -> np.ndarray:
     return out
 
 
-def _joined(degree: int):
+def _joined(degree: int, width: int):
     """Neighbours of the nodes of a cell meet one another."""
 
     def join(lists: pa.Table, points: pa.Table) -> pa.Table:
-        order = np.argsort(points["node"].to_numpy())
-        ids = points["node"].to_numpy()[order]
-        x = _matrix(points["x"], "<f2")[order]
-        worst = points["worst"].to_numpy()[order].astype(np.float32)
+        ids, _, values = _together(points, "x", "<f2")
+        # A node that several batches of the cell asked for comes more than once.
+        ids, first = np.unique(ids, return_index=True)
+        # The last number of each is the score that a new neighbour has to beat.
+        x = values.reshape(-1, width)[first]
+        x, worst = x[:, :-1], x[:, -1].astype(np.float32)
         fresh, old = _padded(ids, lists["fresh"].to_pylist()), _padded(ids, lists["old"].to_pylist())
         held, size = [], 0
 
@@ -363,17 +412,21 @@ def _joined(degree: int):
             if size > HELD:
                 held = best()
                 size = len(held[0][0])
-        return _update_rows(ids, *best()[0]) if held else _update_rows(ids, *(np.zeros(0, np.int64),) * 3)
+        return _update_rows(ids, *(best()[0] if held else (np.zeros(0, np.int64),) * 3))
 
     return join
 
 
-def _worst(degree: int):
+def _with_worst(degree: int):
+    """``(node, cell, x)``: the vector of a node, and after it the score of its worst neighbour, or less if it lacks some."""
+
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [np.frombuffer(s, "<f4") for s in batch["scores"].to_pylist()]
-            least = [float(s[-1]) if len(s) >= degree else -4.0 for s in scores]
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["x"], pa.array(least, pa.float32())], ["node", "x", "worst"])
+            # Rounded down, so that half precision turns no neighbour away.
+            least = np.nextafter(np.array([s[-1] if len(s) >= degree else -4.0 for s in scores], "<f2"), np.float16(-8))
+            x = [v + w.tobytes() for v, w in zip(batch["x"].to_pylist(), least)]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["cell"], pa.array(x, _BIN)], ["node", "cell", "x"])
 
     return worst
 
@@ -398,66 +451,73 @@ def build(embeddings: DataFrame, copies: int = 21, degree: int = DEGREE, taken:
     from a sample of at most ``SAMPLE_ROWS`` vectors, by hash of the id; every vector is placed and linked. A cell with
     more than ``cell_rows`` nodes is cut by hash, so that what a task holds is bounded by the cell and the lists.
     """
-    nodes = distinct_vectors(embeddings, copies)
+    vectors = distinct_vectors(embeddings, copies)
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    n, width, longest = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.max(size)).first()
+    n, width, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.max(size)).first()
     if not n:
+        nodes = vectors.withColumn("node", F.lit(0).cast("bigint"))
         empty = nodes.sparkSession.createDataFrame([], _LIST)
         return Index(nodes, empty, 1, 0, (np.zeros(0, np.int64), np.zeros((0, 1))))
     if not math.isfinite(longest):
-        longest = nodes.agg(F.max(F.array_max(F.transform("vector", lambda v: F.abs(v.cast("double")))))).first()[0] * math.sqrt(width)
+        longest = vectors.agg(F.max(F.array_max(F.transform("vector", lambda v: F.abs(v.cast("double")))))).first()[0] * math.sqrt(width)
     rows = max(2, min(SAMPLE_ROWS, SAMPLE_NUMBERS // width))
-    drawn = nodes.select(F.xxhash64(F.get("ids", F.lit(0))).alias("h"), "node", "vector").orderBy("h", "node").limit(rows)
-    drawn = drawn.select("node", "vector").toArrow().combine_chunks()
-    vectors = _vectors(drawn["vector"].chunk(0), width)
-    entries = drawn["node"].to_numpy()[:ENTRIES], vectors[:ENTRIES]
-    sample = _even(vectors, longest)
+    drawn = vectors.select(F.xxhash64(F.get("ids", F.lit(0))).alias("h"), "vector").orderBy("h").limit(rows)
+    sample = _even(_vectors(drawn.toArrow()["vector"].combine_chunks(), width), longest)
     levels = max(0, min(math.ceil(math.log2(n / cell_rows)), int(math.log2(max(1, len(sample) / 16)))))
-    planes = nodes.sparkSession.sparkContext.broadcast(Planes.grown(sample, levels))
+    planes = vectors.sparkSession.sparkContext.broadcast(Planes.grown(sample, levels))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _even(_vectors(batch["vector"], width), longest)
             cells = planes.value.cells(x)
             packed = pa.array([row.tobytes() for row in x.astype("<f2")], _BIN)
-            yield pa.RecordBatch.from_arrays([batch["node"], packed, *map(pa.array, cells)], ["node", "x", "leaf", "other_leaf"])
-
-    points = stage_table(nodes.select("node", "vector").mapInArrow(place, "node bigint, x binary, leaf bigint, other_leaf bigint"), "ann-points")
-
-    def cells(leaf: str) -> DataFrame:
-        """At most ``2**levels`` leaves, themselves bounded by the sample, and parts of those that are too large."""
-        parts = points.groupBy(leaf).agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts"))
-        part = F.pmod(F.xxhash64("node"), F.col("parts"))
-        # Leaves in the lower bits, below the number of leaves.
-        return points.join(parts, leaf).select("node", "x", (part * (1 << levels) + F.col(leaf)).alias("cell"))
+            yield pa.RecordBatch.from_arrays([batch["ids"], batch["vector"], packed, *map(pa.array, cells)], ["ids", "vector", "x", "leaf", "other_leaf"])
+
+    kind = vectors.schema["vector"].dataType.simpleString()
+    points = vectors.mapInArrow(place, f"ids array<bigint>, vector {kind}, x binary, leaf bigint, other_leaf bigint")
+    points = stage_table(points, "ann-points")
+    # There are at most 2**levels leaves, a number bounded by the sample; those that are too large are cut by hash. The
+    # upper half of the number of a node is its cell, the lower half counts the nodes of the cell.
+    parts = points.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts"))
+    first = F.get("ids", F.lit(0))
+    cell = F.pmod(F.xxhash64(first), F.col("parts")) * (1 << levels) + F.col("leaf")
+    placed = points.join(parts, "leaf").withColumn("cell", cell)
+    number = F.row_number().over(W.partitionBy("cell").orderBy(first, "x")).cast("bigint")
+    placed = stage_table(placed.withColumn("node", F.shiftleft("cell", 32).bitwiseOR(number)).drop("leaf", "parts"), "ann-nodes")
+    drop_staged(points)
+    drop_staged(vectors)
+    entries = placed.select(F.xxhash64(first).alias("h"), "node", "vector").orderBy("h", "node").limit(min(ENTRIES, rows))
+    entries = entries.select("node", "vector").toArrow().combine_chunks()
+    entries = entries["node"].to_numpy(), _vectors(entries["vector"].chunk(0), width)
 
     meet = _meet_in_cell(degree)
-    home = cells("leaf")
-    found = home.groupBy("cell").applyInArrow(meet, "node bigint, others binary, scores binary")
+    found = placed.select("node", "cell", "x").groupBy("cell").applyInArrow(meet, _FOUND)
     if levels:
-        found = found.unionByName(cells("other_leaf").groupBy("cell").applyInArrow(meet, "node bigint, others binary, scores binary"))
+        other = placed.groupBy("other_leaf").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("parts"))
+        other = placed.join(other, "other_leaf").select("node", "x", "other_leaf", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+        found = found.unionByName(other.groupBy("other_leaf", "part").applyInArrow(meet, _FOUND))
     none = F.lit(b"").alias
-    graph = stage_table(_with_found(home.select("node", "cell", none("others"), none("scores"), none("fresh"), "x"), found, degree), "ann-graph")
+    graph = stage_table(_with_found(placed.select("node", "cell", none("others"), none("scores"), none("fresh"), "x"), found, degree), "ann-graph")
     rounds = 0
     while levels or n > cell_rows:
-        turned = stage_table(_round(graph, degree, taken, rounds), "ann-graph")
+        turned = stage_table(_round(graph, degree, taken, rounds, width + 1), "ann-graph")
         drop_staged(graph)
         graph, rounds = turned, rounds + 1
         if graph.agg(F.sum("changed")).first()[0] <= LEFT * n * degree:
             break
-    drop_staged(points)
-    return Index(nodes, graph, width, rounds, entries)
+    return Index(placed.select("node", "cell", "ids", "vector"), graph, width, rounds, entries)
 
 
-def _round(graph: DataFrame, degree: int, taken: int, turn: int) -> DataFrame:
+def _round(graph: DataFrame, degree: int, taken: int, turn: int, numbers: int) -> DataFrame:
     lists = "node bigint, cell bigint, fresh binary, old binary"
     named = graph.select("node", "cell", "others", "fresh").mapInArrow(_named(taken, turn), lists)
-    both = named.repartition("node").sortWithinPartitions("node").mapInArrow(_gathered(taken, turn), lists)
+    home = F.shiftright("node", 32)
+    both = named.withColumn("home", home).repartition("home").sortWithinPartitions("node").drop("home").mapInArrow(_gathered(taken, turn), lists)
     both = stage_table(both.where("octet_length(fresh) > 0"), "ann-lists")
-    wanted = both.select("cell", "fresh", "old").mapInArrow(_wanted(["fresh", "old"], "cell"), "cell bigint, node bigint").distinct()
-    points = graph.select("node", "x", "scores").mapInArrow(_worst(degree), "node bigint, x binary, worst float")
-    sent = wanted.join(points, "node")
-    found = both.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(_joined(degree), "node bigint, others binary, scores binary")
+    asked = both.select("cell", "fresh", "old").mapInArrow(_requests("cell", ["fresh", "old"]), _ASK)
+    points = graph.select("node", "cell", "x", "scores").mapInArrow(_with_worst(degree), "node bigint, cell bigint, x binary")
+    sent = fetched(asked, points, "x", 2).withColumn("asker", F.col("asker").cast("bigint"))
+    found = both.groupBy("cell").cogroup(sent.groupBy("asker")).applyInArrow(_joined(degree, numbers + 1), _FOUND)
     aged = graph.select("node", "cell", "others", "scores", "fresh", "x").mapInArrow(_aged(taken), "node bigint, cell bigint, others binary, scores binary, fresh binary, x binary")
     return _with_found(aged, found, degree)
 
@@ -478,14 +538,15 @@ def search(index: Index, starts: DataFrame, beam: int = BEAM, step: int = STEP)
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [v.tobytes() for v in _vectors(batch["vector"], width).astype("<f8")]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(rows, _BIN)], ["node", "v"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["cell"], pa.array(rows, _BIN)], ["node", "cell", "v"])
 
     # Double precision holds vectors of either kind as given.
-    vectors = stage_table(index.nodes.select("node", "vector").mapInArrow(packed, "node bigint, v binary"), "ann-vectors")
+    vectors = index.nodes.select("node", "cell", "vector").mapInArrow(packed, "node bigint, cell bigint, v binary")
+    vectors = stage_table(vectors, "ann-vectors")
     graph = index.graph.select("node", "cell", "others")
-    walks = starts.join(graph, "node").join(vectors, "node")
-    parts = starts.join(graph, "node").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("parts"))
-    walks = walks.join(parts, "cell").select(
+    asking = starts.withColumn("cell", F.shiftright("node", 32))
+    parts = asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BATCH).alias("parts"))
+    walks = asking.join(vectors, ["node", "cell"]).join(parts, "cell").select(
         F.col("node").alias("query"),
         F.concat_ws("-", "cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))).alias("batch"),
         F.col("v").alias("x"),
@@ -514,12 +575,13 @@ def search(index: Index, starts: DataFrame, beam: int = BEAM, step: int = STEP)
     state = stage_table(walks.mapInArrow(begin, _STATE), "ann-walks")
     while state.where(_open(F.col("seen"))).limit(1).count():
         going = state.where(_open(F.col("seen")))
-        next_up = going.select("batch", "beam", "seen").mapInArrow(_next_up(step), "batch string, node bigint").distinct()
-        lists = stage_table(next_up.join(graph.select("node", "others"), "node").select("batch", "node", "others"), "ann-next")
-        known = lists.select("batch", "others").mapInArrow(_named_once, "batch string, node bigint").distinct()
-        sent = known.join(vectors, "node").select("batch", "node", F.lit(None).cast("binary").alias("others"), "v")
-        sent = sent.unionByName(lists.withColumn("v", F.lit(None).cast("binary")))
-        moved = going.groupBy("batch").cogroup(sent.groupBy("batch")).applyInArrow(_walk(step, beam), _STATE)
+        asked = going.select("batch", "beam", "seen").mapInArrow(_next_up(step), _ASK)
+        lists = stage_table(fetched(asked, graph, "others", 8), "ann-next")
+        known = lists.select("asker", "others").mapInArrow(_requests("asker", ["others"]), _ASK)
+        # Lists and vectors come to a batch in one table, told apart by their columns.
+        none = F.lit(None).cast("binary")
+        sent = fetched(known, vectors, "v", 8).withColumn("others", none).unionByName(lists.withColumn("v", none))
+        moved = going.groupBy("batch").cogroup(sent.groupBy("asker")).applyInArrow(_walk(step, beam, width), _STATE)
         after = stage_table(moved.unionByName(state.where(~_open(F.col("seen")))), "ann-walks")
         drop_staged(state)
         drop_staged(lists)
@@ -548,39 +610,31 @@ def _chosen(seen: np.ndarray, step: int) -> np.ndarray:
 
 
 def _next_up(step: int):
+    """What the walks of a batch look at next, as requests."""
+    request = _requests("batch", ["chosen"])
+
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes = [], []
-            for key, beam, seen in zip(*(batch[c].to_pylist() for c in ("batch", "beam", "seen"))):
-                chosen = np.frombuffer(beam, "<i8")[_chosen(np.frombuffer(seen, "u1"), step)]
-                keys += [key] * len(chosen)
-                nodes.append(chosen)
-            flat = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(flat)], ["batch", "node"])
+            chosen = []
+            for beam, seen in zip(batch["beam"].to_pylist(), batch["seen"].to_pylist()):
+                chosen.append(np.frombuffer(beam, "<i8")[_chosen(np.frombuffer(seen, "u1"), step)].tobytes())
+            yield from request(iter([pa.RecordBatch.from_arrays([batch["batch"], pa.array(chosen, _BIN)], ["batch", "chosen"])]))
 
     return up
 
 
-def _named_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        by: dict[str, list[bytes]] = {}
-        for key, others in zip(batch["batch"].to_pylist(), batch["others"].to_pylist()):
-            by.setdefault(key, []).append(others)
-        for key, named in by.items():
-            nodes = np.unique(np.frombuffer(b"".join(named), "<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes), pa.string()), pa.array(nodes)], ["batch", "node"])
-
-
-def _walk(step: int, most: int):
+def _walk(step: int, most: int, width: int):
     """One step of the walks of a batch."""
 
     def walk(walks: pa.Table, sent: pa.Table) -> pa.Table:
-        is_list = np.array([v is None for v in sent["v"].to_pylist()], bool)
-        node = sent["node"].to_numpy()
-        lists = {n: np.frombuffer(o, "<i8") for n, o in zip(node[is_list].tolist(), sent["others"].filter(pa.array(is_list)).to_pylist())}
-        points = np.flatnonzero(~is_list)
-        points = points[np.argsort(node[points])]
-        ids, vectors = node[points], _matrix(sent["v"].take(pa.array(points)), "<f8")
+        of_lists = pa.array([v is None for v in sent["v"].to_pylist()])
+        named, lengths, others = _together(sent.filter(of_lists), "others", "<i8")
+        ends = np.cumsum(lengths)
+        lists = {n: others[e - k : e] for n, k, e in zip(named.tolist(), lengths.tolist(), ends.tolist())}
+        ids, _, vectors = _together(sent.filter(pc.invert(of_lists)), "v", "<f8")
+        vectors = vectors.reshape(-1, width)
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
         out = []
         for query, batch, x, beam, scores, seen in zip(*(walks[c].to_pylist() for c in _STATE_NAMES)):
             own, value, done = np.frombuffer(beam, "<i8"), np.frombuffer(scores, "<f8"), np.frombuffer(seen, "u1").copy()

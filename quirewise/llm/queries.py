@@ -52,7 +52,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packed_tokens(_table(spark, sf_dir, "documents"))
+
+
+def packed_tokens(documents: DataFrame) -> DataFrame:
+    """Documents packed by their tokens in the byte-level vocabulary; the id after the last ends a document."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = packing.tokens(documents.sparkSession, ranks, public_tokenizers.PATTERN, len(ranks))
+    coded = documents.select("doc_id", "text", ids("text").alias("ids"))
+    return packing.packed(coded, length=F.octet_length("ids") / 4)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

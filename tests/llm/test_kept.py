@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quirewise.llm import langid, near, toxicity
+from quirewise.llm import bpe, langid, near, packing, toxicity
 
 A = "the first text tells of rivers and of mountains and of the long way between them in the cold of an early year"
 B = "a second one is about bread and how it is baked by people who get up long before anyone else has even thought of it"
@@ -59,6 +60,31 @@ def test_two_hundred_languages():
     assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 20
 
 
+def test_sequences_read_back_to_the_texts(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = bpe.Tokenizer(ranks, public_tokenizers.PATTERN)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(0, "another text under the same id"), (None, "no id"), (None, None), (7, "again"), (7, "again"), (-1, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = packing.tokens(spark, ranks, public_tokenizers.PATTERN, len(ranks))
+    coded = df.select("doc_id", "text", ids("text").alias("ids")).cache()
+    places = packing.packed(coded, {64: 70.0, 512: 520.0}, shard_rows=50, length=F.octet_length("ids") / 4).cache()
+    whole = {r.bin: r for r in packing.sequences(places, coded).collect()}
+    back = {}
+    for r in places.collect():
+        sequence = np.frombuffer(whole[r.bin].ids, "<u4")
+        assert len(sequence) == r.bin_tokens <= r.bin_length == whole[r.bin].bin_length
+        back.setdefault((r.doc_id, r.text_hash), []).append((r.start, sequence[r.bin_offset : r.bin_offset + r.n_tokens].tolist()))
+    texts = []
+    for (doc_id, _), pieces in back.items():
+        copies = sum(start == 0 for start, _ in pieces)
+        line = [t for start, part in sorted(pieces)[::copies] for t in part]
+        assert line[-1] == len(ranks) and len(ranks) not in line[:-1]
+        texts += [(doc_id, own.decode(np.array(line[:-1], "<u4").tobytes()).decode())] * copies
+    assert sorted(texts, key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+    assert packing.sequences(places.limit(0), coded).count() == 0
+
+
 def test_no_language_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(langid, "TEXTS", 8)
     letters = "abcdefghijklmnopqrstuvwxyz"
