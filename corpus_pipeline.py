@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirewise.llm import langid, near, packing, toxicity
-from quirewise.sources.sinks import stage_table
+from quirewise.llm import langid, near, queries, toxicity
+from quirewise.sources.sinks import drop_staged, stage_table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in which training sequence."""
-    return packing.packed(docs)
+    """Where the tokens of each piece of each document lie in which training sequence."""
+    return queries.packed_tokens(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -37,13 +37,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: The stages learn models and follow links of any length, which SQL doesn't express; tests compare with brute force.
+#: The stages learn models and follow links of any length, which SQL doesn't express; the operators have tests by brute
+#: force, and the pipeline is held against its stages one by one.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; what a stage returns is written to the shared folder and read by the next."""
+    """All stages over the whole table; what a stage returns is written to the shared folder, read by the next and removed
+    when that one is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_staged(before)
+        before = docs
     return docs
