@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.functions.expr import let
 from quirewise.functions.geometry import place_label, r3, text_width
 from quirewise.functions.text import fill_template, ink_share
 from quirewise.model import table_schema
@@ -18,6 +17,8 @@ from quirewise.sources.corpus import count_pages, page_texts
 
 # Pages of one document numbered per task at most; page numbers are dense, so no bucket is larger.
 PAGE_BUCKET = 4096
+# Starts of parts in one block of the size split.
+_STARTS = 256
 
 
 def _long_list(pages: Iterable[int]) -> Column:
@@ -127,37 +128,48 @@ def split_ranges(doc_pages: DataFrame, spec: str) -> DataFrame:
     return doc_pages.withColumn("part", F.explode(F.filter(parts, lambda p: p.isNotNull())))
 
 
-def split_by_size(documents: DataFrame, budget: int) -> DataFrame:
-    """Fill parts greedily up to a byte budget; a page above the budget is a part of its own.
+def _first_of_parts(sizes: Column, budget: int) -> Column:
+    """Places from 0 of the pages that begin a part, filled from the front.
 
-    Only page sizes enter the Python helper, never the text.
+    The fold keeps what is used of the open part. Starts are gathered in blocks of a few hundred, which are put together at
+    the end, so that a document with very many parts does not copy all of them for each.
     """
+    none, no_blocks = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+
+    def state(used: Column, at: Column, open_: Column, done: Column) -> Column:
+        return F.struct(used.alias("used"), at.alias("at"), open_.alias("open"), done.alias("done"))
+
+    def step(s: Column, size: Column) -> Column:
+        begins = (s["at"] == 0) | (s["used"] + size > budget)
+        full = F.size(s["open"]) == _STARTS
+        opened = F.when(full, F.array(s["at"])).otherwise(F.concat(s["open"], F.array(s["at"])))
+        return state(
+            F.when(begins, size).otherwise(s["used"] + size),
+            s["at"] + 1,
+            F.when(begins, opened).otherwise(s["open"]),
+            F.when(begins & full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]),
+        )
+
+    start = state(F.lit(0).cast("bigint"), F.lit(0), none, no_blocks)
+    return F.aggregate(sizes, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["open"]))))
+
+
+def split_by_size(documents: DataFrame, budget: int) -> DataFrame:
+    """Fill parts greedily up to a byte budget; a page above the budget is a part of its own. No shuffle."""
     if budget < 1:
         raise ValueError(f"budget must be positive, got {budget}")
 
-    @F.pandas_udf("array<bigint>")
-    def greedy_parts(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in sizes:
-            yield batch.map(one_document)
-
-    def one_document(sizes: np.ndarray | None) -> np.ndarray | None:
-        if sizes is None:
-            return None
-        ends = np.cumsum(sizes)
-        parts = np.empty(len(sizes), dtype=np.int64)
-        first, used, part = 0, 0, 1
-        while first < len(sizes):
-            past = max(int(np.searchsorted(ends, used + budget, side="right")), first + 1)
-            parts[first:past] = part
-            first, used, part = past, int(ends[past - 1]), part + 1
-        return parts
+    def numbered(sizes: Column) -> Column:
+        def parts(starts: Column) -> Column:
+            length = lambda at, k: F.coalesce(F.get(starts, k + 1), F.size(sizes)) - at
+            return F.flatten(F.transform(starts, lambda at, k: F.array_repeat((k + 1).cast("bigint"), length(at, k))))
+
+        return F.arrays_zip(sizes.alias("bytes"), let(_first_of_parts(sizes, budget), parts).alias("part"))
 
     sizes = F.transform(page_texts(F.col("text")), lambda p: F.octet_length(p).cast("bigint"))
-    sized = documents.select("doc_id", sizes.alias("_sizes"))
-    zipped = F.arrays_zip(F.col("_sizes").alias("bytes"), F.col("_parts").alias("part"))
     return (
-        sized.withColumn("_parts", greedy_parts("_sizes"))
-        .select("doc_id", F.posexplode(zipped).alias("_pos", "_v"))
+        documents.select("doc_id", sizes.alias("_sizes"))
+        .select("doc_id", F.posexplode(let(F.col("_sizes"), numbered)).alias("_pos", "_v"))
         .select(
             "doc_id",
             (F.col("_pos") + 1).cast("bigint").alias("page"),

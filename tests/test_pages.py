@@ -108,6 +108,17 @@ def test_split_by_size_against_a_loop(table):
         ops.split_by_size(docs, 0)
 
 
+def test_split_by_size_has_no_python_and_many_parts(table):
+    docs = _docs(table, *["\n".join("x" * (n % 7) for n in range(lines)) for lines in (1, 2000, 6001)], None)
+    got = ops.split_by_size(docs, 9)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    want, sizes = [], rows(corpus.paginate(docs).select("doc_id", "page", F.octet_length("text").alias("n")))
+    for doc, page, size in sizes:
+        part, used = (1, size) if page == 1 else (part, used + size) if used + size <= 9 else (part + 1, size)
+        want.append((doc, page, size, part))
+    assert rows(got, "doc_id", "page", "bytes", "part") == want and max(w[3] for w in want) > 512
+
+
 def test_remove_and_extract_by_list_and_by_table(table):
     pages = _pages(table, list("abcde"))
     listed = table("doc_id bigint, page bigint", (1, 2), (1, 4), (1, 9))
