@@ -13,15 +13,18 @@ def climb(start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame],
     """Resolve rows that still point upwards (``_at`` is not null) through the rows they point at.
 
     ``merge(pending, known)`` joins each pending row with the row at its ``_at`` and takes over what that one has found
-    so far, its pointer included. So the reach of a row doubles each round: a chain of a thousand links takes ten. Each
-    round is written once to the shared folder. Rows that still point somewhere after more rounds than there are doublings
-    of all rows hang in a ring; they keep their ``_at`` and it is for the caller to say what that means.
+    so far, its pointer included. So the reach of a row doubles each round: a chain of a thousand links takes ten. A round
+    writes the rows that were pending, and nothing else, to the shared folder. As every round ends at least one row that
+    has an end, a round that ends none leaves only rows that hang in a ring; they keep their ``_at`` and it is for the
+    caller to say what that means.
     """
     known = stage_table(start, name)
-    rounds = known.count().bit_length() + 1
-    for _ in range(rounds):
-        pending = known.where("_at is not null")
-        if pending.isEmpty():
-            return known
-        known = stage_table(known.where("_at is null").unionByName(merge(pending, known)), name)
-    return known
+    done, pending = known.where("_at is null"), known.where("_at is not null")
+    left = pending.count()
+    while left:
+        moved = stage_table(merge(pending, done.unionByName(pending)), name)
+        done, pending = done.unionByName(moved.where("_at is null")), moved.where("_at is not null")
+        before, left = left, pending.count()
+        if left == before:
+            break
+    return done.unionByName(pending)
