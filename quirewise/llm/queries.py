@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirewise.llm import align, ann, bpe, html, langid, lm, minhash, packing, quality, simhash, toxicity, trie, urls
 from quirewise.llm.quality_sql import quality_sql
+from quirewise.llm.trie_sql import trie_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,4 +106,4 @@ _ALL = (
 )
 QUERIES = {query.__name__: query for query in _ALL}
 #: The other operators learn models, hash, or follow links, which SQL doesn't express; their tests use brute force.
-ORACLES = {"op1_quality_rules": quality_sql()}
+ORACLES = {"op1_quality_rules": quality_sql(), "op12_prefix_trie": trie_sql()}
