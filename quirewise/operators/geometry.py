@@ -45,7 +45,7 @@ def page_size(nodes: DataFrame) -> DataFrame:
 def rotate_pages(nodes: DataFrame, angle: int) -> DataFrame:
     """Add an angle to the rotation of every page, kept within 0 to 359."""
     if angle % 90 != 0:
-        raise ValueError(f"angle must be a multiple of 90, got {angle}")
+        raise ValueError(f"pages turn by quarters, not by {angle} degrees")
     turned = F.pmod(F.coalesce("rotate", F.lit(0)) + F.lit(angle), F.lit(360)).cast("bigint")
     return nodes.where("page is not null").withColumn("rotate", turned)
 

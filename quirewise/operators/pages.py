@@ -230,9 +230,9 @@ def reorder_errors(page_order: DataFrame, page_counts: DataFrame) -> DataFrame:
     text = F.col("page").cast("string")
     fault = F.when(
         (F.col("page") < 1) | (F.col("page") > F.col("n_pages")),
-        F.concat(F.lit("page "), text, F.lit(" out of range (1.."), F.col("n_pages"), F.lit(")")),
-    ).when(F.col("_first").isNull(), F.concat(F.lit("duplicate page "), text, F.lit(" in order")))
-    incomplete = F.concat(F.lit("order must contain all "), F.col("n_pages"), F.lit(" pages"))
+        F.concat(F.lit("the order names page "), text, F.lit(" of a document with "), F.col("n_pages"), F.lit(" pages")),
+    ).when(F.col("_first").isNull(), F.concat(F.lit("the order names page "), text, F.lit(" more than once")))
+    incomplete = F.concat(F.lit("the order leaves out some of the "), F.col("n_pages"), F.lit(" pages"))
     entries = page_order.join(firsts, ["doc_id", "new_page"], "left")
     return (
         spread_join(entries, page_counts, ["doc_id"], salt_by=["new_page"], hot_in=page_order)
@@ -308,7 +308,7 @@ def n_up(nodes: DataFrame, n: int) -> DataFrame:
     The sheet takes the upper right corner of the first page's own box; a page without a box fills its cell.
     """
     if n not in (2, 4, 6, 9):
-        raise ValueError("n must be 2, 4, 6, or 9")
+        raise ValueError(f"no layout for {n} pages on a sheet; there are 2, 4, 6 and 9")
     cols = 2 if n <= 4 else 3
     rows = n // cols
     pages = nodes.where("page is not null").select("doc_id", "page", "media_box")

@@ -179,13 +179,13 @@ orders_ AS (
   WHERE source <> 'src3' OR page > 1),
 faults AS (
   SELECT doc_id, new_page, CASE WHEN page < 1 OR page > n_pages
-           THEN 'page ' || page || ' out of range (1..' || n_pages || ')'
+           THEN 'the order names page ' || page || ' of a document with ' || n_pages || ' pages'
          WHEN row_number() OVER (PARTITION BY doc_id, page ORDER BY new_page) > 1
-           THEN 'duplicate page ' || page || ' in order' END AS error
+           THEN 'the order names page ' || page || ' more than once' END AS error
   FROM orders_),
 lists AS (SELECT doc_id, count(*) AS n, any_value(n_pages) AS n_pages FROM orders_ GROUP BY ALL),
 errors AS (
-  SELECT doc_id, coalesce(f.error, CASE WHEN n <> n_pages THEN 'order must contain all ' || n_pages || ' pages' END)
+  SELECT doc_id, coalesce(f.error, CASE WHEN n <> n_pages THEN 'the order leaves out some of the ' || n_pages || ' pages' END)
     AS error
   FROM lists LEFT JOIN (SELECT doc_id, arg_min(error, new_page) AS error FROM faults WHERE error IS NOT NULL
                         GROUP BY ALL) f USING (doc_id))""",

@@ -151,10 +151,10 @@ def test_reorder_checks(table):
     got = ops.reorder_pages(pages, order, counts)
     assert rows(got.where("error is null"), "new_page", "text") == [(1, "1.3"), (2, "1.1"), (3, "1.2")]
     assert rows(got.where("error is not null"), "doc_id", "error") == [
-        (2, "order must contain all 3 pages"),
-        (3, "duplicate page 1 in order"),
-        (4, "page 9 out of range (1..3)"),
-        (5, "duplicate page 2 in order"),
+        (2, "the order leaves out some of the 3 pages"),
+        (3, "the order names page 1 more than once"),
+        (4, "the order names page 9 of a document with 3 pages"),
+        (5, "the order names page 2 more than once"),
     ]
 
 

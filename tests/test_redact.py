@@ -178,7 +178,7 @@ def test_rotate(table, old, angle, new):
 
 
 def test_rotate_refuses_odd_angles(table):
-    with pytest.raises(ValueError, match="multiple of 90"):
+    with pytest.raises(ValueError, match="by quarters"):
         geo.rotate_pages(table("page_nodes"), 45)
 
 
