@@ -202,7 +202,7 @@ def test_n_up_cells(table):
         (2, 1, 1.0, 200.0, 300.0, 400.0, 600.0),
         (3, 2, 1.0, 50.0, 0.0, 400.0, 600.0),
     ]
-    with pytest.raises(ValueError, match="2, 4, 6, or 9"):
+    with pytest.raises(ValueError, match="2, 4, 6 and 9"):
         ops.n_up(nodes, 3)
 
 
