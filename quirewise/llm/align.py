@@ -135,32 +135,40 @@ def _u4(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def aligned(documents: DataFrame, byte_bpe: str, pieces: str, pattern: str) -> DataFrame:
-    """``doc_id, a_ids, b_ids, a_cuts, b_cuts`` of every row; each is a run of little-endian unsigned 32-bit numbers.
-
-    ``a_ids`` are the ids of the byte-level vocabulary for a space and the text, ``b_ids`` those of the piece model for the
-    text, before which the model itself puts a space; ``pattern`` cuts a text for the former. Special tokens in texts are plain text. The cuts tell how many
-    tokens are done where a group ends. Null and empty texts, and texts whose tokens don't spell the text, have none.
-    Rows are not merged and other columns are not looked at. The files are read by each worker and must be there.
-    """
-    of = (byte_bpe, pieces, pattern)
-
+def _aligned(of: tuple[str, str, str]):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(of)
         for batch in batches:
-            ids, texts = batch["doc_id"], [t or "" for t in batch["text"].to_pylist()]
+            ids, column = batch["doc_id"], batch["text"]
             at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TEXT):
-                    size += len(texts[stop])
-                    stop += 1
-                rows = [(_u4(a), _u4(b), *map(_u4, pair.cuts(a, b))) for a, b in pair.encode(texts[at:stop])]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, stop - at), *(pa.array(list(c), pa.binary()) for c in zip(*rows))], _NAMES)
-                at = stop
+            while at < len(ids):
+                texts, size = [], 0
+                while at + len(texts) < len(ids) and (not texts or size <= TEXT):
+                    texts.append(column[at + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                rows = [(_u4(a), _u4(b), *map(_u4, pair.cuts(a, b))) for a, b in pair.encode(texts)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), *(pa.array(list(c), pa.binary()) for c in zip(*rows))], _NAMES)
+                at += len(texts)
+
+    return align
+
 
-    text = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    return text.mapInArrow(align, "doc_id bigint, a_ids binary, b_ids binary, a_cuts binary, b_cuts binary")
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+
+
+def aligned(documents: DataFrame, byte_bpe: str, pieces: str, pattern: str) -> DataFrame:
+    """``doc_id, a_ids, b_ids, a_cuts, b_cuts`` of every row; each is a run of little-endian unsigned 32-bit numbers.
+
+    ``a_ids`` are the ids of the byte-level vocabulary for a space and the text, ``b_ids`` those of the piece model for the
+    text, before which the model itself puts a space; ``pattern`` cuts a text for the former. Special tokens in texts are
+    plain text. The cuts tell how many tokens are done where a group ends. Null and empty texts, and texts whose tokens
+    don't spell the text, have none. Rows are not merged and other columns are not looked at. The files are read by each
+    worker and must be there. Some hundred thousand characters, or one longer text, are encoded at a time.
+    """
+    return _texts(documents).mapInArrow(
+        _aligned((byte_bpe, pieces, pattern)), "doc_id bigint, a_ids binary, b_ids binary, a_cuts binary, b_cuts binary"
+    )
 
 
 _NAMES = ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"]
@@ -281,18 +289,23 @@ def _answered(documents: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({c: every[c] for c in (part.split()[0] for part in _WEIGHED.split(", "))})
 
 
-def weighed(alignments: DataFrame, n_a: int, n_b: int) -> DataFrame:
-    """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every row of ``aligned``.
+def weighed(documents: DataFrame, byte_bpe: str, pieces: str, pattern: str) -> DataFrame:
+    """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every row of ``documents``.
 
-    ``n_a`` and ``n_b`` are the sizes of the vocabularies. A link is a pair of occurrences in one group; the count of its
-    ids is the number of rows in which they are linked, over the whole table, and it is best if no other pair with that
-    id of A has a higher one. A row without tokens has zeros and an empty digest.
+    Texts are aligned as by ``aligned``. A link is a pair of occurrences in one group; the count of its ids is the number of
+    rows in which they are linked, over the whole table, and it is best if no other pair with that id of A has a higher
+    one. A row without tokens has zeros and an empty digest.
 
-    A chunk holds documents of about ``CHUNK`` tokens, or one longer document. Counts are summed before they are sent, so
-    a pair that stands in every document has one row for each chunk; the best of an id are at most ``n_a`` rows.
+    Tokens are turned into pairs as they come, so they never leave the task. A chunk holds documents of about ``CHUNK``
+    tokens, or one longer document. Counts are summed before they are sent, so a pair that stands in every document has
+    one row for each chunk; the best of an id are at most as many rows as the vocabulary has ids.
     """
+    of = (byte_bpe, pieces, pattern)
+    pair = Pair(*of)
+    n_a, n_b = len(pair.a_bytes), len(pair.b_bytes)
     bits = (n_b - 1).bit_length()
-    counted = stage_table(alignments.mapInArrow(_counted(n_a, n_b), _COUNTED), "align-documents")
+    align, count = _aligned(of), _counted(n_a, n_b)
+    counted = stage_table(_texts(documents).mapInArrow(lambda batches: count(align(batches)), _COUNTED), "align-documents")
     asked = counted.select("chunk", "n_pairs", "pairs", "times").mapInArrow(_asked, "chunk bigint, pair bigint, docs bigint")
     asked = stage_table(asked, "align-pairs")
     sums = stage_table(asked.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", bits)), "align-counts")

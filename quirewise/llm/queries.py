@@ -76,9 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
-    pair = align.Pair(*of)
-    found = align.aligned(_table(spark, sf_dir, "documents"), *of)
-    return align.weighed(found, len(pair.a_bytes), len(pair.b_bytes))
+    return align.weighed(_table(spark, sf_dir, "documents"), *of)
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
