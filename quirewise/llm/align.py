@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,8 @@ class Pair:
         for text, b in zip(texts, second):
             raw = (" " + text).encode()
             a = self.a.encode_ordinary(" " + text) if text else []
-            same = text and b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+            # Every byte has a token of A, so its tokens always spell the text.
+            same = text and _spelled(self.b_bytes, b) == raw
             out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none))
         return out
 
@@ -84,6 +86,11 @@ class Pair:
         return common_cuts(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
 
 
+def _spelled(table: list[bytes], ids: list[int]) -> bytes:
+    """The entries of all ids, one after another."""
+    return b"".join(itemgetter(*ids)(table)) if len(ids) > 1 else b"".join(table[i] for i in ids)
+
+
 def common_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side are done at each common end; both arrays rise and end alike."""
     a_list, b_list = a.tolist(), b.tolist()
@@ -215,7 +222,7 @@ class Spelling:
         shown = b + 2 * self.n_a
         shown[b_cuts - 1] += self.n_b
         out[np.arange(len(b)) + np.repeat(a_cuts, n_b)] = shown
-        return b"".join(map(self.table.__getitem__, out.tolist()))[:-1]
+        return _spelled(self.table, out.tolist())[:-1]
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
