@@ -13,15 +13,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
 _FREE = np.uint64(2**64 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Cells of one matrix, pieces kept by a worker, bytes from which a single piece is merged with a heap.
-CELLS, KNOWN, WIDE = 1 << 20, 200_000, 2048
+#: Cells of one matrix, pieces kept by a worker, bytes from which a single piece is merged with a heap, characters taken at a time.
+CELLS, KNOWN, WIDE, TEXT = 1 << 20, 200_000, 2048, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -179,6 +180,42 @@ class Tokenizer:
         return np.array([i for i in ids if i >= 0], "<u4").tobytes()
 
 
+#: A vocabulary with its pattern, and the tokenizer made of it, which serves all tasks of this worker.
+_worker: list = []
+
+
+def _tokenizer(vocabulary: tuple[dict[bytes, int], str]) -> Tokenizer:
+    if not _worker or _worker[0] is not vocabulary:
+        _worker[:] = [vocabulary, Tokenizer(*vocabulary)]
+    return _worker[1]
+
+
+def coded(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``doc_id, ids, decoded`` of every row of ``documents(doc_id, text)``: the ids of the text, and the bytes they spell.
+
+    As by both functions of ``codec``, but a task has one worker and one tokenizer for the two, and what it made leaves it
+    after some hundred thousand characters, so memory follows the longest text and neither the batch nor the steps.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((ranks, pattern))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, column, at = batch["doc_id"], batch["text"], 0
+            while at < len(of):
+                texts, size = [], 0
+                while at + len(texts) < len(of) and size <= TEXT:
+                    texts.append(column[at + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                own = _tokenizer(shared.value)
+                ids = own.encode(texts)
+                values = [of.slice(at, len(texts)), pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(values, ["doc_id", "ids", "decoded"])
+                at += len(texts)
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(code, f"doc_id {kind}, ids binary, decoded binary")
+
+
 def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> tuple[Callable[..., Column], Callable[..., Column]]:
     """Column functions ``encode(text)`` and ``decode(ids)``; ids are bytes, four for each token, lowest first.
 
@@ -187,12 +224,6 @@ def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> tuple[C
     hundred thousand characters at a time, so memory follows the longest text and not the batch.
     """
     shared = spark.sparkContext.broadcast((ranks, pattern))
-    workers: dict[int, Tokenizer] = {}
-
-    def tokenizer() -> Tokenizer:
-        if 0 not in workers:
-            workers[0] = Tokenizer(*shared.value)
-        return workers[0]
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -201,15 +232,15 @@ def codec(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> tuple[C
             for text in texts:
                 group.append(text or "")
                 size += len(group[-1])
-                if size > 300_000:
-                    out += tokenizer().encode(group)
+                if size > TEXT:
+                    out += _tokenizer(shared.value).encode(group)
                     group, size = [], 0
-            out += tokenizer().encode(group)
+            out += _tokenizer(shared.value).encode(group)
             yield pd.Series(out, dtype=object)
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
-            yield pd.Series([tokenizer().decode(i or b"") for i in ids], dtype=object)
+            yield pd.Series([_tokenizer(shared.value).decode(i or b"") for i in ids], dtype=object)
 
     return encode, decode

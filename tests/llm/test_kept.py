@@ -99,3 +99,25 @@ def test_empty_tables_through_the_pipeline(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert near.one_of_each(documents.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+def test_texts_are_encoded_and_decoded_by_one_worker(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "TEXT", 50)
+    texts = [None, "", "plain words", "<|endoftext|> ünï  \n\n 42", "x" * 3000, B, "퟿\U0001f600"] * 3
+    docs = spark.createDataFrame([(f"d{i}", t, "clash") for i, t in enumerate(texts)], "doc_id string, text string, ids string")
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    got = bpe.coded(docs, ranks, public_tokenizers.PATTERN)
+    plan = got.select(F.sha2("ids", 256), F.sha2("decoded", 256))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    encode, _ = bpe.codec(spark, ranks, public_tokenizers.PATTERN)
+    ids = {r.doc_id: r.ids for r in docs.select("doc_id", encode("text").alias("ids")).collect()}
+    rows = got.collect()
+    assert {r.doc_id: r.ids for r in rows} == ids and len(rows) == len(texts)
+    assert all(r.decoded.decode() == (texts[int(r.doc_id[1:])] or "") for r in rows)
+
+
+def test_byte_bpe_query_has_one_python_step(spark):
+    from quirewise.llm import queries
+
+    plan = queries.op3_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
