@@ -164,31 +164,6 @@ def _meet_in_cell(degree: int):
     return meet
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of one node after another; the rows of the stream are sorted by node."""
-    node, held = None, []
-    for batch in batches:
-        for at, *row in zip(*(batch[c].to_pylist() for c in ("node", *columns))):
-            if at != node and held:
-                yield node, held
-                held = []
-            node = at
-            held.append(row)
-    if held:
-        yield node, held
-
-
-def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == 2000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
 def _schema(**kinds: pa.DataType) -> pa.Schema:
     return pa.schema(list(kinds.items()))
 
@@ -257,35 +232,37 @@ def _aged(taken: int):
     return age
 
 
+_NAMED = "home bigint, fresh_to binary, fresh_by binary, old_to binary, old_by binary"
+_NAMED_NAMES = [part.split()[0] for part in _NAMED.split(", ")]
+
+
 def _named(taken: int, turn: int):
-    """Rows ``(node, cell, fresh, old)`` of a node itself and, without a cell, of nodes it has as neighbours.
+    """The nodes that the lists have as neighbours and who names them, in one row of a batch for each cell they lie in.
 
     Of those that name a node in one batch, ``taken`` are kept, by a hash that changes with the round.
     """
-    schema = _schema(node=_INT, cell=_INT, fresh=_BIN, old=_BIN)
-
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        ends: list[tuple[list, list]] = [([], []), ([], [])]
-        for node, cell, others, fresh in zip(*(batch[c].to_pylist() for c in ("node", "cell", "others", "fresh"))):
-            other = np.frombuffer(others, "<i8")
-            picked = [other[p] for p in _picks(np.frombuffer(fresh, "u1"), taken)]
-            yield node, cell, picked[0].tobytes(), picked[1].tobytes()
-            for (to, by), p in zip(ends, picked):
-                to.append(p)
-                by.append(np.full(len(p), node, np.int64))
-        for kind, (to, by) in enumerate(ends):
-            if not to:
-                continue
-            to, by = np.concatenate(to), np.concatenate(by)
-            to, by, _ = _best(to, by, _lot(to, by, turn), taken)
-            start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-            for a, b in zip(start, np.r_[start[1:], len(to)] if len(to) else []):
-                members = by[a:b].tobytes()
-                yield int(to[a]), None, b"" if kind else members, members if kind else b""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _batched(rows(batch), schema)
+            ends: list[tuple[list, list]] = [([], []), ([], [])]
+            for node, others, fresh in zip(*(batch[c].to_pylist() for c in ("node", "others", "fresh"))):
+                other = np.frombuffer(others, "<i8")
+                for (to, by), p in zip(ends, _picks(np.frombuffer(fresh, "u1"), taken)):
+                    to.append(other[p])
+                    by.append(np.full(len(p), node, np.int64))
+            if not len(batch):
+                continue
+            sides = []
+            for to, by in ends:
+                to, by = np.concatenate(to), np.concatenate(by)
+                sides.append(_best(to, by, _lot(to, by, turn), taken)[:2])
+            # Nodes rise, and with them the cells in their upper half.
+            homes = np.unique(np.concatenate([to >> 32 for to, _ in sides]))
+            packed = []
+            for to, by in sides:
+                cut = np.searchsorted(to >> 32, np.append(homes, homes[-1] + 1) if len(homes) else homes)
+                packed += [pa.array([v[a:b].astype("<i8").tobytes() for a, b in zip(cut, cut[1:])], _BIN) for v in (to, by)]
+            yield pa.RecordBatch.from_arrays([pa.array(homes, _INT), *packed], _NAMED_NAMES)
 
     return name
 
@@ -298,22 +275,29 @@ def _lot(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
     return (mixed >> np.uint64(11)).astype(np.float64)
 
 
+_SIDES_SCHEMA = _schema(node=_INT, cell=_INT, fresh=_BIN, old=_BIN)
+
+
 def _gathered(taken: int, turn: int):
-    """``(node, cell, fresh, old)``: both sides of the lists of a node."""
-    schema = _schema(node=_INT, cell=_INT, fresh=_BIN, old=_BIN)
-
-    def one(node: int, rows: list[tuple]) -> tuple:
-        own = next(r for r in rows if r[0] is not None)
-        sides = []
-        for k in (1, 2):
-            back = np.frombuffer(b"".join(r[k] for r in rows if r[0] is None), "<i8")
-            if len(back) > taken:
-                back = back[np.argsort(-_lot(np.full(len(back), node), back, turn), kind="stable")[:taken]]
-            sides.append(np.unique(np.concatenate((np.frombuffer(own[k], "<i8"), back))))
-        return node, own[0], sides[0].tobytes(), np.setdiff1d(sides[1], sides[0]).tobytes()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched((one(node, rows) for node, rows in _runs(batches, ["cell", "fresh", "old"])), schema)
+    """``(node, cell, fresh, old)``: both sides of the lists of the nodes of a cell."""
+
+    def gather(lists: pa.Table, named: pa.Table) -> pa.Table:
+        lists = lists.take(pa.array(np.argsort(lists["node"].to_numpy())))
+        ids = lists["node"].to_numpy()
+        others = [np.frombuffer(o, "<i8") for o in lists["others"].to_pylist()]
+        picked = [_picks(np.frombuffer(f, "u1"), taken) for f in lists["fresh"].to_pylist()]
+        back = []
+        for kind in ("fresh", "old"):
+            to, by = (np.frombuffer(b"".join(named[f"{kind}_{c}"].to_pylist()), "<i8") for c in ("to", "by"))
+            to, by, _ = _best(to, by, _lot(to, by, turn), taken)
+            start = np.searchsorted(to, np.append(ids, ids[-1:] + 1))
+            back.append([by[a:b] for a, b in zip(start, start[1:])])
+        fresh, old = [], []
+        for other, p, *named_by in zip(others, picked, *back):
+            sides = [np.unique(np.concatenate((other[q], by))) for q, by in zip(p, named_by)]
+            fresh.append(sides[0].astype("<i8").tobytes())
+            old.append(np.setdiff1d(sides[1], sides[0], assume_unique=True).astype("<i8").tobytes())
+        return pa.table([lists["node"], lists["cell"], pa.array(fresh, _BIN), pa.array(old, _BIN)], _SIDES_SCHEMA)
 
     return gather
 
@@ -455,7 +439,7 @@ def build(embeddings: DataFrame, copies: int = 21, degree: int = DEGREE, taken:
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     n, width, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.max(size)).first()
     if not n:
-        nodes = vectors.withColumn("node", F.lit(0).cast("bigint"))
+        nodes = vectors.select(F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("cell"), "ids", "vector")
         empty = nodes.sparkSession.createDataFrame([], _LIST)
         return Index(nodes, empty, 1, 0, (np.zeros(0, np.int64), np.zeros((0, 1))))
     if not math.isfinite(longest):
@@ -509,10 +493,10 @@ def build(embeddings: DataFrame, copies: int = 21, degree: int = DEGREE, taken:
 
 
 def _round(graph: DataFrame, degree: int, taken: int, turn: int, numbers: int) -> DataFrame:
-    lists = "node bigint, cell bigint, fresh binary, old binary"
-    named = graph.select("node", "cell", "others", "fresh").mapInArrow(_named(taken, turn), lists)
-    home = F.shiftright("node", 32)
-    both = named.withColumn("home", home).repartition("home").sortWithinPartitions("node").drop("home").mapInArrow(_gathered(taken, turn), lists)
+    lists = graph.select("node", "cell", "others", "fresh")
+    named = lists.mapInArrow(_named(taken, turn), _NAMED)
+    sides = "node bigint, cell bigint, fresh binary, old binary"
+    both = lists.groupBy("cell").cogroup(named.groupBy("home")).applyInArrow(_gathered(taken, turn), sides)
     both = stage_table(both.where("octet_length(fresh) > 0"), "ann-lists")
     asked = both.select("cell", "fresh", "old").mapInArrow(_requests("cell", ["fresh", "old"]), _ASK)
     points = graph.select("node", "cell", "x", "scores").mapInArrow(_with_worst(degree), "node bigint, cell bigint, x binary")

@@ -92,3 +92,23 @@ def test_odd_rows(spark):
     assert same(got, brute(ODD)) and set(got) == {0, 20, -20}
     assert found(df.limit(0)) == {} and found(df.where("vec_id = 20")) == {}
     assert found(df.where("vec_id in (20, 1)")) == {20: [(1, 0.5)]}
+
+
+def test_messages_of_a_round_follow_the_cells(spark):
+    source = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(source.normal(size=(600, 8)).astype(np.float32).tolist())]
+    index = ann.build(spark.createDataFrame(rows, SCHEMA), degree=12, taken=6, cell_rows=80)
+    graph = index.graph.select("node", "cell", "others", F.expr("cast(repeat(char(1), 12) as binary)").alias("fresh")).coalesce(1).cache()
+    named = graph.mapInArrow(ann._named(6, 1), ann._NAMED).collect()
+    cells = {r.cell for r in graph.collect()}
+    assert sorted(r.home for r in named) == sorted(cells) and 1 < len(cells) < 30
+    by = {}
+    for r in graph.collect():
+        for other in np.frombuffer(r.others, "<i8")[:6].tolist():
+            by.setdefault(other, set()).add(r.node)
+    got = {}
+    for r in named:
+        assert not r.old_to and {n >> 32 for n in np.frombuffer(r.fresh_to, "<i8").tolist()} == {r.home}
+        for to, node in zip(np.frombuffer(r.fresh_to, "<i8").tolist(), np.frombuffer(r.fresh_by, "<i8").tolist()):
+            got.setdefault(to, set()).add(node)
+    assert got.keys() == by.keys() and all(got[n] <= by[n] and len(got[n]) == min(6, len(by[n])) for n in by)
