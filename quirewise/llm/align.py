@@ -93,27 +93,12 @@ def _spelled(table: list[bytes], ids: list[int]) -> bytes:
 
 def common_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side are done at each common end; both arrays rise and end alike."""
-    a_list, b_list = a.tolist(), b.tolist()
-    n, m = len(a_list), len(b_list)
-    a_cut, b_cut = np.zeros(n, bool), np.zeros(m, bool)
+    n, m = len(a), len(b)
+    # Ends that are alike nowhere, so that no stretch goes beyond the last token.
+    a_list, b_list = [*a.tolist(), -1], [*b.tolist(), -2]
+    starts, others, stops = [], [], []
     i = j = 0
     while i < n:
-        if a_list[i] == b_list[j]:
-            # A stretch at this shift: windows that grow until one holds a difference, whose place ends the stretch.
-            run, width, room = 1, PROBE, min(n - i, m - j)
-            while run < room:
-                stop = min(run + width, room)
-                differs = a[i + run : i + stop] != b[j + run : j + stop]
-                at = int(differs.argmax())
-                if differs[at]:
-                    run += at
-                    break
-                run, width = stop, 4 * width
-            a_cut[i : i + run] = True
-            b_cut[j : j + run] = True
-            i, j = i + run, j + run
-            if i >= n:
-                break
         # An irregular group: step on whichever side is behind until both end.
         x, y = a_list[i], b_list[j]
         while x != y:
@@ -123,9 +108,26 @@ def common_cuts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             else:
                 j += 1
                 y = b_list[j]
-        a_cut[i] = b_cut[j] = True
-        i, j = i + 1, j + 1
-    return np.flatnonzero(a_cut) + 1, np.flatnonzero(b_cut) + 1
+        starts.append(i)
+        others.append(j)
+        # A stretch at this shift: windows that grow until one holds a difference, whose place ends the stretch.
+        i, j, width = i + 1, j + 1, PROBE
+        while a_list[i : i + width] == b_list[j : j + width]:
+            i, j, width = i + width, j + width, 4 * width
+        if width == PROBE:
+            while a_list[i] == b_list[j]:
+                i, j = i + 1, j + 1
+        else:
+            room = min(width, n - i, m - j)
+            differs = a[i : i + room] != b[j : j + room]
+            at = int(differs.argmax()) if differs.any() else room
+            i, j = i + at, j + at
+        stops.append(i)
+    run = np.array(stops, np.int64) - np.array(starts, np.int64)
+    done = np.arange(1, run.sum() + 1)
+    # What lies between the stretches are the tokens that end within a group.
+    first = np.cumsum(run) - run
+    return tuple(done + np.repeat(np.array(at, np.int64) - first, run) for at in (starts, others))
 
 
 #: The tokenizers of this worker, by their paths.
@@ -142,8 +144,13 @@ def _u4(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def _aligned(of: tuple[str, str, str]):
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_Row = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _rows(of: tuple[str, str, str]):
+    """Ids of documents, and for each both kinds of tokens and both kinds of cuts, some hundred thousand characters at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[_Row]]]:
         pair = _pair(of)
         for batch in batches:
             ids, column = batch["doc_id"], batch["text"]
@@ -153,10 +160,20 @@ def _aligned(of: tuple[str, str, str]):
                 while at + len(texts) < len(ids) and (not texts or size <= TEXT):
                     texts.append(column[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
-                rows = [(_u4(a), _u4(b), *map(_u4, pair.cuts(a, b))) for a, b in pair.encode(texts)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), *(pa.array(list(c), pa.binary()) for c in zip(*rows))], _NAMES)
+                yield ids.slice(at, len(texts)), [(a, b, *pair.cuts(a, b)) for a, b in pair.encode(texts)]
                 at += len(texts)
 
+    return rows
+
+
+def _aligned(of: tuple[str, str, str]):
+    rows = _rows(of)
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, group in rows(batches):
+            columns = zip(*(map(_u4, row) for row in group))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), pa.binary()) for c in columns)], _NAMES)
+
     return align
 
 
@@ -184,21 +201,26 @@ _NAMES = ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"]
 def links(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of linked ids, as ``a << bits | b``, rising, and how many links each has."""
     n_a, n_b = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
-    listed = n_a * n_b <= PAIRS
-    keys, counts = [], []
-    size = (n_a * n_b)[listed]
-    if len(size):
+    pairs = n_a * n_b
+    one = pairs == 1
+    keys = [a[a_cuts[one] - 1] << bits | b[b_cuts[one] - 1]]
+    listed = np.flatnonzero(~one & (pairs <= PAIRS))
+    if len(listed):
+        size = pairs[listed]
         start_a, start_b, wide = (a_cuts - n_a)[listed], (b_cuts - n_b)[listed], n_b[listed]
         group = np.repeat(np.arange(len(size)), size)
         within = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
-        keys.append(a[start_a[group] + within // wide[group]] << bits | b[start_b[group] + within % wide[group]])
-        counts.append(np.ones(len(group), np.int64))
-    for g in np.flatnonzero(~listed):
+        of_a = within // wide[group]
+        keys.append(a[start_a[group] + of_a] << bits | b[start_b[group] + within - of_a * wide[group]])
+    key, count = _counts(np.concatenate(keys))
+    wide_groups = np.flatnonzero(pairs > PAIRS)
+    if not len(wide_groups):
+        return key, count
+    keys, counts = [key], [count]
+    for g in wide_groups:
         (x, x_n), (y, y_n) = (np.unique(s[c[g] - n[g] : c[g]], return_counts=True) for s, c, n in ((a, a_cuts, n_a), (b, b_cuts, n_b)))
         keys.append((x[:, None] << bits | y).ravel())
         counts.append((x_n[:, None] * y_n).ravel())
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
@@ -206,6 +228,13 @@ def links(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray,
     return key[start], np.add.reduceat(count, start)
 
 
+def _counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and how often each is there."""
+    key = np.sort(key)
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[start], np.diff(start, append=len(key))
+
+
 class Spelling:
     """Groups as text: ids of either side with commas, a bar between the sides, a semicolon after each group."""
 
@@ -239,18 +268,17 @@ def _unpacked(n: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarra
 _COUNTED = "chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_pairs bigint, pairs binary, times binary"
 
 
-def _counted(n_a: int, n_b: int):
-    bits = (n_b - 1).bit_length()
+def _counted(of: tuple[str, str, str], n_a: int, n_b: int):
+    bits, aligned_rows = (n_b - 1).bit_length(), _rows(of)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = Spelling(n_a, n_b)
         chunk, held = TaskContext.get().partitionId() << 33, 0
         names = [part.split()[0] for part in _COUNTED.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.string(), pa.int64(), pa.binary(), pa.binary()]
-        for batch in batches:
+        for ids, group in aligned_rows(batches):
             rows = []
-            for doc_id, *packed in zip(*(batch[c].to_pylist() for c in _NAMES)):
-                a, b, a_cuts, b_cuts = (np.frombuffer(p, "<u4").astype(np.int64) for p in packed)
+            for doc_id, (a, b, a_cuts, b_cuts) in zip(ids.to_pylist(), group):
                 held += len(a) + len(b)
                 if held > CHUNK:
                     chunk, held = chunk + 1, len(a) + len(b)
@@ -311,8 +339,7 @@ def weighed(documents: DataFrame, byte_bpe: str, pieces: str, pattern: str) -> D
     pair = Pair(*of)
     n_a, n_b = len(pair.a_bytes), len(pair.b_bytes)
     bits = (n_b - 1).bit_length()
-    align, count = _aligned(of), _counted(n_a, n_b)
-    counted = stage_table(_texts(documents).mapInArrow(lambda batches: count(align(batches)), _COUNTED), "align-documents")
+    counted = stage_table(_texts(documents).mapInArrow(_counted(of, n_a, n_b), _COUNTED), "align-documents")
     asked = counted.select("chunk", "n_pairs", "pairs", "times").mapInArrow(_asked, "chunk bigint, pair bigint, docs bigint")
     asked = stage_table(asked, "align-pairs")
     sums = stage_table(asked.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", bits)), "align-counts")

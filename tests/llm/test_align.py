@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -130,3 +131,40 @@ def test_rows_read_back(spark, pair):
         assert a == b != b""
         spelled, at = spelled + a, cut
     assert spelled.decode() == " " + text
+
+
+def test_tokens_are_counted_without_being_packed(pair, monkeypatch):
+    """Packing tokens and cuts between two steps of one task cost CPU time and is for ``aligned`` only."""
+
+    class Task:
+        get = staticmethod(lambda: type("Of", (), {"partitionId": staticmethod(lambda: 3)}))
+
+    def packs(values):
+        raise AssertionError("packed")
+
+    texts = ["one two  three", "", None, "ünï \U0001f600 <|endoftext|> 42", "a" * 700 + " b" * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(align, "TaskContext", Task)
+    monkeypatch.setattr(align, "_u4", packs)
+    got = pa.Table.from_batches(align._counted((A, B, public_tokenizers.PATTERN), len(pair.a_bytes), len(pair.b_bytes))(iter([batch]))).to_pylist()
+    assert [r["doc_id"] for r in got] == list(range(5)) and {r["chunk"] for r in got} == {3 << 33}
+    for row, (a, b) in zip(got, pair.encode([t or "" for t in texts])):
+        cuts = pair.cuts(a, b)
+        n_a, n_b = (np.diff(c, prepend=0) for c in cuts)
+        assert (row["n_a"], row["n_b"], row["n_groups"], row["n_links"]) == (len(a), len(b), len(cuts[0]), int((n_a * n_b).sum()))
+
+
+def test_links_of_groups_of_any_size(monkeypatch):
+    rng = np.random.default_rng(8)
+    for most in (1, 4, 4096):
+        monkeypatch.setattr(align, "PAIRS", most)
+        for n in (1, 2, 9, 60):
+            ends = [np.unique(np.r_[rng.integers(1, n + 1, n), n]) for _ in range(2)]
+            cuts = align.common_cuts(*ends)
+            a, b = (rng.integers(0, 5, len(e)) for e in ends)
+            want, i, j = Counter(), 0, 0
+            for x, y in zip(*cuts):
+                want.update(int(p) << 4 | int(q) for p in a[i:x] for q in b[j:y])
+                i, j = x, y
+            keys, counts = align.links(a, b, *cuts, 4)
+            assert dict(zip(keys.tolist(), counts.tolist())) == want and keys.tolist() == sorted(want)
